@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, quality
+from . import bpe, common, decontam, linededup, packing, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode_documents(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.verdicts(quality.measures(docs))
@@ -29,7 +35,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.coalesce("kept_text", F.lit("")).alias("kept_text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op5_quality_rules, op7_line_dedup)}
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = packing.write(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return packing.read(common.table(files))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op3_decontamination, op4_byte_bpe, op5_quality_rules, op7_line_dedup, op8_token_files, op9_toxicity)}
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
