@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Entries a worker keeps of its stores before it starts anew.
 STORE = 300_000
@@ -254,3 +255,23 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][: 4 + with_ids])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, schema)
+
+
+def add_token_ids(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """The rows with a column ``token_ids``; decoding the ids must give the text again."""
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path, pattern)
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                sub, out = b.slice(lo, 256), []
+                for t in sub.column(names.index(text)).to_pylist():
+                    ids = e.encode(t or "")
+                    if e.decode(ids) != (t or "").encode():
+                        raise ValueError("the ids do not decode to the text")
+                    out.append(np.array(ids, np.int32))
+                yield pa.RecordBatch.from_arrays([*sub.columns, pa.array(out, pa.list_(pa.int32()))], names=[*names, "token_ids"])
+
+    return docs.mapInArrow(run, schema)

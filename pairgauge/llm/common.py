@@ -137,3 +137,74 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     inverse = _powers(len(prefix))[1]
     h = (prefix[end] - prefix[start]) * inverse[start]
     return mix(h ^ (np.asarray(end - start).astype(np.uint64) * _ODD))
+
+
+# -- texts as bytes ------------------------------------------------------------------------
+
+#: Bytes that one step of vectorised work takes up; a longer text is a step of its own.
+STEP_BYTES = 1 << 21
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
+def steps(column, step_bytes: int = STEP_BYTES):
+    """(first row, bytes, offsets) of runs of rows of an Arrow string column; nulls are empty."""
+    import pyarrow as pa
+
+    col = column.fill_null("").cast(pa.large_string()) if column.null_count else column.cast(pa.large_string())
+    n = len(col)
+    _, offsets, data = col.buffers()
+    off = np.frombuffer(offsets, np.int64)[col.offset : col.offset + n + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + step_bytes, "right")) - 1)
+        yield lo, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+        lo = hi
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and the row each word is in; words end with their row."""
+    letter = np.concatenate([[False], ~SPACE[data], [False]])
+    first = letter[1:-1].copy()
+    first[1:] &= ~letter[1:-2]
+    inner = offsets[(offsets < len(data))]
+    first[inner] = letter[1:-1][inner]
+    last = letter[1:-1].copy()
+    last[:-1] &= ~letter[2:-1]
+    inner = offsets[offsets > 0] - 1
+    last[inner] = letter[1:-1][inner]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
+    """Each row's distinct k-word shingles as sorted hashes; fewer words are one shingle."""
+    data = LOWER[data]
+    starts, ends, row = word_spans(data, offsets)
+    words_ = span_hash(prefix_hash(data), starts, ends)
+    n = len(offsets) - 1
+    counts = np.bincount(row, minlength=n)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    if len(words_) >= k:
+        h = np.zeros(len(words_) - k + 1, np.uint64)
+        for j in range(k):
+            h = h * np.uint64(0x9FB21C651E98DF25) + mix(words_[j : len(words_) - k + 1 + j] + np.uint64(j))
+        h = mix(h)
+    else:
+        h = np.empty(0, np.uint64)
+    out = []
+    for i in range(n):
+        lo, hi = at[i], at[i + 1]
+        if hi - lo >= k:
+            out.append(np.unique(h[lo : hi - k + 1]))
+        elif hi > lo:
+            v = np.array([hi - lo], np.uint64)
+            for w in words_[lo:hi]:
+                v = mix(v * np.uint64(0x9FB21C651E98DF25) ^ w)
+            out.append(v)
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out

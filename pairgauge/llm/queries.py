@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, linededup, packing, quality, toxicity
+from . import bpe, common, decontam, linededup, minhash, packing, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_text) per document."""
     out = linededup.dedup_lines(_read(spark, sf_dir, "documents"))
@@ -45,7 +50,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op4_byte_bpe, op5_quality_rules, op7_line_dedup, op8_token_files, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_decontamination, op4_byte_bpe, op5_quality_rules, op6_minhash, op7_line_dedup, op8_token_files, op9_toxicity)}
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
