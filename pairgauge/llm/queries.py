@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, linededup, minhash, packing, ppm, quality, toxicity
+from . import bpe, common, decontam, html_extract, linededup, minhash, packing, ppm, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(_read(spark, sf_dir, "documents"), train=~ppm.held_out())
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared): test items found in documents."""
     return decontam.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -54,7 +58,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_score, op3_decontamination, op4_byte_bpe, op5_quality_rules, op6_minhash, op7_line_dedup, op8_token_files, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_ppm_score, op2_html_extract, op3_decontamination, op4_byte_bpe, op5_quality_rules, op6_minhash, op7_line_dedup, op8_token_files, op9_toxicity)}
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
