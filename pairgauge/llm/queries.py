@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, html_extract, linededup, minhash, packing, ppm, quality, toxicity
+from . import bpe, common, decontam, html_extract, linededup, minhash, packing, ppm, quality, suffix, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_score, op2_html_extract, op3_decontamination, op4_byte_bpe, op5_quality_rules, op6_minhash, op7_line_dedup, op8_token_files, op9_toxicity)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ppm_score, op2_html_extract, op3_decontamination, op4_byte_bpe, op5_quality_rules, op6_minhash, op7_line_dedup, op8_token_files, op9_toxicity, op10_suffix_dedup)}
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
