@@ -23,6 +23,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,32 +96,68 @@ class TokenFile:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1] - self.starts[k]))
 
 
+#: A mark that is one token and stands between words encoded in one call.
+MARK = "|"
+_TAIL = b".,!?;:"
 _ENCODERS: dict[str, tuple] = {}
 
 
 def _word_encoder(path: str):
-    """Encodes texts word by word: the tokenizer drops white space and no token crosses it."""
+    """Encodes texts word by word: the tokenizer drops white space and no token crosses it, letters
+    and punctuation are apart, and it lower-cases. So a word's core is encoded once a worker; a core
+    of ASCII letters is one piece to the tokenizer, which its model takes as it is."""
     if path not in _ENCODERS:
         from tokenizers import Tokenizer
 
-        _ENCODERS[path] = (Tokenizer.from_file(path), {})
-    tok, store = _ENCODERS[path]
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        parts = [t.encode().split() for t in texts]
-        if len(store) > STORE:
-            store.clear()
-        new = list({w for ws in parts for w in ws if w not in store})
-        for e, w in zip(tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), new, strict=True):
-            store[w] = tuple(e.ids)
+        _ENCODERS[path] = (Tokenizer.from_file(path), {}, {})
+    tok, store, cores = _ENCODERS[path]
+    mark = tok.encode(MARK, add_special_tokens=False).ids
+
+    def whole(ws: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of words, in calls of many words with marks between them."""
+        plain = [w for w in ws if MARK.encode() not in w]
+        found: dict[bytes, tuple[int, ...]] = {}
+        for lo in range(0, len(plain), 1000):
+            part = plain[lo : lo + 1000]
+            ids = np.array(tok.encode(f" {MARK} ".join(w.decode() for w in part), add_special_tokens=False).ids, np.int64)
+            cuts = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else []
+            if len(cuts) == len(part) - 1:
+                found.update(zip(part, map(tuple, (x.tolist() for x in np.split(ids, cuts))), strict=True))
         out = []
-        for ws in parts:
-            ids: list[int] = []
-            for w in ws:
-                ids += store[w]
+        for i, w in enumerate(ws):
+            ids = found.get(w)
+            if ids is None:
+                ids = tuple(tok.encode(w.decode(), add_special_tokens=False).ids)
+            elif ids[:1] == (mark[0],):
+                ids = ids[1:]
             out.append(ids)
         return out
 
+    model = tok.model.tokenize
+
+    def core(w: bytes) -> tuple[bytes, bytes]:
+        """A word's letters, lower-cased if they are ASCII, and its closing punctuation."""
+        body = w.rstrip(_TAIL)
+        if body.isalpha():
+            return body.lower(), w[len(body) :]
+        return (body, w[len(body) :]) if body and body.decode().isalpha() else (w, b"")
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        parts = [t.encode().split() for t in texts]
+        for kept in (store, cores):
+            if len(kept) > STORE:
+                kept.clear()
+        new = {w: core(w) for w in set().union(*parts).difference(store)}
+        need = {x for pair in new.values() for x in pair if x and x not in cores}
+        for x in need:
+            if x.isalpha() and x.islower():
+                cores[x] = tuple([t.id for t in model(x.decode())])
+        rest = [x for x in need if x not in cores]
+        cores.update(zip(rest, whole(rest), strict=True))
+        for w, (body, tail) in new.items():
+            store[w] = cores[body] + cores[tail] if tail else cores[body]
+        return [list(chain.from_iterable(map(store.__getitem__, ws))) for ws in parts]
+
     return tok, encode
 
 
