@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS = 2500
+MAX_ROWS = 1500
 BUCKETS = 1 << 17
 DIM = 8
 WINDOW = 4
@@ -123,13 +123,23 @@ def train(texts: list[str], labels: list[int], buckets: int = BUCKETS, dim: int
     soft, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     square = np.full(buckets, 1e-3, np.float32)
 
+    def by_window(value: np.ndarray) -> np.ndarray:
+        """Means over windows of a value a bucket, a few windows at a time."""
+        out = np.empty(len(lengths))
+        for lo in range(0, len(out), 50_000):
+            hi = min(lo + 50_000, len(out))
+            out[lo:hi] = np.add.reduceat(value[flat[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo])
+        return out / lengths
+
     # to begin with: smoothed log odds of a bucket by the texts it occurs in
-    pairs = np.unique(np.repeat(owner, lengths) * buckets + flat)
-    seen = [np.bincount(pairs[y[pairs // buckets] == c] % buckets, minlength=buckets) for c in (0, 1)]
+    seen = np.zeros((2, buckets), np.int64)
+    ends = np.searchsorted(owner, np.arange(len(y) + 1))
+    for k in range(len(y)):
+        seen[y[k], np.unique(flat[starts[ends[k]] : starts[ends[k + 1]]])] += 1
     n0, n1 = (y == 0).sum(), (y == 1).sum()
     odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
     sure = odds * np.minimum(1, np.sqrt(seen[0] + seen[1]) / 3)
-    logit = np.add.reduceat(np.maximum(sure[flat], 0) ** 2, starts[:-1]) / lengths if len(flat) else np.empty(0)
+    logit = by_window((np.maximum(sure, 0) ** 2).astype(np.float32))
 
     for r in range(rounds):
         best = np.full(len(y), -np.inf)
@@ -173,7 +183,7 @@ def train(texts: list[str], labels: list[int], buckets: int = BUCKETS, dim: int
                 emb[uniq] -= rate * 0.1 * g / np.sqrt(square[uniq])[:, None]
         weight1 = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float64)
         b = float(bias[1] - bias[0])
-        logit = np.add.reduceat(weight1[flat], starts[:-1]) / lengths + b
+        logit = by_window(weight1.astype(np.float32)) + b
     model = Model(weight1, b, 1.0, 0.0, window)
     score = model.scorer()
     tops = np.array([score.top(t) for t in texts])
