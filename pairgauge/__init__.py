@@ -1,0 +1 @@
+"""pairgauge: scoring, repairing and comparing structured bilingual text with PySpark."""
