@@ -175,7 +175,7 @@ def encode_piece(v: Vocabulary, data: bytes) -> tuple[int, ...]:
 
 #: White space in front of a space: there a cut at the space would part a run.
 _RUN = re.compile(r"\s ")
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
