@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries a worker keeps of its stores before it starts anew.
-STORE = 300_000
+#: Entries a worker keeps of each of its stores before it starts anew.
+STORE = 600_000
 
 
 class Vocabulary:
@@ -38,6 +38,8 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self._side: dict[tuple[int, int], bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
+        #: the tokens that BPE makes at all
+        self.live = {t: i for t, i in ranks.items() if self.stands(i)}
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -103,22 +105,21 @@ class Vocabulary:
         return ok
 
 
-def _extend(v: Vocabulary, data: bytes | bytearray, last: list[int], stop: int) -> None:
+def _extend(v: Vocabulary, data: bytes, last: list[int], stop: int) -> None:
     """Append to ``last`` the one token that can end the encoding of each longer prefix."""
-    ranks, side, fits, longest = v.ranks.get, v._side.get, v.fits, v.longest
+    token, side, longest = v.live.get, v._side.get, v.longest
     for end in range(len(last), stop + 1):
         for start in range(end - longest if end > longest else 0, end):
-            t = ranks(bytes(data[start:end]))
+            t = token(data[start:end])
             if t is not None:
                 if start:
                     ok = side((last[start], t))
                     if ok is None:
-                        ok = v._side[last[start], t] = v.stands(t) and fits(last[start], t)
-                else:
-                    ok = v.stands(t)
-                if ok:
-                    last.append(t)
-                    break
+                        ok = v.fits(last[start], t)
+                    if not ok:
+                        continue
+                last.append(t)
+                break
         else:
             raise ValueError("a byte is missing from the vocabulary")
 
@@ -127,7 +128,7 @@ class PrefixTable:
     """The last token of every prefix of ``data``; ``last[i]`` is that of the first i bytes."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.v, self.data, self.last = vocabulary, bytearray(), [-1]
+        self.v, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
     def append(self, more: bytes) -> None:
@@ -137,7 +138,7 @@ class PrefixTable:
     def splice(self, start: int, end: int, new: bytes) -> int:
         """Replace data[start:end]; returns how many entries had to be computed."""
         old, shift = self.last, len(new) - (end - start)
-        self.data[start:end] = new
+        self.data = self.data[:start] + new + self.data[end:]
         self.last = old[: start + 1]
         done, same = 0, 0
         for at in range(start + 1, len(self.data) + 1):
@@ -161,8 +162,8 @@ class PrefixTable:
 
 def encode_piece(v: Vocabulary, data: bytes) -> tuple[int, ...]:
     """The ids of one match of the pattern."""
-    whole = v.ranks.get(data)
-    if whole is not None and v.stands(whole):
+    whole = v.live.get(data)
+    if whole is not None:
         return (whole,)
     last = [-1]
     _extend(v, data, last, len(data))
@@ -181,44 +182,56 @@ _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 class Encoder:
     """Encodes texts: no match crosses from other characters into white space, so chunks of one
-    run of white space and what follows are encoded once and kept, up to STORE of them."""
+    run of white space and what follows are encoded once and kept, packed, up to STORE of them."""
 
     def __init__(self, v: Vocabulary, pattern: str):
         import regex
 
         self.v, self.split = v, regex.compile(pattern).findall
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.table = [v.tokens.get(i, b"") for i in range(max(v.tokens) + 1)]
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        out: tuple[int, ...] = ()
+    def _chunk(self, chunk: str) -> bytes:
+        out = []
         for p in self.split(chunk):
             ids = self.pieces.get(p)
             if ids is None:
                 if len(self.pieces) >= STORE:
                     self.pieces.clear()
-                ids = self.pieces[p] = encode_piece(self.v, p.encode())
-            out += ids
-        if len(self.chunks) >= STORE:
-            self.chunks.clear()
-        if len(chunk) <= 64:
-            self.chunks[chunk] = out
+                ids = np.array(encode_piece(self.v, p.encode()), "<u4").tobytes()
+                if len(p) <= 64:
+                    self.pieces[p] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def _all(self, parts: list[str], lead: str) -> bytes:
+        """The ids of parts that each follow ``lead``; kept by the part itself if that is a space."""
+        store = self.chunks
+        new = set(parts).difference(store)
+        if len(store) + len(new) > STORE:
+            store.clear()
+            new = set(parts)
+        for p in new:
+            store[p] = self._chunk(lead + p)
+        out = b"".join(map(store.__getitem__, parts))
+        for p in new:
+            if len(p) > 64:
+                del store[p]
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         if _RUN.search(text):
-            parts = _CHUNK.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            parts = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        get, make, out = self.chunks.get, self._chunk, []
-        for p in parts:
-            ids = get(p)
-            out += make(p) if ids is None else ids
-        return out
+            return b"".join(map(self._chunk, _CHUNK.findall(text)))
+        first, *rest = text.split(" ")
+        return self._chunk(first) + self._all(rest, " ")
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.v.tokens.__getitem__, ids))
+        return b"".join(map(self.table.__getitem__, ids))
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -242,13 +255,13 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
         for b in batches:
             n, a, d, kept = [], [], [], []
             for text in b.column(1):
-                ids = e.encode(text.as_py() or "")
-                packed = np.array(ids, "<u4")
+                packed = e.packed(text.as_py() or "")
+                ids = np.frombuffer(packed, "<u4")
                 n.append(len(ids))
-                a.append(hashlib.sha256(packed.tobytes()).hexdigest())
-                d.append(hashlib.sha256(e.decode(ids)).hexdigest())
+                a.append(hashlib.sha256(packed).hexdigest())
+                d.append(hashlib.sha256(e.decode(ids.tolist())).hexdigest())
                 if with_ids:
-                    kept.append(packed.astype("<i4"))
+                    kept.append(ids.astype("<i4"))
             cols = [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
             if with_ids:
                 cols.append(pa.array(kept, pa.list_(pa.int32())))
