@@ -192,7 +192,7 @@ def fixtures(spark: SparkSession) -> DataFrame:
     signs = spark.createDataFrame([(m,) for m in ":;?!"], "mark string")
     seps = [("nbsp", NBSP, 1.0), ("dec", "&#160;", 1.0), ("hex", "&#xA0;", 1.0), ("named", "&nbsp;", 1.0), ("space", " ", 0.0), ("glued", "", 0.0)]
     seps = spark.createDataFrame(seps, "mode string, sep string, expect_reward double")
-    grid = stems.crossJoin(signs).crossJoin(seps)  # 8 x 4 x 6
+    grid = stems.coalesce(1).crossJoin(F.broadcast(signs)).crossJoin(F.broadcast(seps))  # 8 x 4 x 6
     c, ident = F.col, F.concat(F.lit("g"), F.col("k").cast("string"))
     side = F.when(c("expect_reward") == 1.0, "pos").otherwise("neg")
     para = lambda *parts: F.concat(F.lit("<p>"), *parts, F.lit("</p>"))
@@ -208,7 +208,7 @@ def fixtures(spark: SparkSession) -> DataFrame:
         F.lit(None).cast("string").alias("reward_lt_id"),
         F.lit(None).cast("string").alias("reward_le_id"),
     )
-    hand = spark.createDataFrame(_cases(), CASE)
+    hand = spark.createDataFrame(_cases(), CASE).coalesce(1)
     framed = topic(F.lit("<p>Voir la note&#160;: détails.</p>"))
     hyp = F.when(c("raw"), F.replace("hyp", F.lit("{doc}"), framed)).otherwise(topic(c("hyp")))
     hand = hand.withColumns({"hyp": hyp, "source": topic(c("source"))}).drop("raw")
