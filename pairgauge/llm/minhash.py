@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +33,8 @@ from .common import BROADCAST_ROWS, few, mix, shingle_sets, steps, table
 
 T, ROWS = 192, 6
 BANDS = T // ROWS
-HUB_ROUNDS = 3
-BLOCK = 256
+HUB_ROUNDS = 1
+BLOCK = 512
 _FREE = np.uint64(2**64 - 1)
 _SEEDS = mix(np.arange(1, 2 * 4096 + 1, dtype=np.uint64))
 
@@ -138,8 +137,12 @@ def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     theirs = r.filter("label != main").select("key", "node", "label", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), F.pmod("h", F.col("ob")).alias("j"), F.lit(1).alias("side"))
     held = mine.union(theirs).join(sets, "node")
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        root = {x: x for x in p.label}
+    def run(t: pa.Table) -> pa.Table:
+        side, node, label = (t.column(c).to_numpy() for c in ("side", "node", "label"))
+        col = t.column("s").combine_chunks()
+        off, flat = col.offsets.to_numpy(), col.flatten().to_numpy()
+        off = off - off[0]
+        root = {x: x for x in label.tolist()}
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -147,19 +150,29 @@ def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x = root[x]
             return x
 
+        size = np.diff(off)
+        mine = np.flatnonzero(side == 0)
+        own = np.repeat(np.arange(len(mine)), size[mine])
+        values = np.concatenate([flat[off[k] : off[k + 1]] for k in mine]) if len(mine) else flat[:0]
+        order = np.argsort(values, kind="stable")
+        values, own = values[order], own[order]
         out = []
-        a, b = p[p.side == 0], p[p.side == 1]
-        for n1, l1, s1 in zip(b.node, b.label, b.s, strict=True):
-            for n2, l2, s2 in zip(a.node, a.label, a.s, strict=True):
-                if find(l1) == find(l2) or 100 * len(s1) < percent * len(s2) or 100 * len(s2) < percent * len(s1):
-                    continue
-                both = len(np.intersect1d(s1, s2, assume_unique=True))
-                if 100 * both >= percent * (len(s1) + len(s2) - both):
-                    out.append((n1, n2))
-                    root[find(l1)] = find(l2)
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return held.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+        for k in np.flatnonzero(side == 1):
+            # shared shingles with all of the block at once
+            one = flat[off[k] : off[k + 1]]
+            lo, hi = np.searchsorted(values, one, "left"), np.searchsorted(values, one, "right")
+            run_ = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(run_)[:-1]]), run_) + np.arange(run_.sum())
+            both = np.bincount(own[at], minlength=len(mine))
+            near = np.flatnonzero(100 * both >= percent * (len(one) + size[mine] - both))
+            for j in near:
+                x, y = find(int(label[k])), find(int(label[mine[j]]))
+                if x != y:
+                    root[x] = y
+                    out.append((int(node[k]), int(node[mine[j]])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return held.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
