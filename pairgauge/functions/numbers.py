@@ -10,23 +10,28 @@ def clip(x: Column, low: float = -1.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+_SPLIT = 134217729.0  # 2**27 + 1: cuts a double into halves whose products are exact
+
+
 def py_round(x: Column, digits: int) -> Column:
     """Round the exact binary value half to even, as Python's round does.
 
-    The exact decimal expansion of a double in the working range fits decimal(38, 30)
-    only near zero, so the tie is settled on the difference to both neighbours instead:
-    a neighbour is taken when it is nearer in exact decimal terms."""
-    scale = F.lit(10.0**digits)
-    low = F.floor(x * scale) / scale
-    near = F.format_number(x, 17)  # correctly rounded decimal digits of the binary value
-    exact = F.regexp_replace(near, ",", "").cast("decimal(38,17)")
-    lowd = low.cast("decimal(38,17)")
-    up = (F.floor(x * scale) + 1) / scale
-    half = F.lit(0.5 / 10**digits).cast("decimal(38,17)")
-    gap = exact - lowd
-    even = F.pmod(F.floor(x * scale), F.lit(2)) == 0
-    out = F.when(gap < half, low).when(gap > half, up).when(even, low).otherwise(up)
-    return F.when(x.isNull() | F.isnan(x), x).otherwise(out)
+    The product with the power of ten is taken with its rounding error, so a tie is a tie of the
+    exact value and not of a decimal print of it."""
+    scale = 10.0**digits
+    big = scale * _SPLIT
+    high = big - (big - scale)
+    low = scale - high
+    p = x * scale
+    wide = x * _SPLIT
+    xh = wide - (wide - x)
+    xl = x - xh
+    error = ((xh * high - p) + xh * low + xl * high) + xl * low
+    base = F.floor(p).cast("double")
+    over = (p - (base + 0.5)) + error
+    even = base % 2 == 0
+    up = (over > 0) | ((over == 0) & ~even)
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.when(up, base + 1).otherwise(base) / scale)
 
 
 def lora_parameters(rank: Column, width_in: Column, width_out: Column, layers: Column) -> Column:
