@@ -57,7 +57,7 @@ def table(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that only this step needed
     out = spark.read.schema(df.schema).parquet(path)
     out._pairgauge_path = path

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, table
+from .common import LOWER, STEP_BYTES, prefix_hash, span_hash, table, word_spans
 
 ORDER = 5
 #: Text bytes of a block.
@@ -101,6 +101,14 @@ class _Pairs:
         return merged
 
 
+#: The key of the end token; other words' keys are hashes with the sign bit set, pairs' have none.
+END_KEY = -1
+
+
+def _word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return (span_hash(prefix_hash(data), starts, ends) | np.uint64(1 << 63)).view(np.int64)
+
+
 _FACT = "block long, key long, word binary, n long, texts binary"
 _ROWS = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("text", pa.binary())])
 
@@ -133,10 +141,14 @@ def _facts(block: int, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(key), 100_000):
         part = slice(lo, lo + 100_000)
         yield batch(len(key[part]), key=pa.array(key[part]), n=pa.array(n[part].astype(np.int64)))
+    end = words.pop(b"")
+    yield batch(1, key=pa.array([END_KEY]), word=pa.array([b""], pa.binary()), n=pa.array([end]))
     names = list(words)
     for lo in range(0, len(names), 100_000):
         part = names[lo : lo + 100_000]
-        yield batch(len(part), word=pa.array(part, pa.binary()), n=pa.array([words[w] for w in part], pa.int64()))
+        ends = np.cumsum([len(w) for w in part])
+        keys = _word_keys(np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+        yield batch(len(part), key=pa.array(keys), word=pa.array(part, pa.binary()), n=pa.array([words[w] for w in part], pa.int64()))
 
 
 def _blocks(block_bytes: int):
@@ -218,7 +230,8 @@ def score(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> Dat
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     facts = table(d.mapInArrow(_blocks(block_bytes), _FACT))
 
-    pairs = table(facts.filter("key is not null").groupBy("key").agg(F.sum("n").alias("n")))
+    is_pair = F.col("key") >= 0
+    pairs = table(facts.filter(is_pair).groupBy("key").agg(F.sum("n").alias("n")))
     symbol = F.col("key").bitwiseAND(255)
     two = pairs.filter("n > 0").select(F.shiftright("key", 8 * (ORDER - 1)).alias("c"), symbol.alias("a")).distinct()
     low = two.groupBy(F.shiftright("c", 8).alias("c"), "a").agg(F.count(F.lit(1)).alias("n"))
@@ -239,40 +252,39 @@ def score(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> Dat
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     scale, total_n = float(total.n + total.v + 1), int(total.n)
 
-    # a block's rows: its texts, the code lengths of its pairs, the counts of its words
-    none = lambda kind: F.lit(None).cast(kind)
-    a = facts.filter("key is not null").select("block", "key").join(coded, "key")
-    a = a.select("block", "key", none("binary").alias("word"), "v", none("binary").alias("texts"))
-    b = facts.filter("word is not null").select("block", "word").join(words, "word")
-    b = b.select("block", none("long").alias("key"), "word", F.col("c").cast("double").alias("v"), none("binary").alias("texts"))
-    c = facts.filter("texts is not null").select("block", none("long").alias("key"), none("binary").alias("word"), none("double").alias("v"), "texts")
+    # a block's rows: the code lengths of its pairs (in single precision), the counts of its words, its texts
+    a = facts.filter(is_pair).select("block", "key").join(coded, "key").select("block", "key", F.col("v").cast("float").cast("double").alias("v"))
+    b = facts.filter("word is not null").select("block", "key", "word").join(words, "word").select("block", "key", F.col("c").cast("double").alias("v"))
+    own = table(a.union(b))
+    c = facts.filter("texts is not null").select("block", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("v"), "texts")
 
     def block_scores(t: pa.Table) -> pa.Table:
-        pair, word, packed = (t.filter(t.column(x).is_valid()) for x in ("key", "word", "texts"))
-        known = pair.column("key").to_numpy()
+        packed = t.filter(t.column("texts").is_valid())
+        t = t.filter(t.column("key").is_valid())
+        known, v = t.column("key").to_numpy(), t.column("v").to_numpy()
         sort = np.argsort(known)
-        known, v = known[sort], pair.column("v").to_numpy()[sort]
-        count = word.column("v").to_numpy()
-        number = {w: i for i, w in enumerate(word.column("word").to_pylist())}
-        base, is_known = np.log10((count + 1) / scale), count > 0
+        known, v = known[sort], v[sort].astype(np.float64)
         rows = pa.ipc.open_stream(packed.column("texts")[0].as_py()).read_all()
-        texts = rows.column("text").to_pylist()
         scores, tokens, seen, sums = [], [], [], []
-        for data, offsets in _joined(texts):
+        end = v[np.searchsorted(known, END_KEY)]
+        for data, offsets in _joined(rows.column("text").to_pylist()):
             key, at = _keys(data, offsets)
             part = pc.dictionary_encode(pa.array(key))
             each = v[np.searchsorted(known, part.dictionary.to_numpy())]
             scores.append(np.add.reduceat(each[part.indices.to_numpy()], at[:-1]))
-        for x in texts:
-            ids = np.array([*map(number.__getitem__, x.lower().split()), number[b""]])
-            tokens.append(len(ids))
-            seen.append(int(is_known[ids].sum()))
-            sums.append(float(base[ids].sum()))
-        cols = [rows.column("doc_id"), pc.invert(rows.column("train")), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array([total_n] * len(texts), pa.int64()), pa.array(sums), pa.array(np.concatenate(scores))]
+            low, n = LOWER[data], len(offsets) - 1
+            starts, ends, row = word_spans(low, offsets)
+            count = v[np.searchsorted(known, _word_keys(low, starts, ends))]
+            tokens.append(np.bincount(row, minlength=n) + 1)
+            seen.append(np.bincount(row, weights=count > 0, minlength=n).astype(np.int64) + int(end > 0))
+            sums.append(np.bincount(row, weights=np.log10((count + 1) / scale), minlength=n) + math.log10((end + 1) / scale))
+        tokens, seen, sums, scores = (pa.array(np.concatenate(x)) for x in (tokens, seen, sums, scores))
+        cols = [rows.column("doc_id"), pc.invert(rows.column("train")), tokens, seen, pa.array(np.full(len(tokens), total_n)), sums, scores]
         return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return a.union(b).union(c).groupBy("block").applyInArrow(block_scores, schema)
+    whole = own.withColumn("texts", F.lit(None).cast("binary")).union(c)
+    return whole.groupBy("block").applyInArrow(block_scores, schema)
 
 
 def code_length(data: bytes, order: int = ORDER) -> float:

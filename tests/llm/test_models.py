@@ -54,8 +54,8 @@ def test_ppm_is_exact(docs, nothing, rows):
         tokens = [*x.lower().split(), b""]
         want.append((d, not (d is None or learn[d]), len(tokens), sum(words[t] > 0 for t in tokens), n, sum(math.log10((words[t] + 1) / (n + v + 1)) for t in tokens), code(x)))
     assert sorted(map(repr, (tuple(r)[:5] for r in got))) == sorted(map(repr, (w[:5] for w in want)))
-    for i in (5, 6):
-        assert np.allclose(sorted(r[i] for r in got), sorted(w[i] for w in want), rtol=1e-9)
+    for i, near in ((5, 1e-9), (6, 1e-6)):
+        assert np.allclose(sorted(r[i] for r in got), sorted(w[i] for w in want), rtol=near)
     assert ppm.score(nothing, ~ppm.held_out()).count() == 0
 
 
