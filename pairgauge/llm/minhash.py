@@ -219,7 +219,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, with its own columns: the one with the smallest id, and of rows
-    that share that id the one with the least text."""
-    gone = table(near_duplicates(docs, k, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(F.broadcast(gone) if few(gone) else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti").dropDuplicates(["doc_id"])
+    """One document of each group, with its own columns: the one with the smallest id.
+
+    Rows without an id cannot be named, so they stay; rows of equal id and text become one."""
+    gone = near_duplicates(docs, k, percent).filter(~F.col("kept") & F.col("doc_id").isNotNull())
+    gone = table(gone.select(F.col("doc_id").alias("_gone")).distinct())
+    left = docs.join(F.broadcast(gone) if few(gone) else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return left.dropDuplicates(["doc_id", "text"])
