@@ -85,15 +85,12 @@ def cleaned_answers(spark, sf_dir):
     return c.select("conv_id", "turn", X.clean_output(wrapped).alias("clean"), X.extract_xml(framed).alias("body"))
 
 
-@query("select event_id, round_even(value, 2) rounded, least(1, greatest(-1, value / 100)) clipped from events")
+@query("select event_id, round(value, 2) rounded, least(1, greatest(-1, value / 100)) clipped from events")
 def rounded_values(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     return e.select("event_id", numbers.py_round(F.col("value"), 2).alias("rounded"), numbers.clip(F.col("value") / 100).alias("clipped"))
 
 
-ORACLE_SQL.pop("rounded_values")  # decimal half-even differs from the exact binary value; tested against Python
-
-
 # -- checks, scores and repairs over generated pairs ---------------------------------------------
 # Rows follow from doc_id alone: doc_id % 6 says what is wrong with a translation.
 
