@@ -30,11 +30,15 @@ def arrow_function(schema: str, one: Callable, name: str) -> Callable[..., Colum
 
     made: list[Callable[..., Column]] = []
 
-    def call(*columns: Column) -> Column:
+    def function() -> Callable[..., Column]:
         if not made:
             made.append(build())
-        return made[0](*columns)
+        return made[0]
+
+    def call(*columns: Column) -> Column:
+        return function()(*columns)
 
+    call.function = function  # type: ignore[attr-defined]
     return call
 
 
@@ -174,4 +178,28 @@ chrf = arrow_function("double", lambda h, r: None if h is None or r is None else
 closed = arrow_function("boolean", lambda x: trees.closed(x or ""), "xml_closed")
 flows = arrow_function("array<struct<text:string,spans:array<struct<s:int,e:int>>>>", lambda x: None if (r := trees.parse_document(x)) is None else [{"text": t, "spans": [{"s": a, "e": b} for a, b in s]} for t, s in trees.flows(r)], "inline_flows")
 
-__all__ = ["arrow_function", "block_texts", "chrf", "closed", "diff", "facts", "fix_aligned", "fix_simple", "flows", "nodes", "oracle_facts", "segments", "visible_text"]
+
+def _decoded(raw: str | None) -> dict | None:
+    if raw is None:
+        return None
+    text, spans = trees.decode_mapped(raw)
+    return {"text": text, "spans": [{"s": a, "e": b} for a, b in spans]}
+
+
+#: Raw character data decoded, with the place of each character in the raw text.
+decode_mapped = arrow_function("struct<text:string,spans:array<struct<s:int,e:int>>>", _decoded, "decode_mapped")
+
+#: The oracle's reward of a source and an answer as one scalar, for callbacks and SQL.
+gated_scalar = arrow_function("double", lambda s, h: trees.gated_scalar(s, h), "gated_scalar")
+
+SQL_FUNCTIONS = ("chrf", "closed", "facts", "diff", "nodes", "segments", "flows", "fix_simple", "fix_aligned", "visible_text", "gated_scalar", "decode_mapped")
+
+
+def register(spark: SparkSession, prefix: str = "xml_") -> list[str]:
+    """Make the functions of this module callable from SQL."""
+    for name in SQL_FUNCTIONS:
+        spark.udf.register(prefix + name, globals()[name].function())
+    return [prefix + name for name in SQL_FUNCTIONS]
+
+
+__all__ = ["arrow_function", "block_texts", "chrf", "closed", "decode_mapped", "diff", "facts", "fix_aligned", "fix_simple", "flows", "gated_scalar", "nodes", "oracle_facts", "register", "segments", "visible_text"]

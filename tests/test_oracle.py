@@ -51,3 +51,11 @@ def test_fixer_keeps_raw_bytes():
     assert trees.fix_aligned("<t>a<b> : </b>x</t>") == f"<t>a<b>{n}: </b>x</t>"
     assert trees.fix_aligned("<t>a<b>") == "<t>a<b>"
     assert trees.fix_aligned("<t><codeph>a:b</codeph> c&#32;?</t>") == f"<t><codeph>a:b</codeph> c&#32;{n}?</t>"
+
+
+def test_scalar_and_sql_functions_agree(spark):
+    xml.register(spark)
+    cases = generators.fixtures(spark).withColumnRenamed("source", "src")
+    formats.oracle(cases).select("id", "src", "hyp", "oracle_reward").createOrReplaceTempView("scored")
+    assert spark.sql("select * from scored where xml_gated_scalar(src, hyp) <> oracle_reward").count() == 0
+    assert spark.sql("select xml_chrf('a b', 'a b') c, xml_decode_mapped('a&amp;b') d").first() == (100.0, ("a&b", [(0, 1), (1, 6), (6, 7)]))

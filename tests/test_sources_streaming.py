@@ -59,3 +59,15 @@ def test_tail_replay_windows_and_snapshot(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "snap")).collect())) == [("d", 1, 1), ("s", 3, 2)]
+
+
+def test_scan_stops_at_target(spark, tmp_path):
+    for k in range(3):
+        _log(tmp_path / "log", f"{k}.json", [{"run": "r", "hit": i % 2 == 0, "place": 4 * k + i} for i in range(4)])
+    events = spark.readStream.schema("run string, hit boolean, place long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "log"))
+    q = streaming.scan_progress(events, "run", "hit", 3).writeStream.format("memory").queryName("scan").outputMode("update").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [tuple(r)[1:] for r in spark.table("scan").orderBy("scanned").collect()] == [(4, 2, False), (5, 3, True), (5, 3, True)]
+    batch = spark.createDataFrame([("g", 1, 2.0), ("g", 2, 5.0), ("g", 3, 5.0)], "g string, step long, m double")
+    assert tuple(streaming.best_so_far(batch, "g", "m").first()) == ("g", 2, 5.0)
