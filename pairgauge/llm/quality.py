@@ -55,7 +55,7 @@ RULES = (
     Rule("long_words", "word_chars", "n_words", high=1500),
     Rule("symbols", "n_symbols", "word_chars", high=5),
     Rule("stop_words", "n_stop_words", "n_words", low=2),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=50),
 )
 
 

@@ -90,7 +90,7 @@ m as (select doc_id, len(w)::bigint n_words, length(regexp_replace(t, '[\\x20\\x
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not (base_failed or 100 * word_chars < 200 * n_words or 100 * word_chars > 1500 * n_words or 100 * n_symbols > 5 * word_chars
-    or 100 * n_stop_words < 2 * n_words or 100 * n_dup_lines > 30 * n_lines) kept, n_lines, n_stop_words from b""",
+    or 100 * n_stop_words < 2 * n_words or 100 * n_dup_lines > 50 * n_lines) kept, n_lines, n_stop_words from b""",
     "op7_line_dedup": """
 with l as (select doc_id, ln, t, length(t) n from (select doc_id, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) ln from documents)),
 u as (select t, n, min((doc_id, ln)) f from l where n >= 20 group by all),
