@@ -18,6 +18,7 @@ BLOCK_BYTES = 12 << 20
 BROADCAST_ROWS = 1_000_000
 
 _MADE: dict[str, str] = {}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def let(x: Column, body) -> Column:
@@ -57,8 +58,13 @@ def table(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that only this step needed
+    # this step's shuffle files go with it, on all executors; nothing else reads them
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._pairgauge_path = path
     return out

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, STEP_BYTES, prefix_hash, span_hash, table, word_spans
+from .common import LOWER, STEP_BYTES, drop_table, prefix_hash, span_hash, table, word_spans
 
 ORDER = 5
 #: Text bytes of a block.
@@ -256,14 +256,14 @@ def score(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> Dat
     a = facts.filter(is_pair).select("block", "key").join(coded, "key").select("block", "key", F.col("v").cast("float").cast("double").alias("v"))
     b = facts.filter("word is not null").select("block", "key", "word").join(words, "word").select("block", "key", F.col("c").cast("double").alias("v"))
     own = table(a.union(b))
-    c = facts.filter("texts is not null").select("block", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("v"), "texts")
+    for used in (pairs, words):
+        drop_table(docs.sparkSession, used._pairgauge_path)
+    packed = facts.filter("texts is not null").select("block", "texts")
 
-    def block_scores(t: pa.Table) -> pa.Table:
-        packed = t.filter(t.column("texts").is_valid())
-        t = t.filter(t.column("key").is_valid())
+    def block_scores(packed: pa.Table, t: pa.Table) -> pa.Table:
         known, v = t.column("key").to_numpy(), t.column("v").to_numpy()
         sort = np.argsort(known)
-        known, v = known[sort], v[sort].astype(np.float64)
+        known, v = known[sort], v[sort]
         rows = pa.ipc.open_stream(packed.column("texts")[0].as_py()).read_all()
         scores, tokens, seen, sums = [], [], [], []
         end = v[np.searchsorted(known, END_KEY)]
@@ -283,8 +283,7 @@ def score(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> Dat
         return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    whole = own.withColumn("texts", F.lit(None).cast("binary")).union(c)
-    return whole.groupBy("block").applyInArrow(block_scores, schema)
+    return packed.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(block_scores, schema)
 
 
 def code_length(data: bytes, order: int = ORDER) -> float:
