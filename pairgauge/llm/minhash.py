@@ -104,9 +104,13 @@ def components(links: DataFrame) -> DataFrame:
     labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label"))
     while True:
         labels = table(labels)
-        far = both.join(labels, both["v"] == labels["node"]).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(far, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        small = few(labels)
+        lookup = F.broadcast(labels) if small else labels
+        # one shuffle a round: own labels and neighbours' labels meet by node
+        near = both.join(lookup.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        step = near.union(own).groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old"))
+        jump = lookup.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = table(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
         moved = new.filter("old != label").limit(1).count()
         labels = new.select("node", "label")
