@@ -226,6 +226,14 @@ def main_text(page: str | None, templates: set[int] = frozenset()) -> tuple[str,
     return "\n".join(kept), len(gone)
 
 
+def identity(elements: list[Element], blocks: list[tuple[str, int]]) -> int:
+    """What tells pages of distinct content apart: the root's hash; without a root, that of all blocks which nothing excludes."""
+    if root := content_root(elements):
+        return elements[root].hash
+    kept = "\x00".join(text for text, home in blocks if not elements[home].out)
+    return int.from_bytes(blake2b(kept.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def host_of(url: str | None) -> str:
     m = _HOST.match(url or "")
     return m[1].lower() if m else ""
@@ -239,8 +247,8 @@ def subtrees(pages: DataFrame) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             for page_id, x, url, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                elements, _ = parse(text or "")
-                whole, host = elements[content_root(elements)].hash or elements[-1].hash, host_of(url)
+                elements, blocks = parse(text or "")
+                whole, host = identity(elements, blocks), host_of(url)
                 found: dict[int, bool] = {}
                 for h, is_open in candidates(elements):
                     found[h] = found.get(h, False) or is_open

@@ -130,6 +130,22 @@ def test_html_copies_are_no_template(spark):
     assert {r.text for r in got} == {"T1 & co\nText 1 of the page bold.\nMore 1\nShared box text"}
 
 
+PLAIN = """<html><body><div><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></div><div><h1>T{i}</h1><p>Text {i} of the page</div>
+<table><tr><td>Imprint of the host</td></tr></table><script>end()</script></body></html>"""
+
+
+def test_html_templates_without_a_root(spark):
+    """Unmarked menu and footer of pages without article or main, which all end in the same element; copies of one page stay."""
+    rows = [(i, f"http://a.example/{i}", PLAIN.format(i=i)) for i in range(6)] + [(10 + i, f"http://b.example/{i}", PLAIN.format(i=1)) for i in range(6)]
+    # copies that differ in an excluded part only
+    rows += [(20 + i, f"http://c.example/{i}", PLAIN.format(i=1).replace("<script>", f"<nav>{i}</nav><script>")) for i in range(6)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = f"T{r.page_id}\nText {r.page_id} of the page" if r.page_id < 10 else "Home\nNews\nT1\nText 1 of the page\nImprint of the host"
+        assert r.text == want, r
+
+
 def test_unmarked_pages():
     text, _ = html_extract.main_text("<p>one<p>two &lt;3<ul><li>a<li>b</ul><!-- c --><form><input>no</form>tail &nbsp; end")
     assert text == "one\ntwo <3\na\nb\ntail end"
