@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import few, table
 
-#: A subtree is a template from so many distinct pages of its host, and this share of them.
+#: A subtree is a template from so many distinct pages of its host, however many pages the host has.
 MIN_PAGES = 4
-MIN_SHARE = 0.02
 
 # fixed values of HTML: void elements, elements of raw text, and elements that make blocks
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -264,17 +263,16 @@ def _key() -> list:
     return [F.col("page_id").cast("long").alias("page_id"), F.xxhash64("url", "html").alias("x")]
 
 
-def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, hash, n_pages): subtrees that recur across the pages of a host."""
-    total = found.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    each = found.select("host", "hash", "page").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_pages")).filter(F.col("n_pages") >= min_pages)
-    return each.join(total, "host").filter(F.col("n_pages") >= F.col("total") * min_share).select("host", "hash", "n_pages")
+    each = found.select("host", "hash", "page").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_pages"))
+    return each.filter(F.col("n_pages") >= min_pages)
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars, n_templates per row of ``pages``."""
     found = table(subtrees(pages))
-    recurring = templates(found, min_pages, min_share)
+    recurring = templates(found, min_pages)
     # what is excluded by its own marks needs no second reason
     gone = found.filter("open").join(recurring, ["host", "hash"]).groupBy("page_id", "x").agg(F.collect_set("hash").alias("gone"))
     gone = table(gone)

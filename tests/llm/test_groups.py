@@ -146,6 +146,14 @@ def test_html_templates_without_a_root(spark):
         assert r.text == want, r
 
 
+def test_html_templates_of_a_large_host(spark):
+    """A box on 4 pages is a template beside 4 pages of its host and beside 400."""
+    for n in (4, 400):
+        rows = [(i, f"http://a.example/{i}", PAGE.format(i=i) if i < 4 else f"<div>Number {i}</div><article><p>Page {i}</article>") for i in range(n)]
+        got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+        assert {r.page_id: r.text for r in got.filter("page_id < 4").collect()} == {i: f"T{i} & co\nText {i} of the page bold.\nMore {i}" for i in range(4)}, n
+
+
 def test_unmarked_pages():
     text, _ = html_extract.main_text("<p>one<p>two &lt;3<ul><li>a<li>b</ul><!-- c --><form><input>no</form>tail &nbsp; end")
     assert text == "one\ntwo <3\na\nb\ntail end"
