@@ -3,7 +3,9 @@
 Lines (split at \\n) of ``min_chars`` code points or more are compared over the whole corpus. An
 occurrence goes if an equal line, or one within edit distance 1, stands earlier; order is by
 (doc_id, line number), nulls last. Whether that earlier line stays itself makes no difference, so
-the result does not depend on the order of work. Shorter and blank lines always stay.
+the result does not depend on the order of work. With ``short``, shorter lines that are not blank
+go too if an equal one stands earlier (an edit would make too many of them alike); without it, and
+if blank, they always stay.
 
 A deletion neighbourhood of whole long lines would have as many variants as there are bytes, so it
 is refined in three equi-joins that lose no pair. For lines of c and of c (or c+1) characters:
@@ -36,10 +38,15 @@ def _doc_key() -> Column:
     return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("x"))
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def _takes_part(t: Column, min_chars: int, short: bool) -> Column:
+    long = F.length(t) >= min_chars
+    return long | t.rlike(r"[^\x20\x09-\x0D]") if short else long
+
+
+def _lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
     """(d, x, ln, t, n, h): the lines that take part, n their length and h their hash."""
     rows = docs.select(_doc_key().alias("k"), F.posexplode(F.split("text", "\n")).alias("ln", "t"))
-    rows = rows.select("k.d", "k.x", "ln", "t", F.length("t").alias("n")).filter(F.col("n") >= min_chars)
+    rows = rows.select("k.d", "k.x", "ln", "t", F.length("t").alias("n")).filter(_takes_part(F.col("t"), min_chars, short))
     return rows.withColumn("h", F.xxhash64("t", "n"))
 
 
@@ -110,17 +117,17 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return told.filter((F.col("h") != F.col("ph")) & (F.levenshtein("t", "pt", 1) >= 0)).select("h", F.col("d").alias("partner_d"), F.col("ln").alias("partner_ln")).distinct()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, also: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, also: tuple[str, ...] = (), short: bool = False) -> DataFrame:
     """(doc_id, text, kept_text, n_lines, n_removed) and the columns ``also`` for every row of ``docs``."""
     d = docs.select("doc_id", "text")
-    first = _lines(d, min_chars).groupBy("h").agg(F.min(F.struct("d", "ln", "x")).alias("f"))
+    first = _lines(d, min_chars, short).groupBy("h").agg(F.min(F.struct("d", "ln", "x")).alias("f"))
     gone = table(removed_lines(d, min_chars).select("h").distinct())
     first = first.join(F.broadcast(gone) if few(gone) else gone, "h", "left_anti")
     kept = first.groupBy(F.col("f.d").alias("d"), F.col("f.x").alias("x")).agg(F.collect_list("f.ln").alias("lns"))
     rows = docs.select("doc_id", "text", *also, _doc_key().alias("_k"))
     rows = rows.join(kept, (rows["_k.d"] == kept["d"]) & (rows["_k.x"] == kept["x"]), "left")
     lns = F.coalesce("lns", F.array().cast("array<int>"))
-    flags = lambda ls, at: F.filter(ls, lambda x, i: (F.length(x) < min_chars) | F.array_contains(at, i))
+    flags = lambda ls, at: F.filter(ls, lambda x, i: ~_takes_part(x, min_chars, short) | F.array_contains(at, i))
     both = F.when(F.col("text").isNotNull(), let(F.split("text", "\n"), lambda ls: F.struct(F.size(ls).alias("n"), flags(ls, lns).alias("kept"))))
     rows = rows.select("doc_id", "text", *also, both.alias("b"))
     return rows.select(
@@ -135,8 +142,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, also: tuple[str, ..
 
 
 def clean_documents(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The documents with the lines that stay, n_chars (if there is such a column) made to fit."""
+    """The documents with the lines that stay (exact copies go at every length), n_chars (if there is such a column) made to fit."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    out = dedup_lines(docs.select("doc_id", "text", F.struct(*cols).alias("_row")), min_chars, ("_row",))
+    out = dedup_lines(docs.select("doc_id", "text", F.struct(*cols).alias("_row")), min_chars, ("_row",), short=True)
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return out.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

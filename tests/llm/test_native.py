@@ -67,6 +67,15 @@ def test_line_dedup(spark, docs, nothing):
     assert linededup.clean_documents(docs).columns == docs.columns
 
 
+def test_short_lines_are_cleaned(spark):
+    """Exact copies go at every length; blank lines and short lines one edit apart stay."""
+    texts = ["Les.\n\nWh the.\nLes.\n  ", "Les!\n\nWh the.\n  \nx\nx", "Les.", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: (r.text, r.n_chars) for r in linededup.clean_documents(df).collect()}
+    assert got == {0: ("Les.\n\nWh the.\n  ", 16), 1: ("Les!\n\n  \nx", 10), 2: ("", 0), 3: (None, None)}
+    assert [r.n_removed for r in linededup.dedup_lines(df).collect()] == [0] * 4
+
+
 def test_decontamination(spark, docs, nothing, rows):
     passage = rows[36][1].split()[40:70]
     items = [(1, " ".join(passage)), (2, "never seen words stand in this item of the test"), (3, None), (4, ""), (5, "two words"), (6, " ".join(passage[:12]) + " changed " + " ".join(passage[13:])), (7, "One!")]
