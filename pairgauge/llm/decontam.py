@@ -62,8 +62,8 @@ def sketches(items: DataFrame, item_id: str = "item_id", text: str = "text", k:
     return w.withColumn("need", need).withColumn("sketch", F.slice(by_k, 1, F.col("m") - need + 1)).select("item_id", "k", "m", "need", "shingles", "sketch")
 
 
-def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, item_id, n_item_shingles, n_shared): the items that documents contain."""
+def _found(docs: DataFrame, items: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
+    """(doc_id, x, item_id, n_item_shingles, n_shared): the items in each document, x the hash of its text."""
     sk = table(sketches(items, k=k, percent=percent).repartition(1))
     probes = sk.select("item_id", "k", F.explode("sketch").alias("h")).groupBy("h", "k").agg(F.collect_set("item_id").alias("item_ids"))
     probes = table(probes.repartition(1))
@@ -87,17 +87,17 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     pairs = found.join(F.broadcast(sk.select("item_id", "k", "m", "need", "shingles")) if small else sk, "item_id")
     full = some.dropDuplicates(["key"]).select("key", norm_words(F.col("text")).alias("w")).join(pairs.withColumnRenamed("key", "key2"), F.col("key").eqNullSafe(F.col("key2")))
     shared = F.size(F.array_intersect("shingles", let(F.col("w"), lambda w: shingle_strings(w, F.col("k")))))
-    return (
-        full.select("key.doc_id", "item_id", F.col("m").cast("long").alias("n_item_shingles"), shared.cast("long").alias("n_shared"), "need")
-        .filter("n_shared >= need")
-        .groupBy("doc_id", "item_id", "n_item_shingles")
-        .agg(F.max("n_shared").alias("n_shared"))
-    )
+    shared = shared.cast("long").alias("n_shared")
+    return full.select("key.doc_id", "key.x", "item_id", F.col("m").cast("long").alias("n_item_shingles"), shared, "need").filter("n_shared >= need").drop("need")
+
+
+def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, item_id, n_item_shingles, n_shared): the items that documents contain."""
+    return _found(docs, items, doc_id, text, k, percent).groupBy("doc_id", "item_id", "n_item_shingles").agg(F.max("n_shared").alias("n_shared"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents in which no item is found, with their own columns only."""
-    bad = table(matches(docs, items).select("doc_id").distinct())
+    """The documents in which no item is found, with their own columns only; of rows that share an id, or have none, the others stay."""
+    bad = table(_found(docs, items, "doc_id", "text", K, PERCENT).select(F.col("doc_id").alias("_bad"), F.col("x").alias("_x")).distinct())
     bad = F.broadcast(bad) if few(bad) else bad
-    return docs.join(bad.withColumnRenamed("doc_id", "_bad"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
-
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_x")), "left_anti")

@@ -76,6 +76,16 @@ def test_short_lines_are_cleaned(spark):
     assert [r.n_removed for r in linededup.dedup_lines(df).collect()] == [0] * 4
 
 
+def test_contaminated_rows_without_an_id(spark):
+    """Of rows that share an id, or have none, those that hold an item go."""
+    item = "this is the secret item of the benchmark with some more words"
+    rows = [(None, "begin " + item), (None, "a clean text of no id"), (1, item + " end"), (1, "another clean text"), (2, "more clean words"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontam.remove_contaminated(df, items).collect()
+    assert sorted(map(tuple, left), key=repr) == sorted([rows[1], rows[3], rows[4], rows[5]], key=repr)
+
+
 def test_decontamination(spark, docs, nothing, rows):
     passage = rows[36][1].split()[40:70]
     items = [(1, " ".join(passage)), (2, "never seen words stand in this item of the test"), (3, None), (4, ""), (5, "two words"), (6, " ".join(passage[:12]) + " changed " + " ".join(passage[13:])), (7, "One!")]
