@@ -15,15 +15,17 @@ and stores each file as one binary cell of a table in the shared folder, so that
 whole files and lost tasks leave nothing behind; ``export`` writes the same bytes as plain files.
 
 Null texts count as empty, null ids come first; repeated rows are stored each, and an empty table
-gives no files.
+gives no files. Only id and text are read, so other columns and their names do not matter. A text
+longer than a file's share makes a file of its own.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -96,69 +98,105 @@ class TokenFile:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1] - self.starts[k]))
 
 
-#: A mark that is one token and stands between words encoded in one call.
-MARK = "|"
-_TAIL = b".,!?;:"
+# the normalizer and pre-tokenizer of the one kind of file that is encoded piece by piece (fixed values of that format)
+KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# letters, numbers and white space below U+0180, where NFC changes nothing and every lower case is one letter (but for U+0130)
+_L, _N, _S = "a-zªµºß-öø-ÿ\u0100-\u017f", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+_BEYOND = re.compile("[\u0130\u0180-\U0010ffff]")
+#: Characters that are cut into pieces at once; longer texts are cut at a space, which no piece crosses.
+RUN_CHARS = 1 << 20
 _ENCODERS: dict[str, tuple] = {}
 
 
-def _word_encoder(path: str):
-    """Encodes texts word by word: the tokenizer drops white space and no token crosses it, letters
-    and punctuation are apart, and it lower-cases. So a word's core is encoded once a worker; a core
-    of ASCII letters is one piece to the tokenizer, which its model takes as it is."""
-    if path not in _ENCODERS:
-        from tokenizers import Tokenizer
-
-        _ENCODERS[path] = (Tokenizer.from_file(path), {}, {})
-    tok, store, cores = _ENCODERS[path]
-    mark = tok.encode(MARK, add_special_tokens=False).ids
-
-    def whole(ws: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of words, in calls of many words with marks between them."""
-        plain = [w for w in ws if MARK.encode() not in w]
-        found: dict[bytes, tuple[int, ...]] = {}
-        for lo in range(0, len(plain), 1000):
-            part = plain[lo : lo + 1000]
-            ids = np.array(tok.encode(f" {MARK} ".join(w.decode() for w in part), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else []
-            if len(cuts) == len(part) - 1:
-                found.update(zip(part, map(tuple, (x.tolist() for x in np.split(ids, cuts))), strict=True))
-        out = []
-        for i, w in enumerate(ws):
-            ids = found.get(w)
-            if ids is None:
-                ids = tuple(tok.encode(w.decode(), add_special_tokens=False).ids)
-            elif ids[:1] == (mark[0],):
-                ids = ids[1:]
-            out.append(ids)
-        return out
-
-    model = tok.model.tokenize
-
-    def core(w: bytes) -> tuple[bytes, bytes]:
-        """A word's letters, lower-cased if they are ASCII, and its closing punctuation."""
-        body = w.rstrip(_TAIL)
-        if body.isalpha():
-            return body.lower(), w[len(body) :]
-        return (body, w[len(body) :]) if body and body.decode().isalpha() else (w, b"")
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        parts = [t.encode().split() for t in texts]
-        for kept in (store, cores):
-            if len(kept) > STORE:
-                kept.clear()
-        new = {w: core(w) for w in set().union(*parts).difference(store)}
-        need = {x for pair in new.values() for x in pair if x and x not in cores}
-        for x in need:
-            if x.isalpha() and x.islower():
-                cores[x] = tuple([t.id for t in model(x.decode())])
-        rest = [x for x in need if x not in cores]
-        cores.update(zip(rest, whole(rest), strict=True))
-        for w, (body, tail) in new.items():
-            store[w] = cores[body] + cores[tail] if tail else cores[body]
-        return [list(chain.from_iterable(map(store.__getitem__, ws))) for ws in parts]
-
-    return tok, encode
+def _byte_symbols() -> dict[int, int]:
+    """Byte-level symbols: visible Latin-1 characters stand for themselves, the other bytes for U+0100 onwards."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+class _Kept(dict):
+    """Packed ids by piece, worked out when first asked for; emptied when full."""
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of = ids_of
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= STORE:
+            self.clear()
+        ids = self.ids_of(piece)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= 64:
+            self[piece] = packed
+        return packed
+
+
+def _runs(text: str) -> Iterator[str]:
+    lo = 0
+    while len(text) - lo > RUN_CHARS:
+        hi = text.find(" ", lo + RUN_CHARS)
+        if hi < 0:
+            break
+        yield text[lo:hi]
+        lo = hi
+    yield text[lo:] if lo else text
+
+
+def encoder(path: str):
+    """(vocabulary size, encode): encode gives a text's ids as little-endian unsigned 32-bit integers.
+
+    With the normalizer and pre-tokenizer known above no piece crosses white space, so each distinct
+    piece goes through the model once a worker: texts below U+0180 are lower-cased and cut by the same
+    pattern here; of other texts, and of those that spell an added token, whole words go through the
+    library. Any other file's texts go through the library whole."""
+    if path in _ENCODERS:
+        return _ENCODERS[path]
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    whole = lambda text: tok.encode(text, add_special_tokens=False).ids
+    conf = json.loads(tok.to_str())
+    added = [t for t in conf["added_tokens"] or []]
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not re.search(r"\s", t["content"]) for t in added)
+    if conf["normalizer"] == KNOWN_NORMALIZER and conf["pre_tokenizer"] == KNOWN_SPLIT and not conf["model"].get("dropout") and plain:
+        symbols, model = _byte_symbols(), tok.model.tokenize
+        special = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
+        word = _Kept(whole)
+
+        def by_model(piece: str) -> list[int]:
+            return [t.id for t in model(piece.encode().decode("latin-1").translate(symbols))]
+
+        piece = _Kept(by_model)
+
+        def encode(text: str) -> bytes:
+            out = []
+            for run in _runs(text):
+                if _BEYOND.search(run) or special.search(run):
+                    out.extend(map(word.__getitem__, _WORD.findall(run)))
+                else:
+                    out.extend(map(piece.__getitem__, _PIECE.findall(run.lower())))
+            return b"".join(out)
+    else:
+
+        def encode(text: str) -> bytes:
+            return np.array(whole(text), "<u4").tobytes()
+
+    _ENCODERS[path] = tok.get_vocab_size(with_added_tokens=True), encode
+    return _ENCODERS[path]
+
+
+_WORD = re.compile(r"[^\t-\r ]+")
 
 
 FILE_SCHEMA = "shard int, part int, n_docs long, n_ids long, content binary"
@@ -175,28 +213,26 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = 2, partitions: i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok, encode = _word_encoder(tokenizer)
-        bits, shard, part = bits_for(tok.get_vocab_size(with_added_tokens=True)), TaskContext.get().partitionId(), 0
+        vocabulary, encode = encoder(tokenizer)
+        bits, shard, part = bits_for(vocabulary), TaskContext.get().partitionId(), 0
         names, ids, lengths, total = [], [], [], 0
+        end = b"" if end_id is None else struct.pack("<I", end_id)
 
         def file() -> pa.RecordBatch:
-            body = build(names, np.concatenate(ids), lengths, bits)
+            body = build(names, np.frombuffer(b"".join(ids), "<u4"), lengths, bits)
             cols = [[shard], [part], [len(names)], [total], [body]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "part", "n_docs", "n_ids", "content"])
 
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                sub = b.slice(lo, 256)
-                for name, one in zip(sub.column(0).to_pylist(), encode([t or "" for t in sub.column(1).to_pylist()]), strict=True):
-                    if end_id is not None:
-                        one.append(end_id)
-                    names.append(NULL_ID if name is None else name)
-                    ids.append(np.array(one, np.uint32))
-                    lengths.append(len(one))
-                    total += len(one)
-                    if total >= FILE_IDS:
-                        yield file()
-                        names, ids, lengths, total, part = [], [], [], 0, part + 1
+            for name, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                one = encode(text.as_py()) + end
+                names.append(NULL_ID if name is None else name)
+                ids.append(one)
+                lengths.append(len(one) // 4)
+                total += len(one) // 4
+                if total >= FILE_IDS:
+                    yield file()
+                    names, ids, lengths, total, part = [], [], [], 0, part + 1
         if names:
             yield file()
 

@@ -164,3 +164,39 @@ def test_token_files(docs, nothing, rows, tmp_path):
     assert packing.read(packing.write(nothing, path)).count() == 0
     packing.export(files, f"file://{tmp_path}")
     assert sum(packing.TokenFile(p.read_bytes()).n_docs for p in tmp_path.glob("*.tok")) == len(rows)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_encoder_equals_the_library(name):
+    """Case mappings that join marks to punctuation, white space beyond ASCII, added tokens; a cased file that keeps white space."""
+    from tokenizers import Tokenizer
+
+    path, rnd = P.path(name), random.Random(3)
+    lib, (_, encode) = Tokenizer.from_file(path), packing.encoder(path)
+    signs = "aAbBzéÉßİıŁłŒœŸǅſKΣςº²½Ⅷ日🙂̸́̇<=>|'s't're'll.,!?;: \t\n\x0b\x1c\x85\xa0　​09_-"
+    cases = ["aİ!", "a<|endoftext|>b <|endoftext|>", "", "I'LL go,'s", "x" * 300 + " y"]
+    cases += ["".join(rnd.choice(signs) for _ in range(rnd.randrange(30))) for _ in range(4000)]
+    cases += ["".join(chr(rnd.randrange(1, 0x180 if i % 2 else 0xD800)) for _ in range(rnd.randrange(30))) for i in range(4000)]
+    for x in cases:
+        assert np.frombuffer(encode(x), "<u4").tolist() == lib.encode(x, add_special_tokens=False).ids, repr(x)
+
+
+def test_long_texts_are_encoded_in_runs(monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    _, encode = packing.encoder(path)
+    x = "It's a long text, of 12 words or so; été " * 50
+    whole = encode(x)
+    monkeypatch.setattr(packing, "RUN_CHARS", 17)
+    assert encode(x) == whole
+    monkeypatch.setattr(packing, "STORE", 3)
+    assert packing._Kept(lambda p: [len(p)])["abc"] == b"\3\0\0\0" and encode(x) == whole
+
+
+def test_token_files_of_another_tokenizer(docs, rows):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    got = sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in packing.read(packing.write(docs, path, end_id=None, partitions=2)).collect()), key=repr)
+    ids = [(d, np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4")) for d, t, *_ in rows]
+    assert got == sorted(((d, len(x), zlib.crc32(x.tobytes())) for d, x in ids), key=repr)
