@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -92,6 +93,15 @@ def block_of(n: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def return_memory(least: int = 4 << 20) -> None:
+    """Have this worker give large arrays back when they are dropped: glibc otherwise raises the size
+    from which it does so with every array, and keeps the pieces. No other C library needs it."""
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").mallopt(-3, least)  # M_MMAP_THRESHOLD
+
+
 # -- vectorised hashing -------------------------------------------------------------------
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -160,7 +170,8 @@ def steps(column, step_bytes: int = STEP_BYTES):
     """(first row, bytes, offsets) of runs of rows of an Arrow string column; nulls are empty."""
     import pyarrow as pa
 
-    col = column.fill_null("").cast(pa.large_string()) if column.null_count else column.cast(pa.large_string())
+    kind = pa.large_binary() if pa.types.is_large_binary(column.type) else pa.large_string()
+    col = column.fill_null("").cast(kind) if column.null_count else column.cast(kind)
     n = len(col)
     _, offsets, data = col.buffers()
     off = np.frombuffer(offsets, np.int64)[col.offset : col.offset + n + 1]

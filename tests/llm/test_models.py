@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from pairgauge.llm import bpe, packing, ppm, toxicity
 
@@ -57,17 +58,23 @@ def test_ppm_is_exact(docs, nothing, rows):
     for i, near in ((5, 1e-9), (6, 1e-6)):
         assert np.allclose(sorted(r[i] for r in got), sorted(w[i] for w in want), rtol=near)
     assert ppm.score(nothing, ~ppm.held_out()).count() == 0
+    blank = {(r.doc_id, len(x)): r.score for r, (_, x) in zip(ppm.score(docs.filter("doc_id < 3"), F.lit(False)).sort("doc_id").collect(), texts, strict=False)}
+    assert np.allclose(list(blank.values()), [-(n + 1) * math.log10(256) for _, n in blank])
 
 
 def test_ppm_is_a_distribution():
     key = np.array([(65 << 40) + (66 << 32) + (67 << 24) + (68 << 16) + (69 << 8) + a for a in range(256)], np.int64)
     n = np.zeros(256, np.int64)
     n[[3, 7, 200]] = (5, 1, 2)
+    two = np.array([(65 << 16) + (66 << 8) + a for a in (3, 7, 13, 200)], np.int64)
+    two_n = np.array([1, 2, 3, 1], np.int64)
     one = np.zeros((256, 256), np.int64)
-    one[65, [3, 7, 200, 9]] = (2, 1, 1, 4)
+    one[65, [3, 7, 200, 9, 13]] = (2, 1, 1, 4, 1)
     one[1, 11] = 1
     zero = (one > 0).sum(axis=0)
-    assert abs((10 ** ppm.code_lengths(key, n, one, zero)).sum() - 1) < 1e-9
+    assert abs((10 ** ppm.code_lengths(key, n, two, two_n, one, zero)).sum() - 1) < 1e-9
+    none = np.zeros(0, np.int64)
+    assert np.allclose(10 ** ppm.code_lengths(key, 0 * n, none, none, 0 * one, 0 * zero), 1 / 256)
     assert ppm.code_length(b"abcabcabcabc") > ppm.code_length(b"abcxkqzujwpv")
 
 
