@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import html.parser
 import random
+import time
 
 import numpy as np
 
@@ -159,6 +161,107 @@ def test_unmarked_pages():
     assert text == "one\ntwo <3\na\nb\ntail end"
 
 
+def test_html_wrappers_and_attributes():
+    """A name hides no article around it or in it; attribute values end where HTML ends them."""
+    of = lambda x: html_extract.main_text(x)[0]
+    assert of('<div class="has-sidebar"><article><p>hello world</p></article></div>') == "hello world"
+    assert of('<div class="related-layout"><main><p>hello</p></main></div><div>menu</div>') == "hello"
+    assert of('<div class="sidebar"><p>all of the text of a page</p></div><p>x</p>') == "all of the text of a page\nx"
+    assert of("<p>a</p><p title=it's>keep this</p><p>and don't lose it</p>") == "a\nkeep this\nand don't lose it"
+    assert of("<p data-x='>' title=\"a>b\" hidden=>gone</p><p =x a = \"'\">left</p>") == "left"
+    assert of('<article><p>some text of the article</p><div class="share-price">12 dollars</div><div class="share">mail</div></article>') == "some text of the article\n12 dollars"
+    assert of("<div role=main><p>hi</p></div><div>other</div>") == "hi"
+    assert of("<html><head><title>x</title><body><p>hi <button>share</button> there <span hidden>no</span>") == "hi there"
+    assert of('<article><p>one two</p><section class="comments"><article><p>many words of a reader and more</p></article></section></article>') == "one two"
+    assert of("a < b </ > c <!-- x --> d <!doctype html> e <?x?> f <p") == "a < b c d e f"
+    assert of("<!--" * 3) == of("<p>" * 3) == of("<script>x") == ""
+
+
+def test_html_is_linear():
+    """Tags without an end, deep nesting and stray end tags take a pass each."""
+    start = time.process_time()
+    for x in ("<a " * 300_000, "<div>" * 100_000 + "x", "<b>" * 50_000 + "</i>" * 50_000, "<b><article>" + "<div>" * 30_000 + "</b>" * 50_000, "<b>" * 30_000 + "<li>x</li>" * 30_000, '<a b="' * 100_000, "<div>x" * 30_000, "<!--" * 100_000):
+        html_extract.main_text(x)
+    assert time.process_time() - start < 15
+    assert html_extract.main_text("<div>x" * 30_000)[0].count("x") == 30_000
+
+
+class _Tree(html.parser.HTMLParser):
+    """A plain tree of well-formed pages: [tag, attributes, children]."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.top = self.at = ["", {}, []]
+        self.path = [self.top]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs), []]
+        self.path[-1][2].append(node)
+        if tag not in html_extract.VOID:
+            self.path.append(node)
+
+    def handle_endtag(self, tag):
+        if any(n[0] == tag for n in self.path[1:]):
+            while self.path.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.path[-1][2].append(data)
+
+
+def test_html_against_plain_counts(spark):
+    """A whole table: the article's blocks without subtrees that plain Python counts on 4 pages or more of the host."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    pages, places = [], collections.defaultdict(set)
+    box = "<section><p>Read our paper</p></section>"
+
+    def shown(node):
+        return node if isinstance(node, str) else f"<{node[0]}>" + "".join(map(shown, node[2])) + "</>"
+
+    def find(node, tag):
+        for c in node[2]:
+            if not isinstance(c, str):
+                yield from [c] if c[0] == tag else find(c, tag)
+
+    for r in rows:
+        html_ = r.html.replace("</article>", box + "</article>") if r.page_id % 2 else r.html
+        (article,) = find(_Tree(html_).top, "article")
+        host = html_extract.host_of(r.url)
+        pages.append((r.page_id, r.url, html_, host, article))
+        for tag in html_extract.CONTAINERS:
+            for c in find(article, tag):
+                places[host, shown(c)].add(shown(article))
+
+    def blocks(node, host, out):
+        for c in node[2]:
+            if isinstance(c, str):
+                out[-1] += c
+            elif c[0] not in html_extract.CONTAINERS or len(places[host, shown(c)]) < 4:
+                breaks = c[0] in html_extract.BLOCK
+                out += [""] * breaks
+                out[-1] += " " * (c[0] == "br")
+                # a paragraph left open ends at the next one, and so does what it left open
+                blocks(c, host, out)
+                out += [""] * breaks
+        return out
+
+    want = {p: "\n".join(t for b in blocks(article, host, [""]) if (t := " ".join(b.split()))) for p, _, _, host, article in pages}
+    assert sum("Read our paper" in t for t in want.values()) not in (0, len([p for p in want if p % 2]))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_html_templates_recur():
+    """Menus, adverts and footers of most pages are found to recur."""
+    page = '<div class="ad">Buy {i}</div><article><p>The text number {i} of many pages</p></article><footer>Host</footer>'
+    found = [html_extract.Page(page.format(i=i)).content() for i in range(3)]
+    assert len({p for _, _, p in found}) == 3
+    shared = set.intersection(*({h for h, *_ in c} for _, c, _ in found))
+    assert len(shared) == 1 and html_extract.main_text(page.format(i=9), shared) == ("The text number 9 of many pages", 1)
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
