@@ -74,8 +74,11 @@ class _Pairs:
         self.held = 0
 
     def add(self, key: np.ndarray, weight: int) -> None:
-        key, n = np.unique(key, return_counts=True)
-        self.parts.append((key, (n * weight).astype(np.int32)))
+        both = pc.value_counts(pa.array(key))
+        key, n = both.field("values").to_numpy(), both.field("counts").to_numpy()
+        order = np.argsort(key)
+        key = key[order]
+        self.parts.append((key, (n[order] * weight).astype(np.int32)))
         self.held += len(key)
         if self.held > len(self.parts[0][0]) + MERGE_PAIRS:
             self.merge()
@@ -337,9 +340,19 @@ def score(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> Dat
     packed = facts.filter("texts is not null").select("block", "texts")
 
     def block_scores(packed: pa.Table, t: pa.Table) -> pa.Table:
+        return_memory()
         known, v = t.column("key").to_numpy(), t.column("v").to_numpy()
         sort = np.argsort(known)
         known, v = known[sort], v[sort]
+
+        def of(key: np.ndarray) -> np.ndarray:
+            part = pc.dictionary_encode(pa.array(key))
+            distinct = part.dictionary.to_numpy()
+            order = np.argsort(distinct)
+            found = np.empty(len(distinct))
+            found[order] = v[np.searchsorted(known, distinct[order])]
+            return found[part.indices.to_numpy()]
+
         rows = pa.ipc.open_stream(packed.column("texts")[0].as_buffer())
         ids, learn, scores, tokens, seen, sums = [], [], [], [], [], []
         end = v[np.searchsorted(known, END_KEY)]
@@ -348,10 +361,10 @@ def score(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> Dat
             learn.append(b.column(1))
             for _, data, offsets in steps(b.column(2).cast(pa.large_binary())):
                 key, at = _keys(data, offsets)
-                scores.append(np.add.reduceat(v[np.searchsorted(known, key)], at[:-1]))
+                scores.append(np.add.reduceat(of(key), at[:-1]))
                 low, n = LOWER[data], len(offsets) - 1
                 starts, ends, row = word_spans(low, offsets)
-                count = v[np.searchsorted(known, _word_keys(low, starts, ends))]
+                count = of(_word_keys(low, starts, ends))
                 tokens.append(np.bincount(row, minlength=n) + 1)
                 seen.append(np.bincount(row, weights=count > 0, minlength=n).astype(np.int64) + int(end > 0))
                 sums.append(np.bincount(row, weights=np.log10((count + 1) / scale), minlength=n) + math.log10((end + 1) / scale))
