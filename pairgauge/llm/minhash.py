@@ -10,18 +10,25 @@ ones. BANDS bands of ROWS coordinates make candidates: at a similarity of 0.85 a
 band with a probability of 3e-7.
 
 Groups of copies are linked without making all their pairs: each bucket names a hub, and its
-members are verified against the hub by full sets. Components then grow over the links; buckets
-that still hold several components name other hubs, and what is left after HUB_ROUNDS is compared
-block by block, members of smaller components against all. So no link between components in a
-bucket is missed, while a bucket that is one component costs one comparison a member.
-
-Texts without words, and null texts, have an empty set and no links. Rows with equal ids are
-linked by their sets like any others and share the id. Results carry the smallest id of the
-component; null ids only count where a component has no other. Extra columns are not read.
+members are verified against the hub by full sets, a hub's set being dealt to as many tasks as its
+bucket has SPLIT members. Components then grow over the links; buckets that still hold several
+components name other hubs. What is left is sketched again, finer: WIDE coordinates in bands of
+WIDE_ROWS part documents that are merely alike from those that are near copies (at the asked
+similarity a pair is lost with a probability of 2e-5 at 0.80, 1e-9 at 0.85), and only members of one
+such bucket in different components are compared, in blocks of BLOCK shingles, members of smaller
+components against all. A bucket that is one component costs one comparison a member.
+
+A set is known by 128 bits of the blake2b digest of its sorted shingle hashes; should two classes
+share the 64 bits that name them, one is renamed. Texts without words, and null texts, have an
+empty set and no links. Rows with equal ids are linked by their sets like any others and share the
+id; rows are told apart by id and text, so equal and null ids do no harm. Results carry the smallest
+id of the component; null ids only count where a component has no other. Repeated rows are one
+class; an empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +36,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, few, mix, shingle_sets, steps, table
+from .common import few, mix, shingle_sets, steps, table
 
 T, ROWS = 192, 6
 BANDS = T // ROWS
+WIDE, WIDE_ROWS = 960, 10
 HUB_ROUNDS = 1
-BLOCK = 512
+#: Members of a bucket that one task verifies against its hub, about.
+SPLIT = 256
+#: Shingles of one side of a block; a larger set is a block of its own.
+BLOCK = 100_000
 _FREE = np.uint64(2**64 - 1)
 _SEEDS = mix(np.arange(1, 2 * 4096 + 1, dtype=np.uint64))
 
@@ -70,20 +81,44 @@ def band_keys(sk: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def digest(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit halves of a set's digest."""
+    a, b = np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), np.int64)
+    return int(a), int(b)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, x, text): x with the id tells texts apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("x"), "text")
+
+
 def _describe(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, node, bands): the set's size, its hash, and band keys."""
+    """(doc_id, x, n, node, mark, bands): the set's size, the halves of its digest, and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, data, off in steps(b.column(1)):
+            for lo, data, off in steps(b.column(2)):
                 sets = shingle_sets(data, off, k)
-                node = [int(mix(np.array([(s * np.uint64(0xD6E8FEB86659FD93) ^ (s >> np.uint64(29))).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64)) for s in sets]
+                node, mark = zip(*map(digest, sets), strict=True)
                 bands = band_keys(sketches(sets))
                 part = [x.tolist() if len(s) else [] for x, s in zip(bands, sets, strict=True)]
-                cols = [b.column(0).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(part, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "node", "bands"])
+                own = [b.column(i).slice(lo, len(sets)) for i in (0, 1)]
+                cols = [*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(mark, pa.int64()), pa.array(part, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "x", "n", "node", "mark", "bands"])
+
+    return _rows(docs).mapInArrow(run, "doc_id long, x long, n long, node long, mark long, bands array<long>")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, bands array<long>")
+
+def _classes(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of _describe with a node to each set of its own, and (node, rep, source, bands) a class."""
+    by_node = F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "x")).alias("source"), F.first("bands").alias("bands")
+    classes = table(d.filter("n > 0").groupBy("node").agg(*by_node, F.min("mark").alias("lo"), F.max("mark").alias("hi")))
+    clash = table(classes.filter("lo != hi").select("node", "lo"))
+    if clash.limit(1).count():
+        new = F.when(F.col("lo").isNotNull() & (F.col("mark") != F.col("lo")), F.xxhash64("node", "mark")).otherwise(F.col("node"))
+        d = table(d.join(F.broadcast(clash) if few(clash) else clash, "node", "left").withColumn("node", new).drop("lo"))
+        classes = table(d.filter("n > 0").groupBy("node").agg(*by_node))
+    return d, classes.select("node", "rep", "source", "bands")
 
 
 def _sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -98,13 +133,27 @@ def _sets_of(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, s array<long>")
 
 
+def _finer(sets: DataFrame) -> DataFrame:
+    """(node, key): keys of the finer bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                sub = b.slice(lo, 256)
+                keys = band_keys(sketches([x.values.to_numpy().view(np.uint64) for x in sub.column(1)], WIDE), WIDE_ROWS)
+                node = np.repeat(sub.column(0).to_numpy(), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys.ravel())], names=["node", "key"])
+
+    return sets.mapInArrow(run, "node long, key long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component, for the ends of ``links``."""
     both = table(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
     labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label"))
+    labels = table(labels)
+    small = few(labels)  # the same number of rows in every round
     while True:
-        labels = table(labels)
-        small = few(labels)
         lookup = F.broadcast(labels) if small else labels
         # one shuffle a round: own labels and neighbours' labels meet by node
         near = both.join(lookup.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "label", F.lit(None).cast("long").alias("old"))
@@ -112,9 +161,8 @@ def components(links: DataFrame) -> DataFrame:
         step = near.union(own).groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old"))
         jump = lookup.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = table(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
-        moved = new.filter("old != label").limit(1).count()
         labels = new.select("node", "label")
-        if not moved:
+        if not new.filter("old != label").limit(1).count():
             return labels
 
 
@@ -123,9 +171,12 @@ def similar(percent: int, n: Column, m: Column, both: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as asked."""
-    x = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-    x = x.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    """The pairs (a, b) whose full sets are as similar as asked. The rows (a, b, c) name hubs b of
+    buckets of c members: a hub's set goes to a task for every SPLIT of them."""
+    part = F.pmod(F.xxhash64("a"), F.ceil(F.col("c") / SPLIT)).alias("part")
+    pairs = table(pairs.select("a", "b", part).groupBy("a", "b").agg(F.min("part").alias("part")))
+    hubs = pairs.select("b", "part").distinct().join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    x = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(hubs, ["b", "part"])
     n, m = F.size("sa").cast("long"), F.size("sb").cast("long")
     x = x.filter((n * 100 >= m * percent) & (m * 100 >= n * percent))
     return x.filter(similar(percent, n, m, F.size(F.array_intersect("sa", "sb")).cast("long"))).select("a", "b")
@@ -133,10 +184,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components that share a bucket, compared in blocks; rows: (key, node, label)."""
-    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    top = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"))
-    top = top.select("key", F.col("top.label").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("int").alias("ob"))
-    r = rows.join(top, "key").withColumn("h", F.xxhash64("node"))
+    sizes = sets.select("node", F.size("s").cast("long").alias("n"))
+    rows = table(rows.join(sizes, "node"))
+    each = rows.groupBy("key", "label").agg(F.sum("n").alias("c"))
+    top = each.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
+    top = table(top.select("key", F.col("top.label").alias("main"), blocks(F.col("m")).alias("mb"), blocks(F.col("m") - F.col("top.c")).alias("ob")))
+    r = rows.join(F.broadcast(top) if few(top) else top, "key").withColumn("h", F.xxhash64("node"))
     mine = r.select("key", "node", "label", F.pmod("h", F.col("mb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("j"), F.lit(0).alias("side"))
     theirs = r.filter("label != main").select("key", "node", "label", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), F.pmod("h", F.col("ob")).alias("j"), F.lit(1).alias("side"))
     held = mine.union(theirs).join(sets, "node")
@@ -179,54 +233,87 @@ def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, node) for every row of ``docs``."""
-    d = table(_describe(docs, k))
-    classes = d.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    keyed = table(classes.select("node", F.explode("bands").alias("key")))
+def _split(rows: DataFrame, links: DataFrame, salt: int) -> DataFrame | None:
+    """The rows (key, node, c, label, hub, hub_label) of buckets that hold several components; None: no such bucket."""
+    left = table(rows.filter("c > 2").join(components(links), "node", "left").select("key", "node", "c", F.coalesce("label", "node").alias("label")))
+    split = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct(F.xxhash64("node", F.lit(salt)), "node", "label")).alias("top"))
+    split = table(split.filter("lo != hi").select("key", F.col("top.node").alias("hub"), F.col("top.label").alias("hub_label")))
+    return left.join(F.broadcast(split) if few(split) else split, "key") if split.limit(1).count() else None
+
+
+def _ask(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of members to hubs of other components."""
+    return _verified(left.filter("label != hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b"), "c"), sets, percent)
+
+
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """(key, node, c, hub) for keys of two members or more."""
     buckets = table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("hub")).filter("c > 1"))
-    small = few(buckets)
-    rows = table(keyed.join(F.broadcast(buckets) if small else buckets, "key"))
+    return table(keyed.join(F.broadcast(buckets) if few(buckets) else buckets, "key"))
+
+
+def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, x, n, node, label): rows of equal label are one component; n = 0 has no label."""
+    d, classes = _classes(table(_describe(docs, k)))
+    rows = _buckets(table(classes.select("node", F.explode("bands").alias("key"))))
     needed = table(rows.select("node").distinct())
 
-    # the texts of one document a class, and their full sets
-    rep = d.select("doc_id", "node").join(F.broadcast(needed) if few(needed) else needed, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    rep = table(rep)
-    rep = F.broadcast(rep) if few(rep, BROADCAST_ROWS) else rep
-    t = docs.select(F.col("doc_id").cast("long").alias("id2"), "text").join(rep.withColumnRenamed("doc_id", "rid"), F.col("id2").eqNullSafe(F.col("rid")))
-    sets = table(_sets_of(t, k).dropDuplicates(["node"]))
-
-    links = table(_verified(rows.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), sets, percent))
-    for r in range(HUB_ROUNDS + 1):
-        labels = components(links)
-        left = rows.filter("c > 2").select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        left = table(left)
-        split = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct(F.xxhash64("node", F.lit(r)), "node", "label")).alias("top"))
-        split = table(split.filter("lo != hi").select("key", F.col("top.node").alias("hub"), F.col("top.label").alias("hub_label")))
-        if not split.limit(1).count():
+    # the text of one document a class, and its full set
+    asked = classes.select("node", "source").join(F.broadcast(needed) if few(needed) else needed, "node")
+    asked = table(asked.select("node", F.col("source.doc_id").alias("id2"), F.col("source.x").alias("x2")))
+    near = F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("x") == F.col("x2"))
+    sets = table(_sets_of(_rows(docs).join(F.broadcast(asked) if few(asked) else asked, near), k).dropDuplicates(["node"]))
+
+    links = table(_verified(rows.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "c"), sets, percent))
+    left = None
+    for r in range(HUB_ROUNDS):
+        left = _split(rows, links, r)
+        if left is None:
             break
-        left = left.join(F.broadcast(split) if few(split) else split, "key")
-        if r < HUB_ROUNDS:
-            asked = left.filter("label != hub_label").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-            more = _verified(asked, sets, percent)
-        else:
-            more = _blocks(left.select("key", "node", "label"), sets, percent)
-        links = table(links.union(more))
-    labels = components(links)
-
-    least = classes.select("node", "rep").join(labels, "node").groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = labels.join(least, "label").select("node", "component_id")
-    named = classes.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    out = d.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "node")
+        links = table(links.union(_ask(left, sets, percent)))
+    if left is not None and (left := _split(rows, links, HUB_ROUNDS)) is not None:
+        some = table(left.select("node").distinct())
+        fine = _buckets(table(_finer(sets.join(F.broadcast(some) if few(some) else some, "node"))))
+        hubs = fine.join(components(links), "node", "left").select("key", "node", "c", F.coalesce("label", "node").alias("label"))
+        labels = hubs.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("node", "label")).alias("hub"))
+        labels = table(labels.filter("lo != hi").select("key", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")))
+        links = table(links.union(_ask(hubs.join(F.broadcast(labels) if few(labels) else labels, "key"), sets, percent)))
+        left = _split(fine, links, HUB_ROUNDS + 1)
+        if left is not None:
+            links = table(links.union(_blocks(left.select("key", "node", "label"), sets, percent)))
+    named = classes.select("node").join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return d.select("doc_id", "x", "n", "node").join(named, "node", "left").select("doc_id", "x", "n", "node", "label")
 
 
-def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, with its own columns: the one with the smallest id.
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    rows = table(grouped(docs, k, percent))
+    least = rows.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
 
-    Rows without an id cannot be named, so they stay; rows of equal id and text become one."""
-    gone = near_duplicates(docs, k, percent).filter(~F.col("kept") & F.col("doc_id").isNotNull())
-    gone = table(gone.select(F.col("doc_id").alias("_gone")).distinct())
-    left = docs.join(F.broadcast(gone) if few(gone) else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"])
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group, with its own columns: the one with the smallest id (rows without
+    one come last, ties go by a hash of the text). Of rows of equal id and text the one whose columns
+    hash lowest stays; rows without words all stay."""
+    rows = table(grouped(docs, k, percent).filter("n > 0").select("doc_id", "x", "label", F.struct(F.col("doc_id").isNull(), "doc_id", "x").alias("o")))
+    each = table(rows.groupBy("doc_id", "x", "label", "o").agg(F.count(F.lit(1)).alias("c")))
+    first = each.groupBy("label").agg(F.min("o").alias("first"))
+    told = table(each.join(first, "label").select(F.col("doc_id").alias("_id"), F.col("x").alias("_x"), (F.col("o") != F.col("first")).alias("gone"), "c").filter("gone or c > 1"))
+    names = set(docs.columns)
+    if names & {"_id", "_x"}:
+        told = told.toDF(*(c if c not in ("_id", "_x") else f"{c}{max(map(len, names)) * '_'}" for c in told.columns))
+    i, x = told.columns[:2]
+
+    def among(rows: DataFrame, how: str) -> DataFrame:
+        return docs.join(F.broadcast(rows) if few(rows) else rows, docs["doc_id"].cast("long").eqNullSafe(rows[i]) & (F.xxhash64(docs["text"]) == rows[x]), how)
+
+    single = among(told.select(i, x), "left_anti")
+    again = told.filter("not gone").select(i, x)
+    if not again.limit(1).count():
+        return single
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    repeated = among(again, "left_semi").select(F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), F.struct(*cols).alias("row"))
+    repeated = repeated.groupBy("k1", "k2").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return single.unionByName(repeated.select("row.*"))

@@ -7,6 +7,7 @@ import random
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pairgauge.llm import html_extract, minhash, suffix
 
@@ -58,6 +59,61 @@ def test_chain_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def _changed(rnd, base, n, tag):
+    w = list(base)
+    for j in rnd.sample(range(len(w)), n):
+        w[j] = f"{tag}{rnd.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_equal_and_null_ids(spark):
+    """Two texts under each of 40 ids, and rows without an id that have near copies with one."""
+    rnd = random.Random(4)
+    prose = lambda n: [f"p{rnd.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(40):
+        a, b = prose(100), prose(90)
+        rows += [(i, " ".join(a)), (i, " ".join(b)), (100 + i, _changed(rnd, b, 1, "n"))]
+    for i in (1001, 1002, 1003):
+        a = prose(80)
+        rows += [(None, " ".join(a)), (i, " ".join([*a, "end"]))]
+    rows += [(None, "one two three"), (None, "one two three"), (None, ""), (5000, None), (5000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 3, 85).collect()), key=repr)
+    assert got == sorted(_components(rows, 3, 85), key=repr)
+    wide = df.select("doc_id", "text", F.lit(1).alias("_id"), F.expr("rand(3) as `gone`"))
+    left = minhash.keep_first(wide, 3, 85)
+    assert left.columns == wide.columns
+    left = left.collect()
+    # one row of each group: 80 with an id shared by two texts, 3 with a null id, one of the repeated rows; three without words
+    assert len(left) == 80 + 3 + 1 + 3 and sum(r.doc_id is None for r in left) == 2
+    assert {r.doc_id for r in left if r.doc_id and r.doc_id >= 100} == {1001, 1002, 1003, 5000}
+
+
+def test_alike_but_not_near(spark, monkeypatch):
+    """A bucket of texts that share most of a template, few of them linked: finer bands, then blocks."""
+    rnd = random.Random(6)
+    base = [f"b{i}" for i in range(300)]
+    texts = [_changed(rnd, base, 12, "x") for _ in range(40)]
+    texts += [_changed(rnd, t.split(), 3, "y") for t in texts[:10]] + [_changed(rnd, base, 4, "z") for _ in range(12)]
+    rows = list(enumerate(texts))
+    want = sorted(_components(rows, 3, 85))
+    assert 5 < len({c for *_, c in want}) < 55
+    for block in (minhash.BLOCK, 700):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_classes_that_share_a_name(spark):
+    """Equal first halves of different digests are told apart."""
+    rows = [(1, 10, 3, 7, 1, [5]), (2, 11, 3, 7, 2, [6]), (3, 12, 3, 7, 1, [5]), (4, 13, 3, 8, 1, [5])]
+    d, classes = minhash._classes(spark.createDataFrame(rows, "doc_id long, x long, n long, node long, mark long, bands array<long>"))
+    node = {r.doc_id: r.node for r in d.collect()}
+    assert node[1] == node[3] != node[2] and len(set(node.values())) == 3
+    assert sorted((r.node == node[r.rep], r.bands) for r in classes.collect()) == [(True, [5]), (True, [5]), (True, [6])]
+
+
 def test_sketch_agrees_with_jaccard():
     rnd = np.random.default_rng(3)
     x = np.unique(rnd.integers(0, 2**63, 500).astype(np.uint64))
