@@ -331,26 +331,29 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_PARSED = "page_id long, url string, x long, host string, page long, blocks array<string>, cands array<struct<hash:long,marked:boolean,lo:int,hi:int>>"
+_PARSED = "page_id long, url string, x long, host string, page long, size int, blocks binary, cands array<struct<hash:long,marked:boolean,lo:int,hi:int>>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """A row a page: its blocks of content, the subtrees that may be templates, and what tells it from others."""
+    """A row a page: its blocks of content (one a line, compressed, as they are shuffled once; size is
+    that of the bytes before), the subtrees that may be templates, and what tells it from others."""
     cand = pa.list_(pa.struct([("hash", pa.int64()), ("marked", pa.bool_()), ("lo", pa.int32()), ("hi", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 sub = b.slice(at, 256)
-                hosts, ids, blocks, cands = [], [], [], []
+                hosts, ids, sizes, blocks, cands = [], [], [], [], []
                 for url, text in zip(sub.column(1).to_pylist(), sub.column(3), strict=True):
                     kept, found, page = Page(text.as_py() or "").content()
                     hosts.append(host_of(url))
                     ids.append(page)
-                    blocks.append(kept)
+                    lines = "\n".join(kept).encode("utf-8", "replace")
+                    sizes.append(len(lines))
+                    blocks.append(pa.compress(lines, "zstd", asbytes=True))
                     cands.append([{"hash": h, "marked": m, "lo": lo, "hi": hi} for h, m, lo, hi in found])
-                cols = [sub.column(0), sub.column(1), sub.column(2), pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(blocks, pa.list_(pa.string())), pa.array(cands, cand)]
-                yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "x", "host", "page", "blocks", "cands"])
+                cols = [sub.column(0), sub.column(1), sub.column(2), pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(blocks, pa.binary()), pa.array(cands, cand)]
+                yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "x", "host", "page", "size", "blocks", "cands"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64("url", "html").alias("x"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, _PARSED)
@@ -376,11 +379,12 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, marked_pages: int = MA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n = [], []
-            for blocks, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                left, count = _without(blocks, [(s["lo"], s["hi"]) for s in spans or []])
+            for size, packed, spans in zip(b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist(), strict=True):
+                lines = pa.decompress(packed.as_buffer(), size, "zstd", asbytes=True).decode() if size else ""
+                left, count = _without(lines.split("\n") if lines else [], [(s["lo"], s["hi"]) for s in spans or []])
                 texts.append("\n".join(left))
                 n.append(count)
             cols = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars", "n_templates"])
 
-    return rows.select("page_id", "url", "blocks", "gone").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_templates long")
+    return rows.select("page_id", "url", "size", "blocks", "gone").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_templates long")
