@@ -1,12 +1,15 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, native.
 
 Test items are short and documents long, so their Jaccard similarity says nothing; the search
-is for containment. An item of m distinct shingles lies in a document if at least 80 % of them
-do, so at most m - ceil(0.8 m) are missing, and of its m - ceil(0.8 m) + 1 smallest shingle
-hashes (its MinHash sketch) the document has one or more. Items are partitioned by size: the
-sketch is as deep as its size calls for and no deeper, and no true match is lost. Documents
-probe the sketches in one streaming pass; candidates are then verified by exact containment of
-shingles. The sketches (a fifth of the benchmark) are broadcast only behind a count.
+is for containment, with a one-sided MinHash: items have sketches, their smallest shingle hashes,
+and documents are asked which hashes of a sketch they hold. The share held estimates the
+containment. An item of m distinct shingles lies in a document if at least 80 % of them do, so at
+most m - ceil(0.8 m) are missing. Items are partitioned by size, in powers of two; in the partition
+of sizes from 2**c the containment becomes two parameters: HITS = max(1, 2**c / 8) hashes that have
+to be found of a sketch that is m - ceil(0.8 m) + HITS deep. So the sketch of each partition is as
+deep as its size calls for, and no true match is lost, wherever in the document its shingles are.
+Documents probe the sketches in one streaming pass and are never shuffled; candidates are then
+verified by exact containment of shingles. The sketches are broadcast only behind a count.
 
 Words are runs of letters and digits of the lower-cased text. Items with fewer than five words
 count as one shingle of their own length; items without words match nothing, nor do null or
@@ -51,7 +54,7 @@ def shingle_strings(ws: Column, k: Column) -> Column:
 
 
 def sketches(items: DataFrame, item_id: str = "item_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """One row an item: (item_id, k, m, shingles, sketch), sketch as deep as its size class needs."""
+    """One row an item: (item_id, k, m, need, hits, shingles, sketch), with the parameters of its size partition."""
     w = items.select(F.col(f"`{item_id}`").alias("item_id"), norm_words(F.col(f"`{text}`")).alias("w"))
     w = w.filter(F.size("w") > 0).withColumn("k", F.least(F.lit(k), F.size("w")))
     w = w.withColumn("shingles", F.array_distinct(shingle_strings(F.col("w"), F.col("k")))).withColumn("m", F.size("shingles"))
@@ -59,15 +62,17 @@ def sketches(items: DataFrame, item_id: str = "item_id", text: str = "text", k:
     by_k = F.lit(None).cast("array<bigint>")
     for j in range(1, k + 1):
         by_k = F.when(F.col("k") == j, F.sort_array(F.array_distinct(_hashes(F.col("w"), j)))).otherwise(by_k)
-    return w.withColumn("need", need).withColumn("sketch", F.slice(by_k, 1, F.col("m") - need + 1)).select("item_id", "k", "m", "need", "shingles", "sketch")
+    hits = F.greatest(F.lit(1), F.pow(F.lit(2), F.floor(F.log2("m")) - 3)).cast("int")
+    w = w.withColumns({"need": need, "hits": hits})
+    return w.withColumn("sketch", F.slice(by_k, 1, F.col("m") - F.col("need") + F.col("hits"))).select("item_id", "k", "m", "need", "hits", "shingles", "sketch")
 
 
 def _found(docs: DataFrame, items: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
     """(doc_id, x, item_id, n_item_shingles, n_shared): the items in each document, x the hash of its text."""
-    sk = table(sketches(items, k=k, percent=percent).repartition(1))
-    probes = sk.select("item_id", "k", F.explode("sketch").alias("h")).groupBy("h", "k").agg(F.collect_set("item_id").alias("item_ids"))
-    probes = table(probes.repartition(1))
-    small = few(probes, BROADCAST_ROWS // 10)
+    sk = table(sketches(items, k=k, percent=percent))
+    probes = table(sk.select(F.struct("item_id", "hits").alias("item"), "k", F.explode("sketch").alias("h")).groupBy("h", "k").agg(F.collect_set("item").alias("items")))
+    size = sk.agg(F.sum("m"), F.sum(F.size("sketch"))).first()  # shingles and sketch entries, with repeats
+    small, light = (size[1] or 0) <= BROADCAST_ROWS // 4, (size[0] or 0) <= BROADCAST_ROWS // 2
     # identical rows are one document here
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("text is not null")
     ks = [r[0] for r in probes.select("k").distinct().limit(k + 1).collect()]  # at most k values
@@ -79,12 +84,14 @@ def _found(docs: DataFrame, items: DataFrame, doc_id: str, text: str, k: int, pe
     )
     key = F.struct("doc_id", F.xxhash64("text").alias("x")).alias("key")
     hits = d.select(key, F.inline(grams)).join(F.broadcast(probes) if small else probes, ["h", "k"])
-    found = table(hits.select("key", F.explode("item_ids").alias("item_id")).distinct())
+    hits = hits.select("key", "h", F.inline("items")).groupBy("key", "item_id", "hits").agg(F.countDistinct("h").alias("n"))
+    found = table(hits.filter("n >= hits").select("key", "item_id"))
     keys = found.select("key").distinct()
     some = d.withColumn("key", key)
     near = found.count() <= BROADCAST_ROWS // 4
     some = some.join(F.broadcast(keys) if near else keys, some["key"].eqNullSafe(keys["key"]), "left_semi")
-    pairs = found.join(F.broadcast(sk.select("item_id", "k", "m", "need", "shingles")) if small else sk, "item_id")
+    whole = sk.select(F.col("item_id").alias("own"), "k", "m", "need", "shingles")
+    pairs = found.join(F.broadcast(whole) if light else whole, F.col("item_id").eqNullSafe(F.col("own")))
     full = some.dropDuplicates(["key"]).select("key", norm_words(F.col("text")).alias("w")).join(pairs.withColumnRenamed("key", "key2"), F.col("key").eqNullSafe(F.col("key2")))
     shared = F.size(F.array_intersect("shingles", let(F.col("w"), lambda w: shingle_strings(w, F.col("k")))))
     shared = shared.cast("long").alias("n_shared")
