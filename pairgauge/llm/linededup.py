@@ -18,12 +18,15 @@ line needs: no pairs of a group are made. The earliest partner of each line is v
 levenshtein on the texts.
 
 Rows with equal doc_id and text are one document and get one result; null texts stay null and have
-no lines. Edits in a line within one character of it are found at any length.
+no lines. Texts that share an id are documents of their own; lines of equal id and number go by a hash of
+the text. Edits in a line within one character of it are found at any length. An empty table gives an empty
+result; extra columns are only returned by ``clean_documents`` and where ``also`` names them. Lines
+are known by 128 bits of hashes, so equal lines are deleted without their texts being compared.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import few, let, table
@@ -44,10 +47,10 @@ def _takes_part(t: Column, min_chars: int, short: bool) -> Column:
 
 
 def _lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
-    """(d, x, ln, t, n, h): the lines that take part, n their length and h their hash."""
+    """(d, x, ln, t, n, h, g): the lines that take part, n their length, h and g the two halves of a 128-bit hash."""
     rows = docs.select(_doc_key().alias("k"), F.posexplode(F.split("text", "\n")).alias("ln", "t"))
     rows = rows.select("k.d", "k.x", "ln", "t", F.length("t").alias("n")).filter(_takes_part(F.col("t"), min_chars, short))
-    return rows.withColumn("h", F.xxhash64("t", "n"))
+    return rows.withColumns({"h": F.xxhash64("t", "n"), "g": F.xxhash64(F.lit("line"), "t")})
 
 
 def _ends(c: Column, half: Column) -> Column:
@@ -57,13 +60,14 @@ def _ends(c: Column, half: Column) -> Column:
 
 
 def _multi(df: DataFrame, key: str) -> DataFrame:
-    """The rows whose key belongs to two lines or more."""
-    w = Window.partitionBy(key)
-    return df.withColumns({"_lo": F.min("h").over(w), "_hi": F.max("h").over(w)}).filter("_lo != _hi").drop("_lo", "_hi")
+    """The rows whose key belongs to two lines or more; counted before anything is shuffled."""
+    keys = df.groupBy(key).agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo != hi").select(key)
+    keys = table(keys)
+    return df.join(F.broadcast(keys) if few(keys) else keys, key)
 
 
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h, partner_d, partner_ln): lines whose first occurrence has an earlier one within one edit."""
+    """(h, g, partner_d, partner_ln): lines whose first occurrence has an earlier one within one edit."""
     lines = _lines(docs, min_chars)
     classes = F.array(F.col("n"), F.col("n") - 1)
     ends = F.flatten(F.transform(classes, lambda c: F.transform(_ends(c, F.floor(c / 2).cast("int")), lambda k: F.struct(c.alias("c"), k.alias("k")))))
@@ -73,56 +77,55 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         some = lines.select("*", F.inline(ends)).join(F.broadcast(keys), "k")
         cs = F.collect_set("c")
     else:
-        gated = lines.select("h", F.inline(ends)).join(keys, "k").groupBy("h").agg(F.collect_set("c").alias("cs"))
-        some = lines.join(gated, "h")
+        gated = lines.select("h", "g", F.inline(ends)).join(keys, "k").groupBy("h", "g").agg(F.collect_set("c").alias("cs"))
+        some = lines.join(gated, ["h", "g"])
         cs = F.first("cs")
-    some = some.groupBy("h").agg(F.min(F.struct("d", "ln", "x")).alias("first"), F.first("t").alias("t"), F.first("n").alias("n"), cs.alias("cs"))
-    some = table(some.select("h", "first", "t", "n", "cs"))
+    some = some.groupBy("h", "g").agg(F.min(F.struct("d", "ln", "x")).alias("first"), F.first("t").alias("t"), F.first("n").alias("n"), cs.alias("cs"))
+    some = table(some.select("h", "g", "first", "t", "n", "cs"))
 
     # segments: (class, gap) and what surrounds the gap
-    cut = some.select("h", "t", "n", F.struct("first.d", "first.ln").alias("first"), F.explode("cs").alias("c"))
+    cut = some.select("h", "g", "t", "n", F.struct("first.d", "first.ln").alias("first"), F.explode("cs").alias("c"))
     cut = cut.withColumn("parts", F.greatest(F.lit(SEGMENTS), F.ceil(F.col("c") / SEGMENT).cast("int")))
-    cut = cut.select("h", "t", "n", "first", "c", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+    cut = cut.select("h", "g", "t", "n", "first", "c", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
     cut = cut.withColumns({"s": F.floor(F.col("c").cast("long") * F.col("j") / F.col("parts")).cast("int"), "e": F.floor(F.col("c").cast("long") * (F.col("j") + 1) / F.col("parts")).cast("int")})
     cut = cut.withColumn("right", F.col("c") - F.col("e"))
     cut = cut.select(
         "h",
+        "g",
         "n",
         "first",
         F.xxhash64("c", "j", F.substring("t", F.lit(1), F.col("s")), F.when(F.col("right") > 0, F.substring("t", F.col("n") - F.col("right") + 1, F.col("right"))).otherwise("")).alias("k"),
         F.substring("t", F.col("s") + 1, F.col("n") - F.col("s") - F.col("right")).alias("mid"),
     )
-    cut = _multi(cut, "k")
+    cut = table(_multi(cut, "k"))
 
     # characters: the segment itself (gap 0) and each variant without one character
     gaps = F.sequence(F.lit(0), F.length("mid"))
     less = F.transform(gaps, lambda p: F.struct(p.alias("p"), F.when(p == 0, F.col("mid")).otherwise(F.concat(F.substring("mid", F.lit(1), p - 1), F.substring(F.col("mid"), p + 1, F.length("mid")))).alias("v")))
-    var = cut.select("h", "n", "first", "k", F.inline(less)).select("h", "n", "first", "p", F.xxhash64("k", "v").alias("v"))
-    whole = Window.partitionBy("v")
-    same = Window.partitionBy("v", "p", "n")
-    var = var.withColumns(
-        {
-            "zero": F.min(F.when(F.col("p") == 0, F.col("first"))).over(whole),
-            "one": F.min(F.when(F.col("p") > 0, F.col("first"))).over(whole),
-            "sub": F.min("first").over(same),
-        }
-    )
-    other = F.when(F.col("p") == 0, F.col("one")).otherwise(F.least("zero", "sub"))
-    early = var.select("h", "first", other.alias("o")).filter("o < first").groupBy("h").agg(F.min("o").alias("o"))
+    var = cut.select("h", "g", "n", "first", "k", F.inline(less)).select("h", "g", "n", "first", "p", F.xxhash64("k", "v").alias("v"))
+    # lines alike in variant, gap and length are a class; its earliest partner is that of all its lines
+    alike = var.groupBy("v", "p", "n").agg(F.min("first").alias("sub"), F.max("first").alias("last"))
+    alike = table(alike)
+    whole = alike.groupBy("v").agg(F.min(F.when(F.col("p") == 0, F.col("sub"))).alias("zero"), F.min(F.when(F.col("p") > 0, F.col("sub"))).alias("one"))
+    whole = whole.filter("zero is not null and one is not null")
+    early = alike.join(whole, "v", "left").withColumn("o", F.when(F.col("p") == 0, F.col("one")).otherwise(F.least("zero", "sub")))
+    early = table(early.filter("o < last").select("v", "p", "n", "o"))
+    early = var.join(F.broadcast(early) if few(early) else early, ["v", "p", "n"])
+    early = early.filter("o < first").groupBy("h", "g").agg(F.min("o").alias("o"))
 
     # the edit distance itself, on the texts of the line and its earliest partner
-    named = some.select("h", "t", "first.d", "first.ln")
-    asked = early.join(named.select("h", "t"), "h").select("h", "t", F.col("o.d").alias("d"), F.col("o.ln").alias("ln"))
-    told = asked.join(named.select(F.col("t").alias("pt"), F.col("h").alias("ph"), "d", "ln"), ["d", "ln"])
-    return told.filter((F.col("h") != F.col("ph")) & (F.levenshtein("t", "pt", 1) >= 0)).select("h", F.col("d").alias("partner_d"), F.col("ln").alias("partner_ln")).distinct()
+    named = some.select("h", "g", "t", "first.d", "first.ln")
+    asked = early.join(named.select("h", "g", "t"), ["h", "g"]).select("h", "g", "t", F.col("o.d").alias("d"), F.col("o.ln").alias("ln"))
+    told = asked.join(named.select(F.col("t").alias("pt"), "d", "ln"), ["d", "ln"])
+    return told.filter((F.col("t") != F.col("pt")) & (F.levenshtein("t", "pt", 1) >= 0)).select("h", "g", F.col("d").alias("partner_d"), F.col("ln").alias("partner_ln")).distinct()
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, also: tuple[str, ...] = (), short: bool = False) -> DataFrame:
     """(doc_id, text, kept_text, n_lines, n_removed) and the columns ``also`` for every row of ``docs``."""
     d = docs.select("doc_id", "text")
-    first = _lines(d, min_chars, short).groupBy("h").agg(F.min(F.struct("d", "ln", "x")).alias("f"))
-    gone = table(removed_lines(d, min_chars).select("h").distinct())
-    first = first.join(F.broadcast(gone) if few(gone) else gone, "h", "left_anti")
+    first = _lines(d, min_chars, short).groupBy("h", "g").agg(F.min(F.struct("d", "ln", "x")).alias("f"))
+    gone = table(removed_lines(d, min_chars).select("h", "g").distinct())
+    first = first.join(F.broadcast(gone) if few(gone) else gone, ["h", "g"], "left_anti")
     kept = first.groupBy(F.col("f.d").alias("d"), F.col("f.x").alias("x")).agg(F.collect_list("f.ln").alias("lns"))
     rows = docs.select("doc_id", "text", *also, _doc_key().alias("_k"))
     rows = rows.join(kept, (rows["_k.d"] == kept["d"]) & (rows["_k.x"] == kept["x"]), "left")
