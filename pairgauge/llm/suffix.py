@@ -15,7 +15,9 @@ through suffix arrays, whole anchors packed into bundles of bounded size; anchor
 HOT different surroundings are dealt again by the hash of each window. All counts are of the input.
 
 Null texts are empty and texts under LENGTH bytes stay whole. Repeated rows are other texts, so each
-repeats the other. Ids do not matter to matching, so null and equal ids are kept as they are.
+repeats the other. Ids do not matter to matching, so null and equal ids are kept as they are. An
+empty table gives an empty result; extra columns are not read. Strings count as equal by two
+64-bit hashes (an anchor's and its surroundings', or two of a window), or byte by byte.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, few, prefix_hash, span_hash, table
+from .common import BROADCAST_ROWS, drop_table, few, mix, prefix_hash, span_hash, table
 
 LENGTH = 200
 #: Different surroundings of one anchor that one suffix array takes in.
@@ -185,6 +187,9 @@ def _anchor_rows(length: int):
     return run
 
 
+_CUT = "fp long, hot boolean, rk long, s long, cut binary"
+
+
 def _surroundings(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,44 +240,81 @@ def _bounds(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _window_hashes(length: int):
+    """(h, g, rk, c, s): two hashes of each window, its text, the start of its surroundings and its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, rk, s = [], [], []
+            h, g, rk, c, s = [], [], [], [], []
             for key, start, cut in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 data = np.frombuffer(cut.as_py(), np.uint8)
                 i = np.arange(len(data) - length + 1)
-                h.append(span_hash(prefix_hash(data), i, i + length).view(np.int64))
+                pre = prefix_hash(data)
+                h.append(span_hash(pre, i, i + length).view(np.int64))
+                # the halves hashed apart make a second hash of the window
+                two = mix(span_hash(pre, i, i + length // 2)) ^ span_hash(pre, i + length // 2, i + length)
+                g.append(two.view(np.int64))
                 rk.append(np.full(len(i), key, np.int64))
+                c.append(np.full(len(i), start, np.int64))
                 s.append(start + i)
-            cols = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (h, rk, s)]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "rk", "s"])
+            cols = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (h, g, rk, c, s)]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "g", "rk", "c", "s"])
+
+    return run
+
+
+def _joined_windows(length: int):
+    """(rk, lo, hi) of the runs of windows of one surroundings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(key, lo, hi) for key, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for lo, hi in _merged([{"lo": s, "hi": s + length} for s in starts])]
+            cols = [pa.array([x[i] for x in out], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays(cols, names=["rk", "lo", "hi"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(rk, lo, hi): byte spans that lie in repeated strings, for rows (rk, text)."""
-    rows = docs.filter(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), _ROW)
-    by_fp, alike = Window.partitionBy("fp"), Window.partitionBy("fp", "around", "o", "m")
-    rows = rows.repartition("fp").withColumns({"n": F.count(F.lit(1)).over(alike), "all": F.count(F.lit(1)).over(by_fp), "rn": F.row_number().over(alike.orderBy("rk", "s"))})
-    rows = table(rows.filter("all > 1").drop("around"))
-    whole = rows.filter("n > 1").select("rk", F.col("s").alias("lo"), (F.col("s") + F.col("m") + (length - 1)).alias("hi"))
+    alike = ["fp", "around", "o", "m"]
+    rows = table(docs.filter(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), _ROW))
+    # counted before they are dealt, so that a passage of many copies is one row a task
+    classes = table(rows.groupBy(*alike).agg(F.count(F.lit(1)).alias("n"), F.min("rk").alias("rk"), F.min_by("s", "rk").alias("s")))
+    again = classes.filter("n > 1").select(*alike)
+    whole = rows.join(F.broadcast(again) if few(again) else again, alike)
+    whole = table(whole.select("rk", F.col("s").alias("lo"), (F.col("s") + F.col("m") + (length - 1)).alias("hi")))
+    drop_table(docs.sparkSession, rows._pairgauge_path)
 
     # surroundings that differ: one of each kind
-    edge = rows.filter("n < all and rn = 1").select("fp", "rk", "s", "m")
-    edge = edge.withColumn("hot", F.count(F.lit(1)).over(by_fp) > hot)
+    kinds = table(classes.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
+    edge = classes.join(F.broadcast(kinds) if few(kinds) else kinds, "fp").select("fp", "rk", "s", "m", (F.col("kinds") > hot).alias("hot"))
     edge = table(edge.groupBy("rk").agg(F.collect_list(F.struct("fp", "s", "m", "hot")).alias("asked"), F.count(F.lit(1)).alias("c")))
+    drop_table(docs.sparkSession, classes._pairgauge_path)
     n_edges = int(edge.agg(F.sum("c")).first()[0] or 0)
     some = edge.select(F.col("rk").alias("rk2"), "asked")
     if n_edges <= BROADCAST_ROWS // 4 and few(edge):
         some = F.broadcast(some)
     cuts = docs.join(some, F.col("rk") == F.col("rk2")).dropDuplicates(["rk"]).select("rk", "text", "asked")
-    cuts = table(cuts.mapInArrow(_surroundings(length), "fp long, hot boolean, rk long, s long, cut binary"))
+    cuts = table(cuts.mapInArrow(_surroundings(length), _CUT))
     bundle = F.pmod(F.xxhash64("fp"), F.lit(max(1, -(-n_edges // BUNDLE_ROWS)))).alias("bundle")
     spans = cuts.filter("not hot").groupBy(bundle).applyInArrow(_bundle_spans(length), "rk long, lo long, hi long")
-    windows = cuts.filter("hot").select("rk", "s", "cut").mapInArrow(_window_hashes(length), "h long, rk long, s long")
-    windows = windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n > 1")
-    return whole.union(spans).union(windows.select("rk", F.col("s").alias("lo"), (F.col("s") + length).alias("hi")))
+    windows = cuts.filter("hot").select("rk", "s", "cut").mapInArrow(_window_hashes(length), "h long, g long, rk long, c long, s long")
+    twice = table(windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g"))
+    windows = windows.join(F.broadcast(twice) if few(twice) else twice, ["h", "g"])
+    # the windows of one surroundings are length / 2 + 1 at most
+    windows = windows.groupBy("rk", "c").agg(F.collect_list("s").alias("starts")).select("rk", "starts").mapInArrow(_joined_windows(length), "rk long, lo long, hi long")
+    return whole.union(spans).union(windows)
+
+
+def _named(d: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) with ``rk``, a number of their own: a hash, and another one where two rows share it."""
+    d = d.withColumns({"rk": F.xxhash64("doc_id", "text"), "g": F.xxhash64(F.lit("row"), "text", "doc_id")})
+    clash = d.groupBy("rk").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo != hi").select(F.col("rk").alias("shared"))
+    clash = table(clash)
+    if clash.limit(1).count():
+        d = d.join(F.broadcast(clash) if few(clash) else clash, F.col("rk") == F.col("shared"), "left")
+        d = d.withColumn("rk", F.when(F.col("shared").isNull(), F.col("rk")).otherwise(F.col("g")))
+    return d.select("doc_id", "text", "rk")
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -287,7 +329,8 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, with_spans: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the spans removed) per row."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = _named(d)
     spans = table(repeated_spans(d.select("rk", "text"), length, hot).groupBy("rk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     spans = spans.withColumnRenamed("rk", "rk2")
     both = d.join(spans, F.col("rk") == F.col("rk2"), "left").select("doc_id", "text", "spans")
