@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -20,6 +21,7 @@ BROADCAST_ROWS = 1_000_000
 
 _MADE: dict[str, str] = {}
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def let(x: Column, body) -> Column:
@@ -55,17 +57,40 @@ def drop_table(spark: SparkSession, path: str) -> None:
         pass
 
 
-def table(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
+_HELD: dict[tuple[str, str], list] = {}
+_LOCK = threading.Lock()
+
+
+@contextlib.contextmanager
+def _set(spark: SparkSession, **settings: str):
+    """Settings of the session for as long as a write takes; writes of several threads may overlap."""
+    app = spark.sparkContext.applicationId
+    with _LOCK:
+        for k, v in settings.items():
+            held = _HELD.setdefault((app, k), [0, spark.conf.get(k, None)])
+            held[0] += 1
+            spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            for k in settings:
+                held = _HELD[app, k]
+                held[0] -= 1
+                if not held[0]:
+                    before = _HELD.pop((app, k))[1]
+                    spark.conf.unset(k) if before is None else spark.conf.set(k, before)
+
+
+def table(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read back. batch_rows: rows that go to a Python
+    worker at once, where they are whole texts and memory is short."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     # this step's shuffle files go with it, on all executors; nothing else reads them
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
+    settings = {_CLEAN: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+    with _set(spark, **settings):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._pairgauge_path = path
     return out

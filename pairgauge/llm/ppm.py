@@ -299,7 +299,7 @@ def _shorter(pair: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.coalesce("text", F.lit("")).alias("text"))
-    facts = table(d.mapInArrow(_blocks(block_bytes), _FACT))
+    facts = table(d.mapInArrow(_blocks(block_bytes), _FACT), batch_rows=2000)
 
     is_pair = F.col("key") >= 0
     pairs = table(facts.filter(is_pair).groupBy("key").agg(F.sum("n").alias("n")))
