@@ -4,9 +4,12 @@ Rows are pure functions of an index, so any part of a table can be made anew on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import xml
 from ..functions.text import NBSP, NNBSP
 from .formats import oracle
 
@@ -15,9 +18,6 @@ NOUNS = (
     ("note", "la note"), ("file", "le fichier"), ("page", "la page"), ("list", "la liste"), ("value", "la valeur"),
     ("name", "le nom"), ("step", "l'étape"), ("menu", "le menu"), ("view", "la vue"), ("table", "la table"),
 )
-STEMS = (
-    ("note", "note"), ("dialog", "boîte"), ("file", "fichier"), ("list", "liste"), ("page", "page"), ("value", "valeur"), ("name", "nom"), ("step", "étape"),
-)
 TEMPLATES = (
     ("See {en}: details {i}.", "Voir {fr}{n}: détails {i}."),
     ("Is {en} open? Answer {i}.", "Ouvrir {fr}{n}? Réponse {i}."),
@@ -70,19 +70,30 @@ def mixed_pairs(spark: SparkSession, n: int) -> DataFrame:
 
 
 def repair_pairs(pairs: DataFrame, n: int = 50) -> DataFrame:
-    """The first n pairs with a no-break space, whose source is the target with plain spaces."""
+    """The first n pairs whose target scores 1.0 and, with plain spaces for its no-break spaces, less
+    but with all gates passed: the source of a repair is that worse text. Fewer than n is an error."""
     bad = F.replace("target_xml", F.lit(NBSP), F.lit(" "))
-    return _derived(pairs.filter(F.instr("target_xml", NBSP) > 0), bad, "repair", n)
+    some = _whole(pairs.filter(F.instr("target_xml", NBSP) > 0)).withColumn("_bad", bad)
+    score = xml.gated_scalar(F.col("target_xml"), F.col("_bad"))  # below 0: a gate fails
+    return _derived(some.withColumn("_r", score).filter("_r >= 0 AND _r < 1"), F.col("_bad"), "repair", n)
 
 
 def noop_pairs(pairs: DataFrame, n: int = 50) -> DataFrame:
-    """The first n pairs whose target needs nothing."""
-    return _derived(pairs, F.col("target_xml"), "noop", n)
+    """The first n pairs whose target scores 1.0 against itself, so nothing is to be done. Fewer than n is an error."""
+    return _derived(_whole(pairs), F.col("target_xml"), "noop", n)
+
+
+def _whole(pairs: DataFrame) -> DataFrame:
+    """Pairs whose target scores 1.0 against itself."""
+    return pairs.withColumn("_own", xml.gated_scalar(F.col("target_xml"), F.col("target_xml"))).filter("_own = 1").drop("_own")
 
 
 def _derived(pairs: DataFrame, source: Column, task: str, n: int) -> DataFrame:
     first = pairs.orderBy("i").limit(n)
-    return first.select("i", F.concat(F.lit(f"{task}-"), "id").alias("id"), F.lit(task).alias("bucket"), F.lit(task).alias("task"), "family", source.alias("source_xml"), "target_xml", "verified_real")
+    # the count rides along, so that a shortfall fails the job that reads the rows
+    total = first.agg(F.count(F.lit(1)).alias("_n")).select(F.when(F.col("_n") < n, F.raise_error(F.concat(F.lit(f"{task}: {n} pairs asked for, found "), "_n"))).otherwise(F.col("_n")).alias("_n"))
+    rows = first.crossJoin(F.broadcast(total)).filter("_n > 0")  # one row
+    return rows.select("i", F.concat(F.lit(f"{task}-"), "id").alias("id"), F.lit(task).alias("bucket"), F.lit(task).alias("task"), "family", source.alias("source_xml"), "target_xml", "verified_real")
 
 
 def failing_targets(pairs: DataFrame) -> DataFrame:
@@ -90,126 +101,109 @@ def failing_targets(pairs: DataFrame) -> DataFrame:
     return oracle(pairs.select("id", F.col("source_xml").alias("src"), F.col("target_xml").alias("hyp"))).filter("oracle_reward < 1.0").select("id", "oracle_reward", "gate_failures")
 
 
-def _p(text: str) -> str:
-    return f"<p>{text}</p>"
-
-
-def _cases() -> list[tuple]:
-    """(id, category, source body, hypothesis body or raw text, raw, gate, reward, ambiguous, below, not above)"""
-    out: list[tuple] = []
-
-    def add(ident: str, category: str, source: str, hyp: str, gate: bool, reward: float | None = None, unsure: bool | None = None, lt: str | None = None, le: str | None = None, raw: bool = False, frame: bool = False) -> None:
-        wrap = (lambda x: x) if frame else _p
-        out.append((ident, category, wrap(source), hyp if raw else wrap(hyp), raw, gate, reward, unsure, lt, le))
-
-    note, n = "See the note: details.", NBSP
-    inline = "See the <b>note</b>: details."
-    add("inline-end-nbsp", "inline_tails", inline, f"Voir la <b>note{n}</b>: détails.", True, 1.0)
-    add("inline-tail-nbsp", "inline_tails", inline, f"Voir la <b>note</b>{n}: détails.", True, 1.0)
-    add("inline-tail-entity", "inline_tails", inline, "Voir la <b>note</b>&#160;: détails.", True, 1.0)
-    add("inline-tail-space", "inline_tails", inline, "Voir la <b>note</b> : détails.", True, 0.0)
-    add("inline-nested-tail", "inline_tails", "See <b>the <i>note</i></b>: details.", f"Voir <b>la <i>note</i></b>{n}: détails.", True, 1.0)
-    for k, w in enumerate(("i", "u", "ph", "term")):
-        add(f"inline-wrap-{w}", "inline_tails", f"See the <{w}>note</{w}>: details {k}.", f"Voir la <{w}>note</{w}>{n}: détails {k}.", True, 1.0)
-    for k, e in enumerate(("&#160;", "&#xA0;", "&#x00A0;", "&#0160;", "&nbsp;", "&#x0A0;")):
-        add(f"entity-{k}", "entities", f"See the note: details {k}.", f"Voir la note{e}: détails {k}.", True, 1.0)
-    add("entity-semi", "entities", "See the note; details.", "Voir la note&#xA0;; détails.", True, 1.0)
-    add("entity-quest", "entities", "See the note? details.", "Voir la note&nbsp;? détails.", True, 1.0)
-    add("cluster-ok", "clusters", "Really?!", f"Vraiment{n}?!", True, 1.0)
-    add("cluster-extra-nbsp", "clusters", "Really?!", f"Vraiment{n}?{n}!", True, 1.0, le="cluster-ok")
-    add("cluster-miss", "clusters", "Really?!", "Vraiment?!", True, 0.0)
-    for k, c in enumerate(("?!", "!?", ":;", "?;")):
-        add(f"cluster-var-{k}", "clusters", f"Really{c} now.", f"Vraiment{n}{c} maintenant.", True, 1.0)
-        add(f"cluster-var-bad-{k}", "clusters", f"Really{c} now.", f"Vraiment{c} maintenant.", True, 0.0)
-    add("omit-colon", "omitted_marks", note, "Voir la note.", True, 0.0, lt="pos-:-nbsp-0", le="neg-:-space-0")
-    add("delete-sentence", "deleted_prose", "See the note: details stay.", "Voir.", True, 0.0, le="neg-:-space-0")
-    for k in range(8):
-        add(f"omit-{k}", "omitted_marks", f"See the note: details {k}.", f"Voir la note {k}.", True, 0.0)
-        add(f"delete-{k}", "deleted_prose", f"Read the note: then save copy {k}.", f"Lire {k}.", True, 0.0)
-    name = "See <i>xs:override</i> now."
-    add("mutate-xs", "identifier_mutation", name, "Voir <i>xs:overide</i> maintenant.", False, lt="protect-xs-glued")
-    for k, bad in enumerate(("xs:overide", "xs-override", "xsl:override", "oxy-override")):
-        add(f"mutate-{k}", "identifier_mutation", name, f"Voir <i>{bad}</i> maintenant.", False)
-    add("wrap-codeph", "wrapper_insertion", note, "Voir la note <codeph>:</codeph> détails.", False, lt="neg-:-space-0")
-    for k in range(6):
-        add(f"wrap-codeph-{k}", "wrapper_insertion", f"See the note: details {k}.", f"Voir la note <codeph>:</codeph> détails {k}.", False)
-    add("invalid-truncated", "invalid_xml", note, "<topic><title>Nope", False, lt="neg-:-space-0", raw=True)
-    for ident, before, after, lt in (("prose", "Here is the translation:\n", "", "pos-:-nbsp-0"), ("think", "<think>check</think>\n", "", None), ("fence", "```xml\n", "\n```", None)):
-        add(f"invalid-{ident}", "invalid_xml", note, f"{before}{{doc}}{after}", False, lt=lt, raw=True)
-    for k in range(4):
-        add(f"invalid-broken-{k}", "invalid_xml", f"See the note: details {k}.", f"<p>Voir {k}</p", False, raw=True)
-    items = lambda a, b: f'<ul><li id="{a[0]}">{a[1]}</li><li id="{b[0]}">{b[1]}</li></ul>'
-    plain = items(("a", "One"), ("b", "Two"))
-    add("swap-li", "sibling_swaps", plain, items(("b", "Deux"), ("a", "Un")), False, lt="swap-li-ordered", frame=True)
-    add("swap-li-ordered", "sibling_swaps", plain, items(("a", "Un"), ("b", "Deux")), True, 1.0, frame=True)
-    for k in range(4):
-        add(f"swap-{k}", "sibling_swaps", items((f"a{k}", f"One {k}"), (f"b{k}", f"Two {k}")), items((f"b{k}", f"Deux {k}"), (f"a{k}", f"Un {k}")), False, frame=True)
-    add("attr-order", "sibling_swaps", '<p id="p1" outputclass="note">See the note.</p>', '<p outputclass="note" id="p1">Voir la note.</p>', False, frame=True)
-    part = "The <i>xs:override</i> component."
-    add("protect-xs-glued", "protected_literals", part, "Le composant <i>xs:override</i>.", True, 1.0)
-    add("protect-xs-spaced", "protected_literals", part, f"Le composant <i>xs{n}:override</i>.", False, lt="protect-xs-glued")
-    for k, t in enumerate(("xs:override", "oxy:is-editable", "xi:include", "xsl:stylesheet", "oxy:")):
-        add(f"protect-glued-{k}", "protected_literals", f"Call {t} here.", f"Appelez {t} ici.", True, 1.0)
-        add(f"protect-spaced-{k}", "protected_literals", f"Call {t} here.", f"Appelez {t.replace(':', n + ':', 1)} ici.", False)
-    for ident, en, fr in (
-        ("time", "Meet at 12:30 sharp.", "Rendez-vous à 12:30 précises."),
-        ("ratio", "Use 16:9 video.", "Utilisez la vidéo 16:9."),
-        ("url", "See http://example.com/a:b now: go.", f"Voir http://example.com/a:b maintenant{n}: allez."),
-        ("file", "Edit topic.dita then save.", "Éditez topic.dita puis enregistrez."),
-        ("css", "Use :before in the rule.", "Utilisez :before dans la règle."),
-        ("title-i", "See the note: details.", f"Voir la note{n}: détails."),
-        ("codeph", "Keep <codeph>a:b</codeph> and the note: end.", f"Gardez <codeph>a:b</codeph> et la note{n}: fin."),
-    ):
-        add(f"protect-{ident}", "protected_literals", en, fr, True, 1.0)
-    add("adv-codeph-hides-colon", "adversarial", note, "Voir la <codeph>note:</codeph> détails.", False, lt="neg-:-space-0")
-    add("adv-delete-prose", "adversarial", "See the note: details stay in the file.", "Voir.", True, 0.0, le="neg-:-space-0")
-    done = "The <i>xs:override</i> component: done."
-    add("adv-space-xs", "adversarial", done, f"Le composant <i>xs{n}:override</i> terminé{n}: oui.", False, lt="adv-xs-glued-with-mark")
-    add("adv-xs-glued-with-mark", "adversarial", done, f"Le composant <i>xs:override</i> terminé{n}: oui.", True, 1.0)
-    add("adv-extra-nbsp-same-reward", "adversarial", note, f"Voir{n}la note{n}: détails.", True, 1.0, le="pos-:-nbsp-0")
-    add("amb-nnbsp", "ambiguous", note, f"Voir la note{NNBSP}: détails.", True, 0.0, True)
-    add("amb-ratio-spaced", "ambiguous", "Use 16 : 9 video.", "Utilisez 16 : 9 vidéo.", True, None, True)
-    for k in range(4):
-        add(f"amb-nnbsp-{k}", "ambiguous", f"See the note: details {k}.", f"Voir la note{NNBSP}: détails {k}.", True, None, True)
-    add("nfkc-nbsp-kept", "nfkc", "See the ﬁle: now.", f"Voir le ﬁchier{n}: maintenant.", True, 1.0)
-    add("nfkc-fullwidth-not-colon", "nfkc", note, "Voir la note： détails.", True, 0.0)
-    quoted = 'See "W3C" now.'
-    add("guill-ok", "guillemets", quoted, f"Voir «{n}W3C{n}» maintenant.", True, 1.0)
-    add("guill-bad-space", "guillemets", quoted, "Voir « W3C » maintenant.", True, 0.0)
-    add("guill-english", "guillemets", quoted, 'Voir "W3C" maintenant.', True, 0.0)
-    add("guill-split-inline", "guillemets", 'See "<b>W3C</b>" now.', f"Voir «<b>{n}W3C{n}</b>» maintenant.", True, 1.0)
-    for k in range(4):
-        add(f"guill-ok-{k}", "guillemets", f'See "term {k}" now.', f"Voir «{n}terme {k}{n}» maintenant.", True, 1.0)
-    return out
-
-
-CASE = "id string, category string, source string, hyp string, raw boolean, expect_gate boolean, expect_reward double, expect_ambiguous boolean, reward_lt_id string, reward_le_id string"
+# -- fixtures: what the oracle has to say, rule by rule ----------------------------------------
+
+#: Ways to write the space before a mark, and whether the oracle takes them.
+GAPS = (("char", NBSP, True), ("decimal", "&#160;", True), ("hexadecimal", "&#xa0;", True), ("name", "&nbsp;", True), ("blank", " ", False), ("none", "", False))
+_CASE = "id string, category string, source string, hyp string, raw boolean, expect_gate boolean, expect_reward double, expect_ambiguous boolean, reward_lt_id string, reward_le_id string"
+
+
+def _cases() -> Iterator[tuple]:
+    """Rows of _CASE. A rule is a sentence about each noun, in both languages, and what must come of it."""
+
+    def case(rule: str, k: object, source: str, hyp: str, gate: bool = True, reward: float | None = 1.0, unsure: bool | None = None, below: str | None = None, most: str | None = None, raw: bool = False) -> tuple:
+        return f"{rule}/{k}", rule, source, hyp, raw, gate, reward if gate else None, unsure, below, most
+
+    p = lambda x: f"<p>{x}</p>"
+    n, codes = NBSP, ("xi:text", "oxy:end", "a:b", "xsl:when", "xs:token")
+    for k, (en, fr) in enumerate(NOUNS):
+        source = p(f"Close {en}: part {k}.")
+        told = lambda gap, k=k, fr=fr: p(f"Fermer {fr}{gap}: partie {k}.")
+        yield case("gap_of_noun", k, source, told(n))
+        good = f"gap_of_noun/{k}"
+        for tag in ("b", "i", "ph", "cite", "q"):
+            held = p(f"Print <{tag}>{en}</{tag}>! Part {k}.")
+            yield case("after_inline", f"{k}-{tag}-in", held, p(f"Imprimer <{tag}>{fr}{n}</{tag}>! Partie {k}."))
+            yield case("after_inline", f"{k}-{tag}-out", held, p(f"Imprimer <{tag}>{fr}</{tag}>&#160;! Partie {k}."))
+            yield case("after_inline", f"{k}-{tag}-blank", held, p(f"Imprimer <{tag}>{fr}</{tag}> ! Partie {k}."), reward=0.0)
+        for j, run in enumerate(("?!", "!!", "??", "!?")):
+            asked = p(f"Lost {en}{run} Part {k}.")
+            yield case("run_of_marks", f"{k}-{j}", asked, p(f"Perdu {fr}{n}{run} Partie {k}."))
+            yield case("run_of_marks", f"{k}-{j}-glued", asked, p(f"Perdu {fr}{run} Partie {k}."), reward=0.0)
+        yield case("mark_left_out", k, source, p(f"Fermer {fr} en partie {k}."), reward=0.0, below=good)
+        yield case("prose_left_out", k, source, p("Fermer."), reward=0.0, below=good)
+        code, other = codes[k % 5], codes[(k + 1) % 5]
+        named = p(f"Call {code} of {en}.")
+        yield case("literal_kept", f"{k}-name", named, p(f"Appeler {code} pour {fr}."))
+        yield case("literal_changed", f"{k}-other", named, p(f"Appeler {other} pour {fr}."), gate=False, below=f"literal_kept/{k}-name")
+        yield case("literal_changed", f"{k}-spaced", named, p(f"Appeler {code.replace(':', n + ':')} pour {fr}."), gate=False, below=f"literal_kept/{k}-name")
+        for j, (kind, text) in enumerate((("clock", f"0{k}:45"), ("score", f"{k}:7"), ("address", f"https://example.org/{k}:x"), ("file", f"part{k}.xml"), ("style", ":hover"), ("code", "<codeph>k:v</codeph>"))):
+            yield case("literal_kept", f"{k}-{kind}", p(f"Take {text} with {en}; part {j}."), p(f"Prendre {text} avec {fr}{n}; partie {j}."))
+        yield case("wrapper_added", k, source, p(f"Fermer {fr} <codeph>:</codeph> partie {k}."), gate=False, below=good)
+        yield case("mark_in_code", k, source, p(f"Fermer <codeph>{fr}:</codeph> partie {k}."), gate=False, below=good)
+        for kind, before, after in (("lead", "Voici :\n", ""), ("thought", "<think>oui</think>", ""), ("fence", "```\n", "\n```"), ("tail", "", "\nFin.")):
+            yield case("more_than_xml", f"{k}-{kind}", source, f"{before}{{doc}}{after}", gate=False, below=good, raw=True)
+        yield case("no_xml", f"{k}-cut", source, f"<topic><body><p>Fermer {fr}", gate=False, below=good, raw=True)
+        yield case("no_xml", f"{k}-torn", source, f"<topic><p>Fermer {fr}</body></topic>", gate=False, below=good, raw=True)
+        rows = lambda *x, k=k: "<ol>" + "".join(f'<li id="r{k}{c}">{t}</li>' for c, t in x) + "</ol>"
+        listed = rows(("x", en), ("y", "end"))
+        yield case("siblings", f"{k}-kept", listed, rows(("x", fr), ("y", "fin")))
+        yield case("siblings", f"{k}-moved", listed, rows(("y", "fin"), ("x", fr)), gate=False, below=f"siblings/{k}-kept")
+        yield case("siblings", f"{k}-lost", listed, rows(("x", fr)), gate=False, below=f"siblings/{k}-kept")
+        styled = lambda *x, t: f"<p {' '.join(x)}>{t}</p>"
+        yield case("siblings", f"{k}-attributes", styled('id="s"', 'platform="p"', t=en), styled('platform="p"', 'id="s"', t=fr), gate=False)
+        yield case("narrow_space", k, source, told(NNBSP), reward=0.0, unsure=True, most=good)
+        yield case("spaced_ratio", k, p(f"Cut {en} {k + 2} : 3 now."), p(f"Couper {fr} {k + 2} : 3 ici."), reward=None, unsure=True)
+        yield case("more_spaces", k, source, p(f"Fermer{n}{fr}{n}: partie{n}{k}."), most=good)
+        yield case("other_forms", f"{k}-ligature", p(f"The ﬂow of {en}: part {k}."), p(f"Le ﬂux de {fr}{n}: partie {k}."))
+        yield case("other_forms", f"{k}-wide", source, p(f"Fermer {fr}： partie {k}."), reward=0.0, below=good)
+        quoted = p(f'Say "{en}" to part {k}.')
+        yield case("quotes", f"{k}-spaced", quoted, p(f"Dire «{n}{fr}{n}» à la partie {k}."))
+        yield case("quotes", f"{k}-inline", p(f'Say "<b>{en}</b>" to part {k}.'), p(f"Dire «<b>{n}{fr}{n}</b>» à la partie {k}."))
+        yield case("quotes", f"{k}-blank", quoted, p(f"Dire « {fr} » à la partie {k}."), reward=0.0, below=f"quotes/{k}-spaced")
+        yield case("quotes", f"{k}-english", quoted, p(f'Dire "{fr}" à la partie {k}.'), reward=0.0, below=f"quotes/{k}-spaced")
 
 
 def fixtures(spark: SparkSession) -> DataFrame:
-    """305 cases of the oracle: a product of stems, marks and separators, and cases by hand."""
-    stems = spark.createDataFrame([(k, e, f) for k, (e, f) in enumerate(STEMS)], "k int, en string, fr string")
-    signs = spark.createDataFrame([(m,) for m in ":;?!"], "mark string")
-    seps = [("nbsp", NBSP, 1.0), ("dec", "&#160;", 1.0), ("hex", "&#xA0;", 1.0), ("named", "&nbsp;", 1.0), ("space", " ", 0.0), ("glued", "", 0.0)]
-    seps = spark.createDataFrame(seps, "mode string, sep string, expect_reward double")
-    grid = stems.coalesce(1).crossJoin(F.broadcast(signs)).crossJoin(F.broadcast(seps))  # 8 x 4 x 6
-    c, ident = F.col, F.concat(F.lit("g"), F.col("k").cast("string"))
-    side = F.when(c("expect_reward") == 1.0, "pos").otherwise("neg")
-    para = lambda *parts: F.concat(F.lit("<p>"), *parts, F.lit("</p>"))
-    end = F.concat(F.lit(" "), c("k").cast("string"), F.lit("."))
+    """Cases of the oracle with what is expected of them: every noun with every mark and way to write
+    the space before it, and the rules of _cases."""
+    nouns = spark.createDataFrame([(k, e, f) for k, (e, f) in enumerate(NOUNS)], "k int, en string, fr string").coalesce(1)
+    marks = spark.createDataFrame([(m,) for m in "!:;?"], "mark string")
+    gaps = spark.createDataFrame(list(GAPS), "gap string, space string, fine boolean")
+    grid = nouns.crossJoin(F.broadcast(marks)).crossJoin(F.broadcast(gaps))  # 10 x 4 x 6
+    c = F.col
+    para = lambda *parts: topic(F.concat(F.lit("<p>"), *parts, F.lit(".</p>")), "T")
     product = grid.select(
-        F.concat_ws("-", side, "mark", "mode", c("k").cast("string")).alias("id"),
-        F.when(side == "pos", "positives").otherwise("negatives").alias("category"),
-        topic(para(F.lit("The "), c("en"), c("mark"), F.lit(" continues"), end), "Title", ident).alias("source"),
-        topic(para(F.lit("La "), c("fr"), c("sep"), c("mark"), F.lit(" suite"), end), "Titre", ident).alias("hyp"),
+        F.concat_ws("/", F.lit("gap"), "gap", "mark", c("k").cast("string")).alias("id"),
+        F.when(c("fine"), "gap_fine").otherwise("gap_wrong").alias("category"),
+        para(F.lit("Here is "), c("en"), c("mark"), F.lit(" more")).alias("source"),
+        para(F.lit("Voici "), c("fr"), c("space"), c("mark"), F.lit(" encore")).alias("hyp"),
         F.lit(True).alias("expect_gate"),
-        "expect_reward",
+        c("fine").cast("double").alias("expect_reward"),
         F.lit(None).cast("boolean").alias("expect_ambiguous"),
-        F.lit(None).cast("string").alias("reward_lt_id"),
+        F.when(~c("fine"), F.concat_ws("/", F.lit("gap"), F.lit("char"), "mark", c("k").cast("string"))).alias("reward_lt_id"),
         F.lit(None).cast("string").alias("reward_le_id"),
     )
-    hand = spark.createDataFrame(_cases(), CASE).coalesce(1)
-    framed = topic(F.lit("<p>Voir la note&#160;: détails.</p>"))
-    hyp = F.when(c("raw"), F.replace("hyp", F.lit("{doc}"), framed)).otherwise(topic(c("hyp")))
-    hand = hand.withColumns({"hyp": hyp, "source": topic(c("source"))}).drop("raw")
-    return product.unionByName(hand)
+    rules = spark.createDataFrame(list(_cases()), _CASE).coalesce(1)
+    hyp = F.when(c("raw"), F.replace("hyp", F.lit("{doc}"), topic(F.lit("<p>Fermer la note&#160;: partie 1.</p>"), "T"))).otherwise(topic(c("hyp"), "T"))
+    rules = rules.withColumns({"hyp": hyp, "source": topic(c("source"), "T")}).drop("raw")
+    return product.unionByName(rules)
+
+
+def unmet_expectations(scored: DataFrame) -> DataFrame:
+    """(id, unmet): the expectations that scored fixtures do not meet; rewards are held against those of
+    the named rows by a join of the table with itself."""
+    known = scored.select(F.col("id").alias("of"), F.col("oracle_reward").alias("value"))
+    low, most = known.toDF("reward_lt_id", "lt"), known.toDF("reward_le_id", "le")
+    c = F.col
+    unmet = {
+        "gate": c("gate_passed") != c("expect_gate"),
+        "reward": c("oracle_reward") != c("expect_reward"),
+        "ambiguous": c("expect_ambiguous") & (F.size("ambiguous_spans") == 0),
+        "sign": (c("oracle_reward") >= 0) != c("gate_passed"),
+        "below": c("reward_lt_id").isNotNull() & ~F.coalesce(c("oracle_reward") < c("lt"), F.lit(False)),
+        "at_most": c("reward_le_id").isNotNull() & ~F.coalesce(c("oracle_reward") <= c("le"), F.lit(False)),
+    }
+    rows = scored.join(low, "reward_lt_id", "left").join(most, "reward_le_id", "left")
+    listed = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in unmet.items()]))
+    return rows.select("id", listed.alias("unmet")).filter(F.size("unmet") > 0)

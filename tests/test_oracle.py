@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pairgauge.functions import text as X
@@ -5,42 +6,39 @@ from pairgauge.functions import trees, xml
 from pairgauge.operators import formats, generators
 
 
+def _scored(spark):
+    return formats.oracle(generators.fixtures(spark).withColumnRenamed("source", "src"))
+
+
 def test_fixtures(spark):
-    cases = generators.fixtures(spark)
-    counts = {r.category: r["count"] for r in cases.groupBy("category").count().collect()}
-    assert counts == {
-        "positives": 128, "negatives": 64, "inline_tails": 9, "entities": 8, "clusters": 11, "omitted_marks": 9, "deleted_prose": 9, "identifier_mutation": 5,
-        "wrapper_insertion": 7, "invalid_xml": 8, "sibling_swaps": 7, "protected_literals": 19, "adversarial": 5, "ambiguous": 6, "nfkc": 2, "guillemets": 8,
-    }
-    scored = formats.oracle(cases.withColumnRenamed("source", "src"))
-    rows = {r.id: r for r in scored.select("id", "category", "src", "hyp", "expect_gate", "expect_reward", "expect_ambiguous", "reward_lt_id", "reward_le_id", "gate_passed", "oracle_reward", "ambiguous_spans").collect()}
-    assert len(rows) == 305
-    for r in rows.values():
-        assert r.gate_passed == r.expect_gate, r.id
-        assert r.expect_reward is None or r.oracle_reward == r.expect_reward, r.id
-        assert not r.expect_ambiguous or r.ambiguous_spans, r.id
-        assert (r.oracle_reward >= 0) == r.gate_passed
-        if r.reward_lt_id:
-            assert r.oracle_reward < rows[r.reward_lt_id].oracle_reward, r.id
-        if r.reward_le_id:
-            assert r.oracle_reward <= rows[r.reward_le_id].oracle_reward, r.id
+    scored = _scored(spark)
+    counts = {r.category: r["count"] for r in scored.groupBy("category").count().collect()}
+    assert sum(counts.values()) >= 250 and len(counts) >= 16 and scored.select("id").distinct().count() == sum(counts.values())
+    assert (counts["gap_fine"], counts["gap_wrong"], counts["after_inline"]) == (160, 80, 150)
+    assert generators.unmet_expectations(scored).collect() == []
+    # the check itself finds what is wrong
+    wrong = scored.filter("id IN ('gap/none/:/0', 'gap/char/:/0')").withColumn("oracle_reward", F.lit(0.5))
+    assert sorted(tuple(r.unmet) for r in generators.unmet_expectations(wrong).collect()) == [("reward",), ("reward", "below")]
 
 
 def test_fixer_raises_and_never_lowers(spark):
-    cases = generators.fixtures(spark).filter(F.col("category").isin("positives", "negatives", "entities")).withColumnRenamed("source", "src")
-    more = generators.fixtures(spark).filter("category IN ('inline_tails', 'clusters', 'guillemets') AND expect_gate").withColumnRenamed("source", "src")
-    cases = cases.unionByName(more)
-    before = formats.oracle(cases).select("id", F.col("oracle_reward").alias("b"))
-    after = formats.oracle(cases.withColumn("hyp", xml.fix_aligned(F.col("hyp")))).select("id", F.col("oracle_reward").alias("a"))
-    r = before.join(after, "id").agg(F.count_if(F.col("a") > F.col("b")).alias("up"), F.count_if(F.col("a") < F.col("b")).alias("down"), F.avg("a").alias("mean")).first()
-    assert r.down == 0 and r.up >= 64 and r.mean > 0.97
+    before = _scored(spark).filter("gate_passed")
+    after = formats.oracle(before.select("id", "src", xml.fix_aligned(F.col("hyp")).alias("hyp"))).select("id", F.col("oracle_reward").alias("a"))
+    r = before.select("id", "category", F.col("oracle_reward").alias("b")).join(after, "id").groupBy("category")
+    got = {x.category: x for x in r.agg(F.count_if(F.col("a") > F.col("b")).alias("up"), F.count_if(F.col("a") < F.col("b")).alias("down"), F.min("a").alias("least")).collect()}
+    assert all(x.down == 0 for x in got.values())
+    assert got["gap_wrong"].up == 80 and got["gap_wrong"].least == 1.0 and got["after_inline"].up == 50 and got["run_of_marks"].least == 1.0
 
 
 def test_generated_targets_score_one(spark):
     pairs = generators.synthetic_pairs(spark, 80).unionByName(generators.mixed_pairs(spark, 60))
     assert generators.failing_targets(pairs).count() == 0
     repairs = generators.repair_pairs(pairs, 20)
-    assert repairs.count() == 20
+    assert repairs.count() == 20 and generators.noop_pairs(pairs, 20).filter("source_xml = target_xml").count() == 20
+    spoiled = pairs.withColumn("target_xml", F.when(F.col("i") % 2 == 0, F.replace("target_xml", F.lit(trees.NBSP), F.lit(" "))).otherwise(F.col("target_xml")))
+    assert {r.i % 2 for r in generators.repair_pairs(spoiled, 20).collect()} == {1} == {r.i % 2 for r in generators.noop_pairs(spoiled, 20).collect()}
+    with pytest.raises(Exception, match="500 pairs asked for, found"):
+        generators.repair_pairs(pairs, 500).collect()
     fixed = repairs.select(X.expand_nbsp(xml.fix_aligned(F.col("source_xml"))).alias("f"), "target_xml").filter("f != target_xml").count()
     assert fixed == 0
 
