@@ -140,7 +140,7 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
 
 
 def _anchors(run: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
-    """(text number, anchor hash, surroundings' hash, anchor's place in them, first window, windows)."""
+    """(text number, anchor hash, surroundings' hash, first window, windows)."""
     half = length // 2
     width = length - half + 1
     data = np.frombuffer(b"".join(p for *_, p in run), np.uint8)
@@ -166,13 +166,13 @@ def _anchors(run: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray
     new[1:] = (at[1:] != at[:-1]) | (piece[1:] != piece[:-1])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(s)]]) - 1
-    lo, hi, p, piece = s[first], s[last], at[first], piece[first]
+    lo, hi, piece = s[first], s[last], piece[first]
     begin, base, number = ends - sizes, np.array([b for _, b, _ in run]), np.array([k for k, *_ in run])
     around = span_hash(pre, lo, hi + length)
-    return number[piece], grams[p], around, p - lo, lo - begin[piece] + base[piece], hi - lo + 1
+    return number[piece], grams[at[first]], around, lo - begin[piece] + base[piece], hi - lo + 1
 
 
-_ROW = "fp long, around long, o int, rk long, s long, m int"
+_ROW = "fp long, around long, rk long, s long, m int"
 
 
 def _anchor_rows(length: int):
@@ -180,9 +180,9 @@ def _anchor_rows(length: int):
         for b in batches:
             rk = b.column(0).to_numpy()
             for part in _pieces(b.column(1).cast(pa.binary()).to_pylist(), length):
-                k, fp, around, o, s, m = _anchors(part, length)
-                cols = [pa.array(fp.view(np.int64)), pa.array(around.view(np.int64)), pa.array(o.astype(np.int32)), pa.array(rk[k]), pa.array(s), pa.array(m.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["fp", "around", "o", "rk", "s", "m"])
+                k, fp, around, s, m = _anchors(part, length)
+                cols = [pa.array(fp.view(np.int64)), pa.array(around.view(np.int64)), pa.array(rk[k]), pa.array(s), pa.array(m.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["fp", "around", "rk", "s", "m"])
 
     return run
 
@@ -276,12 +276,12 @@ def _joined_windows(length: int):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(rk, lo, hi): byte spans that lie in repeated strings, for rows (rk, text)."""
-    alike = ["fp", "around", "o", "m"]
+    alike = ["fp", "around"]  # equal surroundings are of one length and have their anchor at one place
     rows = table(docs.filter(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), _ROW))
     # counted before they are dealt, so that a passage of many copies is one row a task
-    classes = table(rows.groupBy(*alike).agg(F.count(F.lit(1)).alias("n"), F.min("rk").alias("rk"), F.min_by("s", "rk").alias("s")))
+    classes = table(rows.groupBy(*alike).agg(F.count(F.lit(1)).alias("n"), F.min("rk").alias("rk"), F.min_by("s", "rk").alias("s"), F.min("m").alias("m")))
     again = classes.filter("n > 1").select(*alike)
-    whole = rows.join(F.broadcast(again) if few(again) else again, alike)
+    whole = rows.join(again, alike)
     whole = table(whole.select("rk", F.col("s").alias("lo"), (F.col("s") + F.col("m") + (length - 1)).alias("hi")))
     drop_table(docs.sparkSession, rows._pairgauge_path)
 
