@@ -67,3 +67,13 @@ def token_cap(text: Column, per_token: float = 2.8, extra: int = 48) -> Column:
 
 def bounded_cap(text: Column, per_token: int = 3, extra: int = 48, low: int = 160, high: int = 640) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), F.floor(F.length(text) / per_token + extra).cast("int")))
+
+
+def deferred(text: Column, cap: Column | int) -> Column:
+    """Whether a text needs more tokens than a run allows, so that it has to wait."""
+    return token_cap(text) > cap
+
+
+def training_bytes(weights: Column, trainable: Column, allowance: Column | int) -> Column:
+    """Weights, eight bytes of optimizer state and two of gradient a trainable parameter, and an allowance for activations."""
+    return (weights + trainable * 10 + allowance).cast("long")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
+import subprocess
 from collections.abc import Callable
 
-
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -192,6 +194,29 @@ decode_mapped = arrow_function("struct<text:string,spans:array<struct<s:int,e:in
 #: The oracle's reward of a source and an answer as one scalar, for callbacks and SQL.
 gated_scalar = arrow_function("double", lambda s, h: trees.gated_scalar(s, h), "gated_scalar")
 
+def validator(command: tuple[str, ...], catalog: str | None = None, timeout: float = 60.0) -> Callable[..., Column]:
+    """A function of documents that runs an outside validator on each, the document on its standard input:
+    struct(ok, n_errors, message). ``catalog`` names a catalog file that has to be there, on every node.
+
+    Nothing is valid without its catalog or command; a validator that does not end counts as one error."""
+
+    def one(document: str | None) -> dict:
+        if catalog is not None and not os.path.isfile(catalog):
+            return {"ok": False, "n_errors": 1, "message": f"missing catalog {catalog}"}
+        env = os.environ | ({"XML_CATALOG_FILES": catalog} if catalog else {})
+        try:
+            p = subprocess.run(command, input=(document or "").encode(), capture_output=True, env=env, timeout=timeout)
+        except (OSError, subprocess.TimeoutExpired) as e:
+            return {"ok": False, "n_errors": 1, "message": str(e)[:2000]}
+        said = p.stderr.decode("utf-8", "replace").strip()
+        n = sum(bool(_ERROR.search(line)) for line in said.splitlines())
+        return {"ok": p.returncode == 0, "n_errors": max(n, int(p.returncode != 0)), "message": said[:2000]}
+
+    return arrow_function("struct<ok:boolean,n_errors:int,message:string>", one, "xml_validator")
+
+
+_ERROR = re.compile(r"validity error|parser error|error :|^error", re.I)
+
 SQL_FUNCTIONS = ("chrf", "closed", "facts", "diff", "nodes", "segments", "flows", "fix_simple", "fix_aligned", "visible_text", "gated_scalar", "decode_mapped")
 
 
@@ -202,4 +227,4 @@ def register(spark: SparkSession, prefix: str = "xml_") -> list[str]:
     return [prefix + name for name in SQL_FUNCTIONS]
 
 
-__all__ = ["arrow_function", "block_texts", "chrf", "closed", "decode_mapped", "diff", "facts", "fix_aligned", "fix_simple", "flows", "gated_scalar", "nodes", "oracle_facts", "register", "segments", "visible_text"]
+__all__ = ["arrow_function", "block_texts", "chrf", "closed", "decode_mapped", "diff", "facts", "fix_aligned", "fix_simple", "flows", "gated_scalar", "nodes", "oracle_facts", "register", "segments", "validator", "visible_text"]

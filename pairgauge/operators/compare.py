@@ -19,14 +19,19 @@ def deltas(a: DataFrame, b: DataFrame, measures: tuple[str, ...]) -> DataFrame:
     return both.select("id", each.alias("e")).select("id", "e.measure", "e.delta").filter("delta IS NOT NULL")
 
 
+#: Topics that one call resamples, and pairs that people judge.
+TOPICS = 100_000
+
 RESULT = "measure string, n long, mean double, low double, high double, up long, down long, equal long"
 
 
 def paired_bootstrap(d: DataFrame, resamples: int = 10_000, seed: int = 0) -> DataFrame:
     """Mean difference, its 95 % interval and counts per measure, with Python's generator: for the
-    few hundred topics of an evaluation. ``bootstrap_at_scale`` is for many."""
+    few hundred topics of an evaluation. ``bootstrap_at_scale`` is for many; more than TOPICS are an error."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
+        if len(p) > TOPICS:
+            raise ValueError(f"{len(p)} topics: bootstrap_at_scale is for so many")
         x = p.sort_values("id")["delta"].tolist()
         rng, n = random.Random(seed), len(p)
         means = sorted(sum(x[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
@@ -62,9 +67,12 @@ def sign_test(up: int, down: int) -> float:
 
 
 def blind_pairs(a: DataFrame, b: DataFrame, topics: DataFrame, seed: int, shards: int = 4) -> DataFrame:
-    """(pair, shard, id, src, A, B, a_is): answers in an order that a coin per id decides."""
+    """(pair, shard, id, src, A, B, a_is): answers in an order that a coin per id decides.
+
+    People read each row, so more than TOPICS pairs are an error and one task may number them."""
     both = topics.select("id", "src").join(a.select("id", F.col("hyp").alias("h1")), "id").join(b.select("id", F.col("hyp").alias("h2")), "id")
-    n = F.row_number().over(Window.orderBy("id"))  # a judging set: people read each row
+    n = F.row_number().over(Window.orderBy("id"))
+    n = F.when(n > TOPICS, F.raise_error(F.lit(f"more than {TOPICS} pairs to judge"))).otherwise(n)
     flip = X.coin(seed, F.col("id"))
     rows = both.withColumns({"n": n - 1, "flip": flip})
     h1, h2 = X.clean_output(F.col("h1")), X.clean_output(F.col("h2"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.numbers import py_round, spend
+from ..functions.numbers import lora_parameters, py_round, spend, training_bytes
 
 
 def report_summary(reports: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -148,6 +148,29 @@ def balance_spend(ledger: DataFrame) -> DataFrame:
     return has.agg((F.min(b)["v"] - F.max(b)["v"]).alias("usd"))
 
 
+def may_run(dev: DataFrame, left: Column | float, cost: float, measure: str = "reward", enough: float = 0.95) -> DataFrame:
+    """(mean, run): whether a next stage is worth its cost (the mean is short of enough) and can be paid for."""
+    mean = F.avg(measure)
+    money = left if isinstance(left, Column) else F.lit(float(left))
+    return dev.agg(mean.alias("mean"), F.min(money).alias("_left")).select("mean", F.coalesce((F.col("mean") < enough) & (F.col("_left") >= cost), F.lit(False)).alias("run"))
+
+
+def adapter_sizes(maps: DataFrame, rank: int) -> DataFrame:
+    """(part, n_layers, params) for rows (part, name, width_in, width_out, layers): what adapters of a rank add to each part."""
+    rows = maps.withColumn("p", lora_parameters(F.lit(rank), F.col("width_in"), F.col("width_out"), F.col("layers")))
+    return rows.groupBy("part").agg(F.max("layers").cast("long").alias("n_layers"), F.sum("p").cast("long").alias("params"))
+
+
+def adapter_choice(sizes: DataFrame, plans: DataFrame, weights: int, allowance: int, device: int) -> DataFrame:
+    """(plan, params, bytes, fits, chosen) for plans (rank, plan, part): the first plan by rank that fits the device
+    is chosen, or else the last."""
+    each = plans.join(sizes, "part").groupBy("rank", "plan").agg(F.sum("params").cast("long").alias("params"))
+    need = training_bytes(F.lit(weights), F.col("params"), allowance)
+    each = each.withColumn("bytes", need).withColumn("fits", F.col("bytes") < device)
+    pick = each.agg(F.coalesce(F.min(F.when(F.col("fits"), F.col("rank"))), F.max("rank")).alias("pick"))
+    return each.crossJoin(F.broadcast(pick)).select("plan", "params", "bytes", "fits", (F.col("rank") == F.col("pick")).alias("chosen"))  # one row
+
+
 def duplicates(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 

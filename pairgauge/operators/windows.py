@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that one Python call may sort and fold.
+GROUP_ROWS = 1_000_000
+
+
 def drop_repeats(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Rows whose value differs from the one before in their key."""
     w = Window.partitionBy(key).orderBy(order)
@@ -52,9 +55,11 @@ def shards(df: DataFrame, group: str, order: str, k: int) -> DataFrame:
 def pack(df: DataFrame, group: str, key: str, length: str, most_rows: int, budget: int) -> DataFrame:
     """Adds ``batch``: rows of a group by length, a new batch where rows or rows x longest grow too many.
 
-    A fold over sorted rows, so one task works on one group."""
+    A fold over sorted rows, so one task works on one group: the pool of a step, at most GROUP_ROWS rows."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
+        if len(p) > GROUP_ROWS:
+            raise ValueError(f"a group of {len(p)} rows is no pool of a step")
         p = p.sort_values([length, key], kind="stable")
         batch, rows, out = 0, 0, []
         for n in p[length]:
@@ -82,11 +87,19 @@ def stop_reason(df: DataFrame, run: str, hit: Column, target: int, wall: float,
     return seen.select(run, "scanned", "hits", why.alias("reason"))
 
 
-def epochs(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """(epoch, key, ...) in hash order, another one each epoch: replay is a filter on epoch and place."""
+def epochs(df: DataFrame, key: str, n: int, seed: int, digits: int = 3) -> DataFrame:
+    """(epoch, key, ..., place) in hash order, another one each epoch: replay is a filter on epoch and place.
+
+    Hashes spread evenly, so their first ``digits`` deal each epoch to 16**digits tasks; a place is one
+    in its task after the rows of the tasks before, whose counts (n * 16**digits at most) are broadcast."""
     each = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     order = F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(key).cast("string")).cast("binary"))
-    return each.withColumn("place", F.row_number().over(Window.partitionBy("epoch").orderBy(order, key)))
+    each = each.withColumn("_o", order).withColumn("_b", F.substring("_o", 1, digits))
+    counts = each.groupBy("epoch", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("epoch").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("epoch", "_b", F.coalesce(before, F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("epoch", "_b").orderBy("_o", key)) + F.col("_base")
+    return each.join(F.broadcast(counts), ["epoch", "_b"]).withColumn("place", place.cast("long")).drop("_o", "_b", "_base")
 
 
 def merge_spans(spans: Column) -> Column:

@@ -30,9 +30,12 @@ def progress(events: DataFrame, key: str, hit: Column) -> DataFrame:
     return events.groupBy(key).agg(F.count(F.lit(1)).alias("scanned"), F.count_if(hit).alias("hits"))
 
 
-def replay(events: DataFrame, key: str = "step", ts: str = "ts", late: str = "1 day") -> DataFrame:
-    """Each key once, for a log that was resumed and repeats its steps."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+def replay(events: DataFrame, key: str = "step", order: str | tuple[str, ...] = "ts") -> DataFrame:
+    """The last row of each key, for a log that was resumed and tells its steps again (output mode update
+    or complete; batches too). One row of state a key."""
+    by = F.col(order) if isinstance(order, str) else F.struct(*order)
+    rest = [c for c in events.columns if c != key]
+    return events.groupBy(key).agg(F.max_by(F.struct(*rest), by).alias("_r")).select(key, "_r.*").select(*events.columns)
 
 
 def best_so_far(events: DataFrame, group: str, measure: str, step: str = "step") -> DataFrame:
@@ -40,41 +43,73 @@ def best_so_far(events: DataFrame, group: str, measure: str, step: str = "step")
     return events.groupBy(group).agg(best.alias("b")).select(group, (-F.col("b.minus")).alias(step), F.col("b.value").alias("value"))
 
 
-def budget_alerts(events: DataFrame, stage: str, cap: float, rate: str = "rate", seconds: str = "seconds") -> DataFrame:
+#: Days of event time without a row after which a key's state is dropped.
+IDLE_DAYS = 30
+
+
+def _keep(state: GroupState, value: tuple, latest: pd.Timestamp | None) -> None:
+    """Update a state; with the latest event time of its rows it is dropped IDLE_DAYS after that."""
+    state.update(value)
+    if latest is not None:
+        now = max(int(latest.timestamp() * 1000), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(now + IDLE_DAYS * 86_400_000)
+
+
+def _stateful(rows: DataFrame, key: str, run, out: str, state: str, mode: str, ts: str | None) -> DataFrame:
+    """Groups with state; with an event time ``ts`` the state of a key that stays idle is dropped."""
+    if ts:
+        rows = rows.withWatermark(ts, "1 hour")
+    timeout = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
+    return rows.groupBy(key).applyInPandasWithState(run, out, state, mode, timeout)
+
+
+def budget_alerts(events: DataFrame, stage: str, cap: float, rate: str = "rate", seconds: str = "seconds", ts: str | None = None) -> DataFrame:
     """(stage, spent): one row for each stage, when its spend first reaches the cap.
 
-    The state of a stage is its spend and whether it has fired, so it never fires twice."""
+    The state of a stage is its spend and whether it has fired, so it never fires twice. With an event
+    time ``ts``, a stage that is idle for IDLE_DAYS starts anew; without one, states stay."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         spent, fired = state.get if state.exists else (0.0, False)
+        latest = None
         for p in batches:
+            latest = p[ts].max() if ts else None
             spent += float((p[rate] * p[seconds]).sum() / 3600)
         now = spent >= cap and not fired
-        state.update((spent, fired or now))
+        _keep(state, (spent, fired or now), latest)
         if now:
             yield pd.DataFrame({stage: [key[0]], "spent": [spent]})
 
     kind = dict(events.dtypes)[stage]
-    rows = events.select(stage, F.col(rate).cast("double").alias(rate), F.col(seconds).cast("double").alias(seconds))
-    return rows.groupBy(stage).applyInPandasWithState(run, f"{stage} {kind}, spent double", "spent double, fired boolean", "append", GroupStateTimeout.NoTimeout)
+    rows = events.select(stage, F.col(rate).cast("double").alias(rate), F.col(seconds).cast("double").alias(seconds), *([ts] if ts else []))
+    return _stateful(rows, stage, run, f"{stage} {kind}, spent double", "spent double, fired boolean", "append", ts)
 
 
-def scan_progress(events: DataFrame, run_id: str, hit: str, target: int) -> DataFrame:
-    """(run, scanned, hits, done) per batch; rows after the target count no more."""
+def scan_progress(events: DataFrame, run_id: str, hit: str, target: int, ts: str | None = None) -> DataFrame:
+    """(run, scanned, hits, done) per batch; rows after the target count no more. With an event time
+    ``ts``, the state of a run that is idle for IDLE_DAYS is dropped."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         scanned, hits = state.get if state.exists else (0, 0)
+        latest = None
         for p in batches:
+            latest = p[ts].max() if ts else None
             for is_hit in p.sort_values("place")[hit]:
                 if hits >= target:
                     break
                 scanned, hits = scanned + 1, hits + int(is_hit)
-        state.update((scanned, hits))
+        _keep(state, (scanned, hits), latest)
         yield pd.DataFrame({run_id: [key[0]], "scanned": [scanned], "hits": [hits], "done": [hits >= target]})
 
     kind = dict(events.dtypes)[run_id]
-    rows = events.select(run_id, F.col(hit).cast("boolean").alias(hit), F.col("place").cast("long").alias("place"))
-    return rows.groupBy(run_id).applyInPandasWithState(run, f"{run_id} {kind}, scanned long, hits long, done boolean", "scanned long, hits long", "update", GroupStateTimeout.NoTimeout)
+    rows = events.select(run_id, F.col(hit).cast("boolean").alias(hit), F.col("place").cast("long").alias("place"), *([ts] if ts else []))
+    return _stateful(rows, run_id, run, f"{run_id} {kind}, scanned long, hits long, done boolean", "scanned long, hits long", "update", ts)
 
 
 def snapshot(df: DataFrame, path: str, checkpoint: str):
