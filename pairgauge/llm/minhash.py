@@ -46,6 +46,8 @@ HUB_ROUNDS = 1
 SPLIT = 256
 #: Shingles of one side of a block; a larger set is a block of its own.
 BLOCK = 100_000
+#: Pairs of blocks up to which a bucket's members are compared directly.
+DIRECT = 16
 _FREE = np.uint64(2**64 - 1)
 _SEEDS = mix(np.arange(1, 2 * 4096 + 1, dtype=np.uint64))
 
@@ -182,14 +184,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.filter(similar(percent, n, m, F.size(F.array_intersect("sa", "sb")).cast("long"))).select("a", "b")
 
 
-def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components that share a bucket, compared in blocks; rows: (key, node, label)."""
-    sizes = sets.select("node", F.size("s").cast("long").alias("n"))
-    rows = table(rows.join(sizes, "node"))
+def _work(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, node, label, n), and for each bucket its largest component and how many blocks its
+    members, and those of other components, make."""
+    rows = table(rows.select("key", "node", "label").join(sets.select("node", F.size("s").cast("long").alias("n")), "node"))
     each = rows.groupBy("key", "label").agg(F.sum("n").alias("c"))
     top = each.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
-    top = table(top.select("key", F.col("top.label").alias("main"), blocks(F.col("m")).alias("mb"), blocks(F.col("m") - F.col("top.c")).alias("ob")))
+    return rows, table(top.select("key", F.col("top.label").alias("main"), blocks(F.col("m")).alias("mb"), blocks(F.col("m") - F.col("top.c")).alias("ob")))
+
+
+def _blocks(rows: DataFrame, top: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that share a bucket, compared in blocks; rows and top: see _work."""
     r = rows.join(F.broadcast(top) if few(top) else top, "key").withColumn("h", F.xxhash64("node"))
     mine = r.select("key", "node", "label", F.pmod("h", F.col("mb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("j"), F.lit(0).alias("side"))
     theirs = r.filter("label != main").select("key", "node", "label", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), F.pmod("h", F.col("ob")).alias("j"), F.lit(1).alias("side"))
@@ -233,9 +239,10 @@ def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _split(rows: DataFrame, links: DataFrame, salt: int) -> DataFrame | None:
-    """The rows (key, node, c, label, hub, hub_label) of buckets that hold several components; None: no such bucket."""
-    left = table(rows.filter("c > 2").join(components(links), "node", "left").select("key", "node", "c", F.coalesce("label", "node").alias("label")))
+def _split(rows: DataFrame, links: DataFrame, salt: int, verified: int = 2) -> DataFrame | None:
+    """The rows (key, node, c, label, hub, hub_label) of buckets that hold several components; None: no such
+    bucket. Buckets of ``verified`` members have been compared already."""
+    left = table(rows.filter(F.col("c") > verified).join(components(links), "node", "left").select("key", "node", "c", F.coalesce("label", "node").alias("label")))
     split = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct(F.xxhash64("node", F.lit(salt)), "node", "label")).alias("top"))
     split = table(split.filter("lo != hi").select("key", F.col("top.node").alias("hub"), F.col("top.label").alias("hub_label")))
     return left.join(F.broadcast(split) if few(split) else split, "key") if split.limit(1).count() else None
@@ -252,6 +259,18 @@ def _buckets(keyed: DataFrame) -> DataFrame:
     return table(keyed.join(F.broadcast(buckets) if few(buckets) else buckets, "key"))
 
 
+def _finely(left: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components in buckets too large to compare their members: those that share a finer band."""
+    some = table(left.select("node").distinct())
+    fine = _buckets(table(_finer(sets.join(F.broadcast(some) if few(some) else some, "node"))))
+    split = _split(fine, links, HUB_ROUNDS + 1, 1)
+    if split is None:
+        return links.limit(0)
+    more = table(_ask(split, sets, percent))
+    split = _split(fine, links.union(more), HUB_ROUNDS + 2)
+    return more if split is None else more.union(_blocks(*_work(split, sets), sets, percent))
+
+
 def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, x, n, node, label): rows of equal label are one component; n = 0 has no label."""
     d, classes = _classes(table(_describe(docs, k)))
@@ -265,31 +284,28 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sets = table(_sets_of(_rows(docs).join(F.broadcast(asked) if few(asked) else asked, near), k).dropDuplicates(["node"]))
 
     links = table(_verified(rows.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "c"), sets, percent))
-    left = None
-    for r in range(HUB_ROUNDS):
+    for r in range(HUB_ROUNDS + 1):
         left = _split(rows, links, r)
-        if left is None:
+        if left is None or r == HUB_ROUNDS:
             break
         links = table(links.union(_ask(left, sets, percent)))
-    if left is not None and (left := _split(rows, links, HUB_ROUNDS)) is not None:
-        some = table(left.select("node").distinct())
-        fine = _buckets(table(_finer(sets.join(F.broadcast(some) if few(some) else some, "node"))))
-        hubs = fine.join(components(links), "node", "left").select("key", "node", "c", F.coalesce("label", "node").alias("label"))
-        labels = hubs.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("node", "label")).alias("hub"))
-        labels = table(labels.filter("lo != hi").select("key", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")))
-        links = table(links.union(_ask(hubs.join(F.broadcast(labels) if few(labels) else labels, "key"), sets, percent)))
-        left = _split(fine, links, HUB_ROUNDS + 1)
-        if left is not None:
-            links = table(links.union(_blocks(left.select("key", "node", "label"), sets, percent)))
-    named = classes.select("node").join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    return d.select("doc_id", "x", "n", "node").join(named, "node", "left").select("doc_id", "x", "n", "node", "label")
+    if left is not None:
+        left, top = _work(left, sets)
+        large = top.filter(F.col("mb") * F.col("ob") > DIRECT)
+        if large.limit(1).count():
+            links = table(links.union(_finely(left.join(F.broadcast(large) if few(large) else large, "key"), links, sets, percent)))
+        links = table(links.union(_blocks(left, top.filter(F.col("mb") * F.col("ob") <= DIRECT), sets, percent)))
+    # only classes that are linked have another label than their own
+    named = components(links)
+    out = d.select("doc_id", "x", "n", "node").join(F.broadcast(named) if few(named) else named, "node", "left")
+    return out.select("doc_id", "x", "n", "node", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     rows = table(grouped(docs, k, percent))
-    least = rows.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = table(rows.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    out = rows.join(F.broadcast(least) if few(least) else least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -299,8 +315,8 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     hash lowest stays; rows without words all stay."""
     rows = table(grouped(docs, k, percent).filter("n > 0").select("doc_id", "x", "label", F.struct(F.col("doc_id").isNull(), "doc_id", "x").alias("o")))
     each = table(rows.groupBy("doc_id", "x", "label", "o").agg(F.count(F.lit(1)).alias("c")))
-    first = each.groupBy("label").agg(F.min("o").alias("first"))
-    told = table(each.join(first, "label").select(F.col("doc_id").alias("_id"), F.col("x").alias("_x"), (F.col("o") != F.col("first")).alias("gone"), "c").filter("gone or c > 1"))
+    first = table(each.groupBy("label").agg(F.min("o").alias("first")))
+    told = table(each.join(F.broadcast(first) if few(first) else first, "label").select(F.col("doc_id").alias("_id"), F.col("x").alias("_x"), (F.col("o") != F.col("first")).alias("gone"), "c").filter("gone or c > 1"))
     names = set(docs.columns)
     if names & {"_id", "_x"}:
         told = told.toDF(*(c if c not in ("_id", "_x") else f"{c}{max(map(len, names)) * '_'}" for c in told.columns))

@@ -99,8 +99,9 @@ def test_alike_but_not_near(spark, monkeypatch):
     rows = list(enumerate(texts))
     want = sorted(_components(rows, 3, 85))
     assert 5 < len({c for *_, c in want}) < 55
-    for block in (minhash.BLOCK, 700):
+    for block, direct in ((minhash.BLOCK, minhash.DIRECT), (700, 10**6), (700, 0)):
         monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "DIRECT", direct)
         got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
