@@ -38,24 +38,34 @@ _BARE = "translate(text, '!?;:«»\"“”', '')"
 
 @query(f"""
 select doc_id, case when doc_id % 2 = 0 then 0 else len(regexp_extract_all(x, ' :(\\s|$)')) - len(regexp_extract_all(x, '[0-9] :(\\s|$)')) end::int nbsp_missing,
-  0 guillemet_space, len(regexp_extract_all(text, '"[^"\\n]{{1,80}}"'))::int en_quotes
+  case when doc_id % 3 = 0 then 3 * len(string_split(text, chr(10))) else 0 end::int guillemet_space, len(regexp_extract_all(text, '"[^"\\n]{{1,80}}"'))::int en_quotes
 from (select doc_id, text, replace({_BARE}, '.', ' :') x from documents)""")
 def typography_counts(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     bare = F.expr(_BARE)
     x = F.when(F.col("doc_id") % 2 == 0, F.replace(bare, F.lit("."), F.lit(f"{N}:"))).otherwise(F.replace(bare, F.lit("."), F.lit(" :")))
+    # three of the four guillemets added to each line are wrong
+    x = F.when(F.col("doc_id") % 3 == 0, F.concat(F.replace(x, F.lit("\n"), F.lit(f" «a{N}» « b »\n")), F.lit(f" «a{N}» « b »"))).otherwise(x)
     t = X.typography(x)
     return d.select("doc_id", t["nbsp_missing"].alias("nbsp_missing"), t["guillemet_space"].alias("guillemet_space"), X.typography(F.col("text"))["en_quotes"].alias("en_quotes"))
 
 
-@query("""
-select key, sum(n)::bigint total from (
-  select 'librairie=library' as key, len(regexp_extract_all(x, '\\blibrairies?\\b')) n from (select replace(text, ' the ', ' la librairie ') x from documents)
-  union all select 'digital=digital', len(regexp_extract_all(x, '\\bdigital\\b')) from (select replace(replace(text, ' the ', ' la librairie '), ' of ', ' digital ') x from documents))
-where n > 0 group by 1""")
+#: One phrase for each calque, in the order of their rules.
+_PHRASES = (
+    "la librairie", "il supporte", "vous éditez", "on sauve", "cliquez le", "appuyez la", "ce dialogue", "customiser", "initier", "consistante", "processer", "digitaux", "opportunités", "adresser un problème",
+)
+
+
+@query(f"""
+with v as (select unnest([{", ".join(f"'{n}'" for n, *_ in X.CALQUES)}]) as key, unnest(range({len(X.CALQUES)})) r),
+d as (select doc_id % {len(X.CALQUES)} r, doc_id % 3 + 1 n from documents)
+select key, sum(n)::bigint total from d join v using (r) group by 1""")
 def calque_totals(spark, sf_dir):
-    x = F.replace(F.replace("text", F.lit(" the "), F.lit(" la librairie ")), F.lit(" of "), F.lit(" digital "))
-    return summaries.map_totals(_t(spark, sf_dir, "documents").select(X.calques(x).alias("c")), "c").withColumn("total", F.col("total").cast("long"))
+    """Each document's text with the phrase of one calque, once to three times."""
+    d = _t(spark, sf_dir, "documents")
+    phrase = F.concat(F.lit(" "), F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % len(_PHRASES) + 1).cast("int")), F.lit("."))
+    x = F.concat("text", F.repeat(phrase, (F.col("doc_id") % 3 + 1).cast("int")))
+    return summaries.map_totals(d.select(X.calques(x).alias("c")), "c")
 
 
 def _names(words: list[str]) -> str:
@@ -76,12 +86,12 @@ def normalised_texts(spark, sf_dir):
 
 
 @query("""
-select conv_id, turn, 'x' clean, '<topic>' || turn || '</topic>' body from conversations where role = 'assistant'""")
+with c as (select conv_id, turn, translate(text, '<>`', '') t from conversations where role = 'assistant')
+select conv_id, turn, trim(t, ' ' || chr(9) || chr(10) || chr(13)) clean, '<topic>' || t || '</topic>' body from c""")
 def cleaned_answers(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    doc = F.concat(F.lit("<topic>"), F.col("turn").cast("string"), F.lit("</topic>"))
-    wrapped = F.concat(F.lit("<think>"), "text", F.lit("</think>\n```xml\nx\n```"))
-    framed = F.concat(F.lit("<THINK>a</THINK>Sure:\n```xml\n"), doc, F.lit("\n```"))
+    c = _t(spark, sf_dir, "conversations").filter("role = 'assistant'").withColumn("t", F.translate("text", "<>`", ""))
+    wrapped = F.concat(F.lit("<think>"), "text", F.lit("</think>\n```xml\n"), "t", F.lit("\n```"))
+    framed = F.concat(F.lit("<THINK>"), "text", F.lit("</THINK>Sure:\n```xml\n<topic>"), "t", F.lit("</topic>\n```"))
     return c.select("conv_id", "turn", X.clean_output(wrapped).alias("clean"), X.extract_xml(framed).alias("body"))
 
 
@@ -91,124 +101,217 @@ def rounded_values(spark, sf_dir):
     return e.select("event_id", numbers.py_round(F.col("value"), 2).alias("rounded"), numbers.clip(F.col("value") / 100).alias("clipped"))
 
 
-# -- checks, scores and repairs over generated pairs ---------------------------------------------
-# Rows follow from doc_id alone: doc_id % 6 says what is wrong with a translation.
+# -- checks, scores and repairs over pairs made of whole documents ---------------------------------
+# Every line of a document is a paragraph that ends in a colon; a translation has other function
+# words, and one defect that doc_id % 10 names. What follows depends on the text: how many lines
+# there are, how many end in a digit, which function words they hold, how long they are.
+
+_MARKUP = '<>&!?;:.«»"“”'
+_WORDS = (("the", "le"), ("and", "et"), ("of", "de"), ("is", "est"), ("to", "pour"), ("that", "que"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
-    doc = lambda a, body: F.concat(F.lit('<?xml version="1.0"?>\n<topic id="'), F.lit(a), i.cast("string"), F.lit('"><title>The page</title><body><p>'), body, F.lit("</p></body></topic>"))
-    en = F.concat(F.lit("You can use this page with <codeph>a:b</codeph> and the file: "), i.cast("string"), F.lit("."))
-    fr = lambda gap, code: F.concat(F.lit(f"Vous pouvez utiliser la page avec <codeph>{code}</codeph> et le fichier{gap}: "), i.cast("string"), F.lit("."))
-    good = doc("t", fr(N, "a:b"))
-    kind = i % 6
-    hyp = F.when(kind == 1, doc("t", fr(" ", "a:b"))).when(kind == 2, doc("t", fr(N, "a:c"))).when(kind == 3, doc("u", fr(N, "a:b")))
-    hyp = hyp.when(kind == 4, F.expr("left(g, length(g) - 9)")).when(kind == 5, doc("t", en)).otherwise(good)
-    return _t(spark, sf_dir, "documents").select("doc_id", good.alias("g")).select("doc_id", i.cast("string").alias("id"), doc("t", en).alias("src"), hyp.alias("hyp"), F.col("g").alias("ref"))
+    k = F.col("k")
+    bare = F.transform(F.split(F.translate(F.coalesce("text", F.lit("")), _MARKUP, ""), "\n"), X.norm)
+
+    def french(x):
+        x = F.concat(F.lit(" "), x, F.lit(" "))
+        for en, fr in _WORDS:
+            x = F.replace(x, F.lit(f" {en} "), F.lit(f" {fr} "))
+        return F.trim(x)
+
+    def doc(title, intro, lines, gap, code="a:b", ident="t", head='<?xml version="1.0"?>'):
+        paragraphs = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), x, F.lit(f"{gap}:</p>"))), "")
+        return F.concat(F.lit(f'{head}\n<topic id="{ident}'), F.col("id"), F.lit('"><title>'), title, F.lit("</title><body><p>"), intro, F.lit("</p>"), paragraphs, F.lit(f"<p><codeph>{code}</codeph></p></body></topic>"))
+
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % 10).alias("k"), F.filter(bare, lambda x: x != "").alias("en"))
+    d = d.withColumn("fr", F.transform("en", french)).withColumn("short", F.when(F.size("fr") > 0, F.slice("fr", 1, F.size("fr") - 1)).otherwise(F.col("fr")))
+    lit = F.lit
+    source = doc(lit("The page"), F.when(k == 7, '"W3C"').otherwise("Intro"), F.col("en"), "")
+    page = lit("La page")
+    good = doc(page, lit("Intro"), F.col("fr"), N)
+    hyp = (
+        F.when(k == 1, doc(page, lit("Intro"), F.col("fr"), " "))
+        .when(k == 2, doc(page, lit("Intro"), F.col("fr"), N, code="a:c"))
+        .when(k == 3, doc(page, lit("Intro"), F.col("short"), N, ident="u"))
+        .when(k == 4, F.expr("left(good, length(good) - 9)"))
+        .when(k == 5, F.col("src"))
+        .when(k == 6, doc(page, lit("Intro"), F.col("short"), N))
+        .when(k == 7, doc(page, F.when(F.col("doc_id") % 20 == 7, '"W3C"').otherwise("« W3C »"), F.col("fr"), N))
+        .when(k == 8, doc(lit("Le Beau Titre XML"), lit("la librairie et supporter"), F.col("fr"), N))
+        .when(k == 9, doc(page, lit("Intro"), F.col("fr"), N, head='<?xml version="1.0" encoding="UTF-8"?>'))
+        .otherwise(F.col("good"))
+    )
+    d = d.withColumns({"src": source, "good": good})
+    return d.select("doc_id", "source", "id", "src", hyp.alias("hyp"), F.when(k.isin(0, 1, 2, 9), F.col("good")).alias("ref"))
 
 
-@query("""
-select doc_id, doc_id % 6 <> 4 xml_ok, doc_id % 6 not in (3, 4) skeleton_ok, case when doc_id % 6 = 2 then 1 else 0 end protected_changed,
-  case when doc_id % 6 in (1, 5) then 1 else 0 end n_typo, 0 n_calque, 0 titlecase, doc_id % 6 = 5 untranslated,
-  case when doc_id % 6 in (3, 4) then -1.0 when doc_id % 6 = 5 then -0.5 end::double gated_reward from documents""")
+def _replaced(x: str) -> str:
+    x = f"' ' || {x} || ' '"
+    for en, fr in _WORDS:
+        x = f"replace({x}, ' {en} ', ' {fr} ')"
+    return f"trim({x})"
+
+
+_EN, _BOTH = _names(X.EN_FUNCTION_WORDS), _names(X.EN_FUNCTION_WORDS + X.FR_FUNCTION_WORDS)
+_RATIO = "case when len(list_filter({w}, lambda x: x in ({both}))) < 3 then 0.0 else len(list_filter({w}, lambda x: x in ({en})))::double / len(list_filter({w}, lambda x: x in ({both}))) end"
+_TOKENS = "list_transform(regexp_extract_all({x}, '\\p{{L}}[\\p{{L}}\\p{{N}}_''’\\-]*'), lambda w: lower(w))"
+
+#: p: a row a document. n lines, m of them in the translation, d that end in a digit, src_en and hyp_en the shares of English words.
+_P = f"""
+l0 as (select doc_id, source, doc_id % 10 k, list_filter(list_transform(string_split(translate(coalesce(text, ''), '{_MARKUP}', ''), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') en from documents),
+l1 as (select *, list_transform(en, lambda x: {_replaced("x")}) fr, len(en) n from l0),
+l2 as (select *, case when k = 5 then en when k in (3, 6) and n > 0 then fr[1:n - 1] else fr end h, case k when 5 then 'The page' when 8 then 'Le Beau Titre XML' else 'La page' end title,
+  case when k = 7 and doc_id % 20 <> 7 then '« W3C »' when k = 7 then '"W3C"' when k = 8 then 'la librairie et supporter' else 'Intro' end intro from l1),
+l3 as (select *, len(h) m, len(list_filter(h, lambda x: regexp_matches(x, '[0-9]$'))) d, {_TOKENS.format(x="'The page ' || array_to_string(en, ' ')")} sw, {_TOKENS.format(x="title || ' ' || intro || ' ' || array_to_string(h, ' ')")} hw,
+  11 + length(case when k = 7 then '"W3C"' else 'Intro' end) + coalesce(list_sum(list_transform(en, lambda x: length(x) + 2)), 0) src_len,
+  length(title) + 1 + length(intro) + 2 + coalesce(list_sum(list_transform(h, lambda x: length(x) + case when k = 5 then 2 else 3 end)), 0) hyp_len from l2),
+l4 as (select *, {_RATIO.format(w="sw", en=_EN, both=_BOTH)} src_en, {_RATIO.format(w="hw", en=_EN, both=_BOTH)} hyp_en, n + 6 e, (k in (3, 6) and n > 0)::int lost from l3),
+p as (select * exclude (src_len, hyp_len), k <> 4 xml_ok, k not in (3, 4) and lost = 0 skeleton_ok, (k = 2)::int protected_changed,
+  case when k in (1, 5) then m - d when k = 7 then case when doc_id % 20 = 7 then 1 else 2 end else 0 end n_typo, case k when 8 then 2 else 0 end n_calque, case k when 8 then 2 else 0 end titlecase,
+  k <> 4 and src_en > 0.5 and round(hyp_en, 3) > 0.35 untranslated, case when k = 4 then 0 else round(hyp_len::double / src_len, 3) end len_ratio, case when k in (0, 1, 2, 9) then 100.0::double end chrf from l4),
+r as (select *, case when not (xml_ok and skeleton_ok and k <> 9) then -1.0 when untranslated then -0.5 else greatest(-1, least(1, coalesce(chrf, 0) / 100 - 0.25 * protected_changed
+  - 0.08 * least(n_typo, 4) - 0.15 * n_calque - 0.1 * titlecase - case when len_ratio < 0.75 or len_ratio > 1.8 then 0.2 else 0 end)) end::double reward from p)"""
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.reward(reports.check(_pairs(spark, sf_dir)))
+
+
+@query(f"with {_P} select doc_id, xml_ok, skeleton_ok, k <> 9 header_ok, protected_changed, n_typo::int n_typo, n_calque, titlecase, (k <> 4)::int titles, untranslated, len_ratio, chrf, round(reward, 9) reward from r")
 def check_reports(spark, sf_dir):
-    r = reports.reward(reports.check(_pairs(spark, sf_dir)))
-    gated = F.when(F.col("reward") < 0, F.col("reward"))
-    return r.select("doc_id", "xml_ok", "skeleton_ok", "protected_changed", "n_typo", "n_calque", "titlecase", "untranslated", gated.alias("gated_reward"))
+    r = _checked(spark, sf_dir)
+    return r.select("doc_id", "xml_ok", "skeleton_ok", "header_ok", "protected_changed", "n_typo", "n_calque", "titlecase", "titles", "untranslated", "len_ratio", "chrf", F.round("reward", 9).alias("reward"))
 
 
-@query("""
-select count(*) n, count(*) filter (doc_id % 6 <> 4) xml_ok, count(*) filter (doc_id % 6 not in (3, 4)) skeleton_ok, count(*) filter (doc_id % 6 in (0, 1, 5)) structure_ok,
-  count(*) filter (doc_id % 6 = 5) untranslated, count(*) filter (doc_id % 6 = 2) protected_changed, count(*) filter (doc_id % 6 in (1, 5)) n_typo,
-  count(*) filter (doc_id % 6 = 0) clean_topics from documents""")
+@query(f"""
+with {_P}, s as (select *, xml_ok and skeleton_ok and k <> 9 and protected_changed = 0 structure_ok from r)
+select count(*) n, count(*) filter (xml_ok) xml_ok, count(*) filter (skeleton_ok) skeleton_ok, count(*) filter (k <> 9) header_ok, count(*) filter (structure_ok) structure_ok,
+  count(*) filter (untranslated) untranslated, sum(protected_changed)::bigint protected_changed, count(*) filter (k <> 4) protected_total, sum(n_typo)::bigint n_typo, sum(n_calque)::bigint n_calque, sum(titlecase)::bigint titlecase,
+  count(*) filter (k <> 4) titles, count(*) filter (structure_ok and n_typo = 0 and n_calque = 0 and titlecase = 0 and not untranslated) clean_topics,
+  round(avg(reward), 4) mean_reward, round(avg(chrf), 2) mean_chrf, round(avg(len_ratio), 4) mean_len_ratio from s""")
 def report_summary(spark, sf_dir):
-    s = summaries.report_summary(reports.reward(reports.check(_pairs(spark, sf_dir))))
-    return s.select("n", "xml_ok", "skeleton_ok", "structure_ok", "untranslated", F.col("protected_changed"), "n_typo", "clean_topics")
+    s = summaries.report_summary(_checked(spark, sf_dir))
+    return s.select("n", "xml_ok", "skeleton_ok", "header_ok", "structure_ok", "untranslated", "protected_changed", "protected_total", "n_typo", "n_calque", "titlecase", "titles", "clean_topics", "mean_reward", "mean_chrf", "mean_len_ratio")
 
 
-@query("""
-select doc_id, doc_id % 6 <> 4 well_formed, case doc_id % 6 when 3 then 'attr_changed' when 4 then 'not_well_formed' end primary_reason, doc_id % 6 in (3, 4) format_broken,
-  case doc_id % 6 when 3 then 0.7 when 4 then -1.0 else 1.0 end::double format_reward from documents""")
+_F = f"""{_P}, f as (select doc_id, k, lost, case when k = 4 then 0 else round((e - (k = 3)::int - lost)::double / e, 4) end::double lcs, case when k in (3, 4) then 0 else 1 end::double recall,
+  case when k = 4 then ['not_well_formed'] else list_concat(case when k = 3 then ['attr_changed'] else [] end, case when lost = 1 then ['child_mismatch'] else [] end) end reasons from p),
+g as (select *, case when k = 4 then 'not_well_formed' when lost = 1 then 'child_mismatch' when k = 3 then 'attr_changed' end primary_reason, len(reasons) > 0 broken,
+  case when k = 4 then -1.0 when len(reasons) = 0 then 1.0 else printf('%.4f', 0.5::double * lcs + 0.2::double * recall + 0.15::double + 0.15::double)::double end score from f)"""
+
+
+@query(f"with {_F} select doc_id, k <> 4 well_formed, reasons, primary_reason, broken format_broken, lcs, recall attr_recall, score format_reward from g")
 def format_scores(spark, sf_dir):
-    return formats.score_format(_pairs(spark, sf_dir)).select("doc_id", "well_formed", "primary_reason", "format_broken", "format_reward")
+    return formats.score_format(_pairs(spark, sf_dir)).select("doc_id", "well_formed", "reasons", "primary_reason", "format_broken", "lcs", "attr_recall", "format_reward")
 
 
-@query("""
-select 'attr_changed' reason, count(*) filter (doc_id % 6 = 3) n from documents union all select 'not_well_formed', count(*) filter (doc_id % 6 = 4) from documents""")
+@query(f"""
+with {_F} select count(*) n, count(*) filter (k <> 4) well_formed, count(*) filter (not broken) skeleton_match, count(*) filter (k <> 4) dtd_valid, count(*) filter (broken) format_broken, 0::bigint truncated,
+  round(avg(score), 9) mean_reward, round(avg(lcs), 9) mean_lcs, round(avg(recall), 9) mean_attr_recall from g""")
+def format_totals(spark, sf_dir):
+    s = summaries.format_summary(formats.score_format(_pairs(spark, sf_dir)))
+    return s.withColumns({c: F.round(c, 9) for c in ("mean_reward", "mean_lcs", "mean_attr_recall")})
+
+
+@query(f"with {_F} select unnest(reasons) reason, count(*) n from g group by 1")
 def reason_histogram(spark, sf_dir):
     return summaries.reason_histogram(formats.score_format(_pairs(spark, sf_dir)))
 
 
-@query("""
-select reason, n from (select 'attr_changed' reason, count(*) filter (doc_id % 6 = 3) n from documents union all select 'not_well_formed', count(*) filter (doc_id % 6 = 4) from documents)""")
+@query(f"with {_F} select primary_reason reason, count(*) n from g where broken group by 1")
 def primary_histogram(spark, sf_dir):
     return summaries.primary_histogram(formats.score_format(_pairs(spark, sf_dir)))
 
 
-@query("""
-select doc_id, case when doc_id % 6 in (3, 4) then 1 else 0 end as schema, case when doc_id % 6 in (1, 5) then 1 when doc_id % 6 = 4 then 1 else 0 end punct from documents""")
+_V = f"""{_P}, v as (select doc_id, source, k, n, case when k = 4 then 1 else (k = 3)::int + lost end s,
+  case when k in (1, 5) then n when k = 4 then 1 when k = 7 and doc_id % 20 = 7 then 2 else 0 end p from p)"""
+
+
+@query(f"with {_V} select doc_id, s::int as schema, p::int punct, (s + p)::int violations, -(s + p)::double violation_reward from v")
 def violation_counts(spark, sf_dir):
-    return formats.count_violations(_pairs(spark, sf_dir)).select("doc_id", "schema", "punct")
+    return formats.count_violations(_pairs(spark, sf_dir)).select("doc_id", "schema", "punct", "violations", "violation_reward")
 
 
-@query("""
-with v as (select case when doc_id % 6 in (3, 4) then 1 else 0 end s, case when doc_id % 6 in (1, 4, 5) then 1 else 0 end p from documents)
-select count(*) n, count(*) filter (s > 0 or p > 0) violated, count(*) filter (s > 0 and p > 0) "both", count(*) filter (s = 0 and p > 0) punct_only,
-  count(*) filter (s > 0 and p = 0) schema_only, sum(s + p)::bigint violations, sum(s)::bigint as schema, sum(p)::bigint punct, avg(-(s + p))::double mean_reward from v""")
+@query(f"""
+with {_V} select count(*) n, count(*) filter (s > 0 or p > 0) violated, count(*) filter (s > 0 and p > 0) "both", count(*) filter (s = 0 and p > 0) punct_only,
+  count(*) filter (s > 0 and p = 0) schema_only, sum(s + p)::bigint violations, sum(s)::bigint as schema, sum(p)::bigint punct, round(avg(-(s + p))::double, 9) mean_reward from v""")
 def violation_summary(spark, sf_dir):
-    return summaries.violation_summary(formats.count_violations(_pairs(spark, sf_dir)))
+    return summaries.violation_summary(formats.count_violations(_pairs(spark, sf_dir))).withColumn("mean_reward", F.round("mean_reward", 9))
 
 
-@query("""
-select doc_id, doc_id % 6 in (0, 1, 5) gate_passed, case doc_id % 6 when 0 then 1.0 when 1 then 0.0 when 5 then 0.0 when 2 then -0.175 when 3 then -0.34 else -1.0 end::double oracle_reward from documents""")
+@query(f"""
+with {_P} select doc_id, case when k = 7 and doc_id % 20 <> 7 then 1 else 0 end guillemet_open, case when k = 7 and doc_id % 20 = 7 then 2 else 0 end ascii_double_quote,
+  case when k in (1, 5) then 0 else m end::int nbsp_ok_marks, case when k in (1, 5) then m + 1 else 1 end::int bad_high_punct from p where k <> 4""")
+def punct_totals(spark, sf_dir):
+    """Documents that do not parse have no statistics."""
+    return formats.punct_stats(_pairs(spark, sf_dir)).filter("punct_stats IS NOT NULL").select("doc_id", "punct_stats.guillemet_open", "punct_stats.ascii_double_quote", "punct_stats.nbsp_ok_marks", "punct_stats.bad_high_punct")
+
+
+_O = f"""{_P}, o as (select doc_id, source, k, n, case when k = 4 then -1.0 when k = 2 then -0.175 when k = 3 or lost = 1 then -0.34 when k in (1, 5) then case when n > 0 then 0.0 else 1.0 end
+  when k = 7 then round(greatest(0, 1 - case when doc_id % 20 = 7 then 4 else 2 end::double / (n + 2)), 4) else 1.0 end::double score from p)"""
+
+
+@query(f"with {_O} select doc_id, score >= 0 gate_passed, score oracle_reward from o")
 def typography_oracle(spark, sf_dir):
     return formats.oracle(_pairs(spark, sf_dir)).select("doc_id", "gate_passed", "oracle_reward")
 
 
-@query("""
-select kind, count(*) n from (select unnest(case doc_id % 6 when 4 then [] else ['linguistic', 'protected'] end) kind from documents) group by 1""")
+@query(f"with {_O} select doc_id, score reward from o")
+def callback_rewards(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("doc_id", xml.gated_scalar(F.col("src"), F.col("hyp")).alias("reward"))
+
+
+@query(f"""
+with {_P} select unnest(['linguistic', 'protected', 'guillemet_open', 'guillemet_close']) kind, unnest([sum(m), count(*), count(*) filter (k = 7 and doc_id % 20 <> 7), count(*) filter (k = 7 and doc_id % 20 <> 7)])::bigint n from p where k <> 4""")
 def mark_sites(spark, sf_dir):
     return formats.sites(_pairs(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select doc_id, doc_id % 6 in (1, 5) changed, doc_id % 6 <> 4 spaced from documents")
+@query(f"""
+with {_P} select doc_id, (k in (1, 5) and n > 0) or (k = 7 and doc_id % 20 <> 7) changed, (m + case when k = 7 and doc_id % 20 <> 7 then 2 else 0 end)::int nbsp from p""")
 def aligned_repairs(spark, sf_dir):
     p = _pairs(spark, sf_dir).select("doc_id", "hyp", xml.fix_aligned(F.col("hyp")).alias("fixed"))
-    return p.select("doc_id", (F.col("fixed") != F.col("hyp")).alias("changed"), F.col("fixed").contains(f"{N}: ").alias("spaced")).withColumn("spaced", F.col("spaced") & (F.col("doc_id") % 6 != 4))
+    return p.select("doc_id", (F.col("fixed") != F.col("hyp")).alias("changed"), F.regexp_count("fixed", F.lit(N)).alias("nbsp"))
 
 
-@query("select doc_id, doc_id % 6 <> 4 spaced from documents")
+@query(f"""
+with {_P} select doc_id, (case when k in (1, 5) then m - d else m end + case when k = 7 and doc_id % 20 <> 7 then 2 else 0 end)::int nbsp, k <> 4 whole from p""")
 def simple_repairs(spark, sf_dir):
     p = _pairs(spark, sf_dir).select("doc_id", xml.fix_simple(F.col("hyp")).alias("f"))
-    return p.select("doc_id", (F.col("f").contains(f"{N}: ") & F.col("f").endswith("</topic>")).alias("spaced"))
+    return p.select("doc_id", F.regexp_count("f", F.lit(N)).alias("nbsp"), F.col("f").endswith("</topic>").alias("whole"))
 
 
-@query("""
-select count(*) n, count(*) filter (doc_id % 6 in (1, 5)) improved, 0::bigint regressed, count(*) filter (doc_id % 6 not in (1, 5)) unchanged from documents""")
+@query(f"""
+with {_O}, c as (select score b, case when k in (1, 5) or (k = 7 and doc_id % 20 <> 7) then 1.0 else score end a from o)
+select count(*) n, count(*) filter (a > b) improved, count(*) filter (a < b) regressed, count(*) filter (a = b) unchanged, round(avg(b), 9) mean_before, round(avg(a), 9) mean_after from c""")
 def repair_gain(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
-    before = formats.oracle(p).select("doc_id", F.col("oracle_reward").alias("before"))
-    after = formats.oracle(p.withColumn("hyp", xml.fix_aligned(F.col("hyp")))).select("doc_id", F.col("oracle_reward").alias("after"))
-    return summaries.changed(before.join(after, "doc_id")).select("n", "improved", "regressed", "unchanged")
+    p = _pairs(spark, sf_dir).select("src", "hyp", xml.fix_aligned(F.col("hyp")).alias("fixed"))
+    both = p.select(xml.gated_scalar(F.col("src"), F.col("hyp")).alias("before"), xml.gated_scalar(F.col("src"), F.col("fixed")).alias("after"))
+    return summaries.changed(both).withColumns({c: F.round(c, 9) for c in ("mean_before", "mean_after")})
 
 
-@query("""
-select doc_id, case doc_id % 6 when 1 then 1 when 2 then 1 when 3 then 1 when 4 then 1 when 5 then 2 else 0 end n_problems from documents""")
+_W = f"""{_P}, w as (select doc_id, case when k = 4 then 1 else (k = 9)::int + (not skeleton_ok)::int + protected_changed + (n_typo > 0)::int + (n_calque > 0)::int + (titlecase > 0)::int + untranslated::int
+  + (len_ratio < 0.8 or len_ratio > 1.9)::int end::int c from p)"""
+
+
+@query(f"with {_W} select doc_id, c n_problems from w")
 def reference_problems(spark, sf_dir):
     return reports.problems(reports.check(_pairs(spark, sf_dir))).select("doc_id", F.size("problems").alias("n_problems"))
 
 
-@query("""
-select case when doc_id % 3 = 0 then 'missing' else case when doc_id % 6 = 1 then 'problems' when doc_id % 6 = 2 then 'problems' when doc_id % 6 in (4, 5) then 'problems' else 'ok' end end status, count(*) n
-from documents group by 1""")
+@query(f"""
+with {_W} select case when doc_id not in (select doc_id from labels) then 'missing' when c > 0 then 'problems' else 'ok' end status, count(*) n from w group by 1""")
 def verified_references(spark, sf_dir):
+    """Documents without a label have no reference."""
     p = _pairs(spark, sf_dir)
-    refs = p.filter("doc_id % 3 <> 0").select("id", F.col("hyp").alias("fr"))
+    refs = p.join(_t(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("id", F.col("hyp").alias("fr"))
     return reports.verify_references(refs, p.select("id", "src")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""
-select tag, depth, count(*) n from documents, (values ('topic', 0), ('title', 1), ('body', 1), ('p', 2), ('codeph', 3)) v(tag, depth) group by all""")
+@query(f"""
+with {_P}, c as (select sum(n)::bigint + 2 * count(*) p, count(*) one from p)
+select unnest(['topic', 'title', 'body', 'p', 'codeph']) tag, unnest([0, 1, 1, 2, 3])::int depth, unnest([one, one, one, p, one])::bigint n from c""")
 def xml_nodes(spark, sf_dir):
     n = _pairs(spark, sf_dir).select(F.inline(xml.nodes(F.col("src"))))
     return n.groupBy("tag", "depth").agg(F.count(F.lit(1)).alias("n"))
@@ -231,12 +334,17 @@ def chrf_scores(spark, sf_dir):
     return b.select("item_id", F.round(score, 6).alias("chrf"))
 
 
-@query()
+@query("""
+with f(category, per_noun, passing) as (values ('gap_fine', 16, 16), ('gap_wrong', 8, 8), ('gap_of_noun', 1, 1), ('after_inline', 15, 15), ('run_of_marks', 8, 8), ('mark_left_out', 1, 1), ('prose_left_out', 1, 1),
+  ('literal_kept', 7, 7), ('literal_changed', 2, 0), ('wrapper_added', 1, 0), ('mark_in_code', 1, 0), ('more_than_xml', 4, 0), ('no_xml', 2, 0), ('siblings', 4, 1), ('narrow_space', 1, 1), ('spaced_ratio', 1, 1),
+  ('more_spaces', 1, 1), ('other_forms', 2, 2), ('quotes', 4, 4))
+select category, 10 * per_noun::bigint n, 10 * passing::bigint gate_passed, 0::bigint unmet from f""")
 def oracle_fixtures(spark, sf_dir):
-    """Every fixture with its reward and whether the expectations hold."""
-    f = formats.oracle(generators.fixtures(spark).withColumnRenamed("source", "src"))
-    ok = (F.col("gate_passed") == F.col("expect_gate")) & F.coalesce(F.col("oracle_reward") == F.col("expect_reward"), F.lit(True))
-    return f.select("id", "category", "gate_passed", "oracle_reward", ok.alias("as_expected"))
+    """Fixtures by category: how many there are, pass the gates, and do not meet an expectation."""
+    scored = formats.oracle(generators.fixtures(spark).withColumnRenamed("source", "src"))
+    wrong = generators.unmet_expectations(scored).select("id", F.lit(1).alias("wrong"))
+    rows = scored.select("id", "category", "gate_passed").join(wrong, "id", "left")
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if("gate_passed").alias("gate_passed"), F.count("wrong").alias("unmet"))
 
 
 @query("""
@@ -341,7 +449,7 @@ def held_families(spark, sf_dir):
     return corpus.hold_out_families(d, "source", F.col("doc_id") % 97 == 0).select("doc_id", "source", "held")
 
 
-@query("select source as split, count(*) n, sum(n_chars)::bigint bytes, sha256(string_agg(doc_id::varchar, chr(10) order by doc_id::varchar)) ids_sha256 from documents group by 1")
+@query("select source as split, count(*) n, sum(n_chars)::bigint bytes, sum(('0x' || substr(sha256(doc_id::varchar), 1, 15))::bigint)::varchar ids_digest from documents group by 1")
 def split_manifest(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select(F.col("source").alias("split"), F.col("doc_id").cast("string").alias("id"), F.col("n_chars").alias("n_bytes"))
     return corpus.manifest(d)
@@ -439,10 +547,11 @@ def judge_means(spark, sf_dir):
     return summaries.judge_means(_t(spark, sf_dir, "labels").select(F.expr(_JUDGED).alias("score")), ("score",))
 
 
-@query("select doc_id, '3' faithfulness, 'ok' note from documents")
+@query("select doc_id, (doc_id % 5 + 1)::varchar faithfulness, case when doc_id % 3 = 0 then 'n/a' else (doc_id % 4)::varchar end fluency, lang || ' ' || source note from documents")
 def parsed_judgements(spark, sf_dir):
-    answer = F.concat(F.lit('Well: {"faithfulness": 3, "fluency": "n/a", "note": "ok"} as of '), F.col("doc_id").cast("string"))
-    return _t(spark, sf_dir, "documents").select("doc_id", summaries.parse_judgement(answer).alias("j")).select("doc_id", "j.faithfulness", "j.note")
+    told = F.to_json(F.struct((F.col("doc_id") % 5 + 1).alias("faithfulness"), F.when(F.col("doc_id") % 3 == 0, "n/a").otherwise((F.col("doc_id") % 4).cast("string")).alias("fluency"), F.concat_ws(" ", "lang", "source").alias("note")))
+    answer = F.concat(F.translate("text", "{}", ""), F.lit(" Well: "), told, F.lit(" as of "), F.col("doc_id").cast("string"))
+    return _t(spark, sf_dir, "documents").select("doc_id", summaries.parse_judgement(answer).alias("j")).select("doc_id", "j.faithfulness", "j.fluency", "j.note")
 
 
 @query("select ((event_id % 100) // 25)::bigint bin, count(*) n, round(avg(value), 6) mean_value from events group by 1")
@@ -549,15 +658,13 @@ def blind_tally(spark, sf_dir):
     return compare.tally(compare.unblind(key.select("pair", w.alias("winner"), F.lit("").alias("reason")), key))
 
 
-@query("""
-select 'f' || (doc_id % 4) file, count(*) n, count(*) filter (doc_id % 8 = 0) n_missing, avg(case when doc_id % 8 = 0 then null when doc_id % 6 in (1, 3, 5) then 1 when doc_id % 6 = 4 then 2 else 0 end) mean_violations
-from documents group by 1""")
+@query(f"""
+with {_V}, o2 as (select o.doc_id, o.score from (with {_O} select doc_id, score from o) o), j as (select v.*, score, v.doc_id not in (select doc_id from labels) gone from v join o2 using (doc_id))
+select source as file, count(*) n, count(*) filter (gone) n_missing, round(avg(s + p) filter (not gone), 9) mean_violations, round(avg(score) filter (not gone), 9) mean_reward, count(*) filter (not gone and score >= 0) n_gate_passed
+from j group by 1""")
 def rescored_files(spark, sf_dir):
+    """Documents without a label have lost their source."""
     p = _pairs(spark, sf_dir)
-    rows = p.select("id", F.concat(F.lit("f"), (F.col("doc_id") % 4).cast("string")).alias("file"), "hyp")
-    return summaries_rescore(rows, p.filter("doc_id % 8 <> 0").select("id", "src"))
-
-
-def summaries_rescore(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    return formats.rescore_summary(formats.rescore(rows, sources)).select("file", "n", "n_missing", "mean_violations")
-
+    sources = p.join(_t(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("id", "src")
+    s = formats.rescore_summary(formats.rescore(p.select("id", F.col("source").alias("file"), "hyp"), sources))
+    return s.select("file", "n", "n_missing", F.round("mean_violations", 9).alias("mean_violations"), F.round("mean_reward", 9).alias("mean_reward"), "n_gate_passed")
