@@ -97,12 +97,12 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         F.xxhash64("c", "j", F.substring("t", F.lit(1), F.col("s")), F.when(F.col("right") > 0, F.substring("t", F.col("n") - F.col("right") + 1, F.col("right"))).otherwise("")).alias("k"),
         F.substring("t", F.col("s") + 1, F.col("n") - F.col("s") - F.col("right")).alias("mid"),
     )
-    cut = table(_multi(cut, "k"))
+    cut = _multi(cut, "k")
 
     # characters: the segment itself (gap 0) and each variant without one character
     gaps = F.sequence(F.lit(0), F.length("mid"))
     less = F.transform(gaps, lambda p: F.struct(p.alias("p"), F.when(p == 0, F.col("mid")).otherwise(F.concat(F.substring("mid", F.lit(1), p - 1), F.substring(F.col("mid"), p + 1, F.length("mid")))).alias("v")))
-    var = cut.select("h", "g", "n", "first", "k", F.inline(less)).select("h", "g", "n", "first", "p", F.xxhash64("k", "v").alias("v"))
+    var = table(cut.select("h", "g", "n", "first", "k", F.inline(less)).select("h", "g", "n", "first", "p", F.xxhash64("k", "v").alias("v")))
     # lines alike in variant, gap and length are a class; its earliest partner is that of all its lines
     alike = var.groupBy("v", "p", "n").agg(F.min("first").alias("sub"), F.max("first").alias("last"))
     alike = table(alike)
