@@ -13,6 +13,11 @@ def clip(x: Column, low: float = -1.0, high: float = 1.0) -> Column:
 _SPLIT = 134217729.0  # 2**27 + 1: cuts a double into halves whose products are exact
 
 
+def let(x: Column, body) -> Column:
+    """``body(x)`` with ``x`` worked out once a row, however often the body has it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def py_round(x: Column, digits: int) -> Column:
     """Round the exact binary value half to even, as Python's round does.
 
@@ -22,16 +27,18 @@ def py_round(x: Column, digits: int) -> Column:
     big = scale * _SPLIT
     high = big - (big - scale)
     low = scale - high
-    p = x * scale
-    wide = x * _SPLIT
-    xh = wide - (wide - x)
-    xl = x - xh
-    error = ((xh * high - p) + xh * low + xl * high) + xl * low
-    base = F.floor(p).cast("double")
-    over = (p - (base + 0.5)) + error
-    even = base % 2 == 0
-    up = (over > 0) | ((over == 0) & ~even)
-    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.when(up, base + 1).otherwise(base) / scale)
+
+    def rounded(v: Column) -> Column:
+        p, wide = v * scale, v * _SPLIT
+        xh = wide - (wide - v)
+        xl = v - xh
+        error = ((xh * high - p) + xh * low + xl * high) + xl * low
+        base = F.floor(p).cast("double")
+        over = (p - (base + 0.5)) + error
+        up = (over > 0) | ((over == 0) & (base % 2 != 0))
+        return F.when(v.isNull() | F.isnan(v), v).otherwise(F.when(up, base + 1).otherwise(base) / scale)
+
+    return let(x.cast("double"), rounded)
 
 
 def lora_parameters(rank: Column, width_in: Column, width_out: Column, layers: Column) -> Column:

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import let
+
 NBSP, NNBSP = "\u00a0", "\u202f"
 WORD = r"(?U)[^\W\d_][\w'’\-]*"
 
@@ -123,7 +125,9 @@ def typography(x: Column) -> Column:
     missing = F.size(F.filter(high_marks(x), _bad_mark))
     guillemets = F.regexp_count(x, F.lit(f"«(?![{NBSP}{NNBSP}])")) + F.regexp_count(x, F.lit(f"(?<![{NBSP}{NNBSP}])»"))
     quotes = F.regexp_count(x, F.lit(r'"[^"\n]{1,80}"|“[^”\n]{1,80}”'))
-    return F.struct(missing.alias("nbsp_missing"), guillemets.alias("guillemet_space"), quotes.alias("en_quotes"), (missing + guillemets + quotes).alias("total"))
+    three = F.struct(missing.alias("m"), guillemets.alias("g"), quotes.alias("q"))
+    named = lambda t: F.struct(t["m"].alias("nbsp_missing"), t["g"].alias("guillemet_space"), t["q"].alias("en_quotes"), (t["m"] + t["g"] + t["q"]).alias("total"))
+    return let(three, named)
 
 
 def calques(x: Column) -> Column:
@@ -138,9 +142,10 @@ def _upper(x: Column) -> Column:
 
 def titlecase(source: Column, hyp: Column) -> Column:
     """Words of a title that are capitalised without need."""
-    known = words(source)
 
-    def count(ws: Column) -> Column:
+    def count(both: Column) -> Column:
+        known, ws = both["known"], both["ws"]
+
         def bad(w: Column, i: Column) -> Column:
             base = F.regexp_extract(w, r"([^'’]*)\z", 1)
             base = F.when(base == "", w).otherwise(base)
@@ -150,7 +155,7 @@ def titlecase(source: Column, hyp: Column) -> Column:
 
         return F.size(F.filter(ws, bad))
 
-    return F.get(F.transform(F.array(words(hyp)), count), F.lit(0))
+    return let(F.struct(words(source).alias("known"), words(hyp).alias("ws")), count)
 
 
 def function_word_ratio(x: Column, these: list[str], others: list[str], least: int = 3) -> Column:
@@ -160,7 +165,7 @@ def function_word_ratio(x: Column, these: list[str], others: list[str], least: i
     def ratio(t: Column) -> Column:
         return F.when(F.size(t) < least, F.lit(0.0)).otherwise(F.size(F.filter(t, lambda w: w.isin(*these))) / F.size(t))
 
-    return F.get(F.transform(F.array(tokens), ratio), F.lit(0))
+    return let(tokens, ratio)
 
 
 def english_ratio(x: Column) -> Column:

@@ -75,6 +75,34 @@ def _facts(xml: str | None) -> dict:
 facts = arrow_function(f"struct<{','.join(p.strip().replace(' ', ':', 1) for p in FACTS.split(', '))}>", _facts, "xml_facts")
 
 
+REPORT = (
+    "struct<src_ok:boolean,hyp_ok:boolean,skeleton_ok:boolean,protected_changed:int,protected_total:int,src_prose:string,hyp_prose:string,ref_prose:string,"
+    "src_lang:string,hyp_lang:string,src_titles:array<string>,hyp_titles:array<string>>"
+)
+
+
+def _report(source: str | None, hyp: str | None, ref: str | None) -> dict:
+    a, b = trees.parse_body(source), trees.parse_body(hyp)
+    out: dict = {"src_ok": a is not None, "hyp_ok": b is not None}
+    if ref is not None:
+        # a reference is often the answer itself
+        c = b if ref == hyp else trees.parse_body(ref)
+        out["ref_prose"] = None if c is None else trees.prose(c, False)
+    if a is None or b is None:
+        return out
+    skeletons = ([(e.tag, sorted(e.attrib.items())) for e in r.iter()] for r in (a, b))
+    x, y = trees.protected_texts(a), trees.protected_texts(b)
+    changed = sum(p != q for p, q in zip(x, y, strict=True)) if len(x) == len(y) else max(len(x), len(y))
+    out |= {"skeleton_ok": next(skeletons) == next(skeletons), "protected_changed": changed, "protected_total": len(x)}
+    for side, r in (("src", a), ("hyp", b)):
+        out |= {f"{side}_prose": trees.prose(r, False), f"{side}_lang": trees.prose(r, True), f"{side}_titles": [trees.prose(e, True) for e in r.iter("title")]}
+    return out
+
+
+#: All that a report needs of source, answer and reference, in one call.
+report_facts = arrow_function(REPORT, _report, "xml_report")
+
+
 def _nodes(xml: str | None) -> list[dict] | None:
     root = trees.parse_body(xml)
     if root is None:
@@ -227,4 +255,4 @@ def register(spark: SparkSession, prefix: str = "xml_") -> list[str]:
     return [prefix + name for name in SQL_FUNCTIONS]
 
 
-__all__ = ["arrow_function", "block_texts", "chrf", "closed", "decode_mapped", "diff", "facts", "fix_aligned", "fix_simple", "flows", "gated_scalar", "nodes", "oracle_facts", "register", "segments", "validator", "visible_text"]
+__all__ = ["arrow_function", "block_texts", "chrf", "closed", "decode_mapped", "diff", "facts", "fix_aligned", "fix_simple", "flows", "gated_scalar", "nodes", "oracle_facts", "register", "report_facts", "segments", "validator", "visible_text"]

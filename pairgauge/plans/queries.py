@@ -169,7 +169,7 @@ l3 as (select *, len(h) m, len(list_filter(h, lambda x: regexp_matches(x, '[0-9]
 l4 as (select *, {_RATIO.format(w="sw", en=_EN, both=_BOTH)} src_en, {_RATIO.format(w="hw", en=_EN, both=_BOTH)} hyp_en, n + 6 e, (k in (3, 6) and n > 0)::int lost from l3),
 p as (select * exclude (src_len, hyp_len), k <> 4 xml_ok, k not in (3, 4) and lost = 0 skeleton_ok, (k = 2)::int protected_changed,
   case when k in (1, 5) then m - d when k = 7 then case when doc_id % 20 = 7 then 1 else 2 end else 0 end n_typo, case k when 8 then 2 else 0 end n_calque, case k when 8 then 2 else 0 end titlecase,
-  k <> 4 and src_en > 0.5 and round(hyp_en, 3) > 0.35 untranslated, case when k = 4 then 0 else round(hyp_len::double / src_len, 3) end len_ratio, case when k in (0, 1, 2, 9) then 100.0::double end chrf from l4),
+  k <> 4 and src_en > 0.5 and printf('%.3f', hyp_en)::double > 0.35 untranslated, case when k = 4 then 0 else printf('%.3f', hyp_len::double / src_len)::double end len_ratio, case when k in (0, 1, 2, 9) then 100.0::double end chrf from l4),
 r as (select *, case when not (xml_ok and skeleton_ok and k <> 9) then -1.0 when untranslated then -0.5 else greatest(-1, least(1, coalesce(chrf, 0) / 100 - 0.25 * protected_changed
   - 0.08 * least(n_typo, 4) - 0.15 * n_calque - 0.1 * titlecase - case when len_ratio < 0.75 or len_ratio > 1.8 then 0.2 else 0 end)) end::double reward from p)"""
 
@@ -505,7 +505,12 @@ def chunks_and_shards(spark, sf_dir):
     return windows.shards(windows.chunks(e, "user_id", "event_id", 8), "user_id", "event_id", 4).select("event_id", "chunk", "shard")
 
 
-@query()
+@query("""
+with recursive o as (select doc_id, source, n_chars, row_number() over (partition by source order by n_chars, doc_id) k from documents),
+f as (select doc_id, source, n_chars, k, 0::bigint batch, 1::bigint n_rows from o where k = 1
+  union all select o.doc_id, o.source, o.n_chars, o.k, case when f.n_rows + 1 > 8 or (f.n_rows + 1) * o.n_chars > 40000 then f.batch + 1 else f.batch end,
+    case when f.n_rows + 1 > 8 or (f.n_rows + 1) * o.n_chars > 40000 then 1 else f.n_rows + 1 end from f join o on o.source = f.source and o.k = f.k + 1)
+select doc_id, source, n_chars, batch from f""")
 def packed_batches(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return windows.pack(d, "source", "doc_id", "n_chars", 8, 40_000)
@@ -520,14 +525,14 @@ def epoch_orders(spark, sf_dir):
 # -- aggregates --------------------------------------------------------------------------------------
 
 
-@query("select l_returnflag, count(*) n, count(*) filter (l_discount > l_tax) improved, count(*) filter (l_discount < l_tax) regressed, count(*) filter (l_discount = l_tax) unchanged from lineitem group by 1")
+@query("select l_returnflag, count(*) n, count(*) filter (l_discount > l_tax) improved, count(*) filter (l_discount < l_tax) regressed, count(*) filter (l_discount = l_tax) unchanged, round(avg(l_tax), 9) mean_before, round(avg(l_discount), 9) mean_after from lineitem group by 1")
 def before_after(spark, sf_dir):
-    return summaries.changed(_t(spark, sf_dir, "lineitem"), "l_tax", "l_discount", ("l_returnflag",)).drop("mean_before", "mean_after")
+    return summaries.changed(_t(spark, sf_dir, "lineitem"), "l_tax", "l_discount", ("l_returnflag",)).withColumns({c: F.round(c, 9) for c in ("mean_before", "mean_after")})
 
 
-@query("select event_type, count(value) n, median(value) median, min(value) min, max(value) max from events group by 1")
+@query("select event_type, count(value) n, median(value) median, min(value) min, max(value) max, round(avg(value), 9) mean from events group by 1")
 def latency_summary(spark, sf_dir):
-    return summaries.latency(_t(spark, sf_dir, "events"), "value", ("event_type",)).drop("mean")
+    return summaries.latency(_t(spark, sf_dir, "events"), "value", ("event_type",)).withColumn("mean", F.round("mean", 9))
 
 
 @query("""
@@ -668,3 +673,228 @@ def rescored_files(spark, sf_dir):
     sources = p.join(_t(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("id", "src")
     s = formats.rescore_summary(formats.rescore(p.select("id", F.col("source").alias("file"), "hyp"), sources))
     return s.select("file", "n", "n_missing", F.round("mean_violations", 9).alias("mean_violations"), F.round("mean_reward", 9).alias("mean_reward"), "n_gate_passed")
+
+
+# -- text of documents, once more: heads, references, names ------------------------------------------
+
+_HEAD = '<?xml version="1.0"?>\n<!DOCTYPE t [<!ENTITY a "b">]>\n'
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as XML texts with a head, elements around each line, and references between lines."""
+    body = F.replace(F.translate("text", "<>&", ""), F.lit("\n"), F.lit("</p>&nbsp;&#160;&#xA0;&#8239;<p>"))
+    return _t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.concat(F.lit(f"{_HEAD}<t><p>"), body, F.lit("</p></t>")).alias("raw"))
+
+
+@query(f"""
+with m as (select doc_id, translate(text, '<>&', '') t from documents), n as (select *, len(string_split(t, chr(10))) - 1 c from m)
+select doc_id, {len(_HEAD)} head, '<t><p>' || left(t, 3) body, length(t) + 31 * c + 14 + {len('<?xml version="1.0"?>') + 2} bare_head, 3 * c::bigint broad, c::bigint narrow, trim(regexp_replace(t, '\\s+', ' ', 'g')) bare
+from n where length(t) >= 3 and strpos(left(t, 3), chr(10)) = 0""")
+def xml_heads(spark, sf_dir):
+    """Heads, bodies, lengths without the document type, no-break references as characters, and texts without
+    tags, for documents whose first line has three characters."""
+    m = _marked(spark, sf_dir).filter(F.regexp_extract("raw", r"<p>([^\n<]{3})", 1) != "")
+    count = lambda x, c: (F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))).cast("long")
+    wide, narrow = X.expand_nbsp(F.col("raw")), X.expand_nbsp(F.col("raw"), narrow=True)
+    return m.select(
+        "doc_id",
+        F.length(X.prolog(F.col("raw"))).alias("head"),
+        F.substring(X.body(F.col("raw")), 1, 9).alias("body"),
+        F.length(X.strip_doctype(F.col("raw"))).cast("long").alias("bare_head"),
+        count(wide, N).alias("broad"),
+        count(narrow, X.NNBSP).alias("narrow"),
+        X.norm(X.strip_tags(narrow)).alias("bare"),
+    )
+
+
+@query("select doc_id, replace(translate(text, '&', ''), chr(10), '<&\"é' || chr(160) || chr(10)) decoded, length(translate(text, '&', '')) + 5 * (len(string_split(text, chr(10))) - 1) places from documents")
+def decoded_references(spark, sf_dir):
+    raw = F.replace(F.translate("text", "&", ""), F.lit("\n"), F.lit("&lt;&amp;&quot;&#233;&nbsp;&#xA;"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", xml.decode_mapped(raw).alias("d"))
+    return d.select("doc_id", F.col("d.text").alias("decoded"), F.size("d.spans").cast("long").alias("places"))
+
+
+@query("""
+select doc_id, case when doc_id % 2 = 0 then 'src1' else lang end family, source split,
+  case doc_id % 3 when 0 then 'Repair the typography of this document.' || chr(10) when 1 then 'Return this document as it is if nothing is wrong.' || chr(10) else '' end || text asked,
+  substr(text, greatest(n_chars // 2 - 12, 0)::int + 1, (n_chars // 2 + 13 - greatest(n_chars // 2 - 12, 0))::int) around from documents""")
+def names_and_prompts(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    name = F.when(i % 2 == 0, F.concat(F.lit("src1-"), "lang", F.lit("_x"))).otherwise(F.concat("lang", F.lit("-src_1")))
+    task = F.when(i % 3 == 0, "repair").when(i % 3 == 1, "noop").otherwise("translate")
+    path = F.concat(F.lit("/data.x/"), "source", F.lit("_"), i.cast("string"), F.lit(".jsonl"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    return d.select("doc_id", X.family(name, ["src1", "src"]).alias("family"), X.split_label(path).alias("split"), X.messages("s", F.col("text"), task)[1]["content"].alias("asked"), X.excerpt(F.col("text"), half).alias("around"))
+
+
+@query("""
+select l_orderkey, l_linenumber, case when l_quantity < 30 then list_concat(list_transform(range(l_quantity::int), lambda x: -100), range((l_linenumber * 5)::int))[1:30] else [] end labels,
+  l_returnflag in ('A', 'R') hit from lineitem""")
+def labels_and_targets(spark, sf_dir):
+    """Masked prompts of l_quantity ids before completions of 5 * l_linenumber, within 30; names by alternation."""
+    li = _t(spark, sf_dir, "lineitem")
+    ids = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array())
+    labels = X.completion_labels(ids(F.col("l_quantity").cast("int")), ids((F.col("l_linenumber") * 5).cast("int")), 30)
+    hit = F.rlike(F.concat(F.lit("A.R."), F.col("l_returnflag")), X.alternation(F.array(F.lit("R"), F.lit("A"))))
+    return li.select("l_orderkey", "l_linenumber", F.transform(F.coalesce(labels, F.array()), lambda x: x.cast("long")).alias("labels"), hit.alias("hit"))
+
+
+@query(f"""
+with w as (select doc_id, {_TOKENS.format(x="text || case doc_id % 4 when 0 then ' și sau în' when 1 then ' the și' else '' end")} w from documents),
+c as (select doc_id, len(list_filter(w, lambda x: x in ({_names(X.RO_FUNCTION_WORDS)})))::double ro, len(list_filter(w, lambda x: x in ({_names(X.RO_FUNCTION_WORDS + X.EN_FUNCTION_WORDS)}))) al from w),
+r as (select doc_id, case when al < 1 then 0.0 else ro / al end r from c)
+select doc_id, case when r >= 0.85 then 5 when r >= 0.7 then 4 when r >= 0.5 then 3 when r >= 0.3 then 2 else 1 end fluency from r""")
+def romanian_scores(spark, sf_dir):
+    more = F.when(F.col("doc_id") % 4 == 0, " și sau în").when(F.col("doc_id") % 4 == 1, " the și").otherwise("")
+    return _t(spark, sf_dir, "documents").select("doc_id", X.romanian_fluency(F.concat("text", more)).alias("fluency"))
+
+
+@query("""
+with w as (select doc_id, string_split(trim(regexp_replace(replace(text, 'ß', 's'), '[^\\p{L}]+', ' ', 'g')), ' ')[1:8] w from documents)
+select doc_id, (len(list_filter(range(2, len(w) + 1), lambda i: doc_id % 2 = 0 and length(w[i]) >= 2 and not list_contains(w, upper(w[i][1]) || lower(w[i][2:])))))::int bad from w where len(w) >= 2""")
+def title_words(spark, sf_dir):
+    """Title-cased words: half of the titles have every word's first letter raised, and the source has them as they were."""
+    ws = F.slice(F.split(F.trim(F.regexp_replace(F.replace("text", F.lit("ß"), F.lit("s")), r"[^\p{L}]+", " ")), " "), 1, 8)
+    d = _t(spark, sf_dir, "documents").select("doc_id", ws.alias("w")).filter(F.size("w") >= 2)
+    raised = F.transform("w", lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x)))))
+    hyp = F.when(F.col("doc_id") % 2 == 0, F.array_join(raised, " ")).otherwise(F.lower(F.array_join("w", " ")))
+    return d.select("doc_id", X.titlecase(F.array_join("w", " "), hyp).alias("bad"))
+
+
+@query("""
+select event_id, ts::timestamp as at from events""")
+def any_timestamps(spark, sf_dir):
+    """Epoch seconds, ISO with Z and ISO local time all become the same time."""
+    e = _t(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    i = F.col("event_id") % 3
+    told = F.when(i == 0, (F.unix_micros("t") / 1e6).cast("decimal(20,6)").cast("string")).when(i == 1, F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).otherwise(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return e.select("event_id", X.any_timestamp(told).cast("timestamp_ntz").alias("at"))
+
+
+# -- joins, projections and arithmetic ----------------------------------------------------------------
+
+
+@query("select documents.doc_id id, source, lang src from documents join labels using (doc_id)")
+def joined_topics(spark, sf_dir):
+    """Outputs of documents whose topic is known; the topics are those with a label."""
+    d = _t(spark, sf_dir, "documents")
+    topics = d.join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.col("doc_id").alias("id"), F.col("lang").alias("src"))
+    return reports.join_topics(d.select(F.col("doc_id").alias("id"), "source"), topics).select("id", "source", "src")
+
+
+@query("select source, doc_id, case when quality = 1 then 'train' when quality = 0 then 'test' else 'unused' end split from documents left join labels using (doc_id)")
+def split_labels(spark, sf_dir):
+    labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"), F.when(F.col("quality") == 1, "train").otherwise("test").alias("split"))
+    return corpus.label_by_path(_t(spark, sf_dir, "documents").withColumn("path", F.col("doc_id")), labels).select("source", "doc_id", "split")
+
+
+@query("select doc_id, case when toxic = 1 then text else '' end text from documents join labels using (doc_id)")
+def kept_payloads(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
+    return summaries.keep_payload(d, "text", F.col("toxic") == 1).select("doc_id", "text")
+
+
+@query("""
+select l_orderkey, l_linenumber, l_quantity >= 40 - 1 hit_cap, case when l_discount > 0 then round(l_quantity / l_discount, 6) end tok_s, round(l_quantity / 50, 6) roof, floor(l_orderkey * 0.05)::bigint warmup from lineitem""")
+def generation_measures(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("new_tokens"), F.lit(40).alias("max_new"), F.col("l_discount").cast("double").alias("latency_s"))
+    g = summaries.generation_rows(li)
+    again = numbers.tokens_per_second(F.col("new_tokens"), F.col("latency_s"))
+    same = F.when(again.eqNullSafe(F.col("tok_s")), F.round("tok_s", 6))
+    return g.select("l_orderkey", "l_linenumber", "hit_cap", same.alias("tok_s"), F.round(numbers.roof_fraction(F.col("new_tokens"), F.lit(50)), 6).alias("roof"), numbers.warmup_steps(F.col("l_orderkey"), 0.05).alias("warmup"))
+
+
+@query("select round(arg_min(value, (ts, event_id)) - arg_max(value, (ts, event_id)), 9) usd from events where event_id % 2 = 0")
+def balance_spend(spark, sf_dir):
+    """Every other row of the ledger tells no balance."""
+    e = _t(spark, sf_dir, "events").select((F.col("ts").cast("timestamp") + F.expr("make_interval(0, 0, 0, 0, 0, 0, 0)")).alias("t"), "event_id", F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("client_balance"))
+    return summaries.balance_spend(e).withColumn("usd", F.round("usd", 9))
+
+
+@query("""
+with m as (select l_returnflag part, l_linestatus, count(*) w, max(l_linenumber) layers from lineitem group by 1, 2), s as (select part, max(layers) n_layers, sum(4 * (w + 10) * layers)::bigint params from m group by 1),
+c as (select unnest([1, 1, 2, 2, 3]) rank, unnest(['all', 'all', 'two', 'two', 'one']) plan, unnest(['A', 'N', 'N', 'R', 'A']) part),
+b as (select rank, plan, sum(params)::bigint params, (1000 + sum(params) * 10 + 50)::bigint bytes from c join s using (part) group by 1, 2)
+select plan, params, bytes, bytes < 1000 + 50 + 10 * (select sum(params) from s where part in ('A')) + 1 fits, rank = (select coalesce(min(rank) filter (bytes < 1000 + 50 + 10 * (select sum(params) from s where part in ('A')) + 1), max(rank)) from b) chosen from b""")
+def adapter_choice(spark, sf_dir):
+    """Adapter sizes of parts made of lineitem's groups, and which of three plans fits a device that the smallest fills."""
+    maps = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("part"), F.col("l_linestatus").alias("name")).agg(F.count(F.lit(1)).alias("width_in"), F.max("l_linenumber").alias("layers"))
+    sizes = summaries.adapter_sizes(maps.withColumn("width_out", F.lit(10)), 4)
+    plans = spark.createDataFrame([(1, "all", "A"), (1, "all", "N"), (2, "two", "N"), (2, "two", "R"), (3, "one", "A")], "rank int, plan string, part string")
+    device = sizes.filter("part = 'A'").select((F.lit(1000 + 50 + 1) + 10 * F.col("params")).alias("d")).first()[0]  # one row
+    return summaries.adapter_choice(sizes, plans, 1000, 50, device)
+
+
+@query("select event_type, round(avg(value), 9) mean, avg(value) < 50 and min(event_id) >= 1 run from events group by 1")
+def next_stages(spark, sf_dir):
+    """Whether the mean of each kind of event is short of 50 and its least id pays for a stage of cost 1."""
+    e = _t(spark, sf_dir, "events")
+    out = None
+    for kind in [r[0] for r in e.select("event_type").distinct().limit(100).collect()]:
+        one = summaries.may_run(e.filter(F.col("event_type") == kind), F.col("event_id"), 1, "value", 50.0).select(F.lit(kind).alias("event_type"), F.round("mean", 9).alias("mean"), "run")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select doc_id, floor(length(text) / 2.8 + 48) > 640 deferred from documents")
+def deferred_documents(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", numbers.deferred(F.col("text"), 640).alias("deferred"))
+
+
+@query("select a.p_partkey, levenshtein(a.p_name, b.p_name)::int distance from part a join part b on b.p_partkey = a.p_partkey + 1")
+def edit_distances(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
+    after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next"))
+    return p.join(after, "p_partkey").select("p_partkey", F.levenshtein("p_name", "next").alias("distance"))
+
+
+@query("""
+with e as (select user_id, event_id, (event_id % 97) * 3 s, (event_id % 97) * 3 + 1 + event_id % 5 e from events),
+o as (select *, max(e) over (partition by user_id order by s, e, event_id rows between unbounded preceding and 1 preceding) before from e),
+g as (select *, sum(case when before is null or s > before then 1 else 0 end) over (partition by user_id order by s, e, event_id) island from o),
+m as (select user_id, island, min(s) s, max(e) e from g group by 1, 2)
+select user_id, count(*) n, sum(e - s)::bigint length, max(s)::bigint last from m group by 1""")
+def merged_spans(spark, sf_dir):
+    i = F.col("event_id")
+    spans = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct(((i % 97) * 3).cast("int").alias("s"), ((i % 97) * 3 + 1 + i % 5).cast("int").alias("e"))).alias("spans"))
+    m = spans.select("user_id", windows.merge_spans(F.col("spans")).alias("m"))
+    return m.select("user_id", F.size("m").cast("long").alias("n"), F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]).alias("length"), F.array_max(F.transform("m", lambda x: x["s"])).cast("long").alias("last"))
+
+
+@query("""
+with recursive e as (select user_id, (event_id % 61) * 2 s, (event_id % 61) * 2 + 1 + event_id % 4 e from events),
+u as (select distinct user_id, s, e from e), b as (select user_id, s, max(e) e from u group by 1, 2), o as (select user_id, s, e, row_number() over (partition by user_id order by s) k from b),
+f as (select user_id, k, s, e from o where k = 1 union all select o.user_id, o.k, case when o.s >= f.e then o.s else f.s end, case when o.s >= f.e then o.e else f.e end from f join o on o.user_id = f.user_id and o.k = f.k + 1)
+select user_id, count(distinct s) n, max(e)::bigint last from f group by 1""")
+def free_spans(spark, sf_dir):
+    """Spans kept greedily: the first, then each that starts at or after the end of the one kept before."""
+    i = F.col("event_id")
+    spans = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct(((i % 61) * 2).cast("int").alias("s"), ((i % 61) * 2 + 1 + i % 4).cast("int").alias("e"))).alias("spans"))
+    m = spans.select("user_id", windows.free_spans(F.col("spans")).alias("m"))
+    return m.select("user_id", F.size("m").cast("long").alias("n"), F.element_at("m", -1)["e"].cast("long").alias("last"))
+
+
+@query("select user_id, arg_max(event_id, (ts, event_id)) event_id, count(*) n from events group by 1")
+def replayed_steps(spark, sf_dir):
+    """The last row of each key of a log, as a stream would keep it."""
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    n = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return logs.replay(e, "user_id", ("ts", "event_id")).select("user_id", "event_id").join(n, "user_id")
+
+
+@query("""
+with e as (select user_id, value, event_id from events), t as (select user_id, max(value) v from e group by 1)
+select e.user_id, min(event_id) step, max(v) as value from e join t on e.user_id = t.user_id and e.value = t.v group by 1""")
+def best_rows(spark, sf_dir):
+    return logs.best_so_far(_t(spark, sf_dir, "events").withColumnRenamed("event_id", "step"), "user_id", "value").select("user_id", "step", "value")
+
+
+@query("select doc_id % 11 = 0 known, count(*) n from documents group by 1")
+def held_out_check(spark, sf_dir):
+    """Keys of two sets: those in both, and those in one only."""
+    d = _t(spark, sf_dir, "documents").select("doc_id")
+    marked = d.select("doc_id", (F.col("doc_id") % 11 == 0).alias("known"))
+    a, b = marked.filter("known"), marked.filter("NOT known")
+    corpus.assert_disjoint(a, b, "doc_id")
+    return a.unionByName(b).groupBy("known").agg(F.count(F.lit(1)).alias("n"))
