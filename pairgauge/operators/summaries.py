@@ -148,11 +148,11 @@ def balance_spend(ledger: DataFrame) -> DataFrame:
     return has.agg((F.min(b)["v"] - F.max(b)["v"]).alias("usd"))
 
 
-def may_run(dev: DataFrame, left: Column | float, cost: float, measure: str = "reward", enough: float = 0.95) -> DataFrame:
-    """(mean, run): whether a next stage is worth its cost (the mean is short of enough) and can be paid for."""
+def may_run(dev: DataFrame, left: Column | float, cost: float, measure: str = "reward", enough: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, mean, run): whether a next stage is worth its cost (the mean is short of enough) and can be paid for."""
     mean = F.avg(measure)
     money = left if isinstance(left, Column) else F.lit(float(left))
-    return dev.agg(mean.alias("mean"), F.min(money).alias("_left")).select("mean", F.coalesce((F.col("mean") < enough) & (F.col("_left") >= cost), F.lit(False)).alias("run"))
+    return dev.groupBy(*by).agg(mean.alias("mean"), F.min(money).alias("_left")).select(*by, "mean", F.coalesce((F.col("mean") < enough) & (F.col("_left") >= cost), F.lit(False)).alias("run"))
 
 
 def adapter_sizes(maps: DataFrame, rank: int) -> DataFrame:

@@ -409,22 +409,28 @@ def eligible_topics(spark, sf_dir):
     return corpus.topics(_files(spark, sf_dir)).select("id", "n_bytes", "root", "prose_chars")
 
 
+def _held(spark: SparkSession, sf_dir: str, files: DataFrame) -> DataFrame:
+    """The files of documents that are labelled as poor."""
+    poor = _t(spark, sf_dir, "labels").filter("quality = 0").select(F.format_string("d%08d", "doc_id").alias("path")).distinct()
+    return files.join(poor, "path", "left_semi").select(F.col("path").alias("id"), F.col("raw").alias("src"))
+
+
 @query(f"""
-with {_LINES}, h as (select distinct lower(t) as key from l where doc_id % 10 = 0)
-select lower(t) as key, min(file) file from s where substr(file, 9, 1) <> '0' and lower(t) not in (select key from h) group by 1""")
+with {_LINES}, held as (select doc_id from labels where quality = 0), h as (select distinct lower(t) as key from l where doc_id in (select doc_id from held))
+select lower(t) as key, min(file) file from s where substr(file, 2)::bigint not in (select doc_id from held) and lower(t) not in (select key from h) group by 1""")
 def leak_free_segments(spark, sf_dir):
     files = _files(spark, sf_dir)
-    held = files.filter("path LIKE '%0'").select(F.col("path").alias("id"), F.col("raw").alias("src"))
+    held = _held(spark, sf_dir, files)
     clean = corpus.drop_leaks(corpus.segments(files), held, corpus.held_sentences(held))
     return corpus.first_of_each(clean, "key", ["file", "pos"]).select("key", "file")
 
 
 @query(f"""
-with {_LINES}, h as (select distinct lower(t) as key from l where doc_id % 10 = 0)
-select count(*) n from s where substr(file, 9, 1) <> '0' and lower(t) in (select key from h)""")
+with {_LINES}, held as (select doc_id from labels where quality = 0), h as (select distinct lower(t) as key from l where doc_id in (select doc_id from held))
+select count(*) n from s where substr(file, 2)::bigint not in (select doc_id from held) and lower(t) in (select key from h)""")
 def leak_count(spark, sf_dir):
     files = _files(spark, sf_dir)
-    held = files.filter("path LIKE '%0'").select(F.col("path").alias("id"), F.col("raw").alias("src"))
+    held = _held(spark, sf_dir, files)
     return corpus.leaks(corpus.segments(files), held, corpus.held_sentences(held)).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -588,10 +594,10 @@ def pod_spend(spark, sf_dir):
 
 
 @query("""
-with r as (select l_suppkey batch, sum(l_quantity) tok_s, l_suppkey = 9 failed from lineitem where l_suppkey between 1 and 12 group by 1)
+with r as (select l_suppkey batch, sum(l_quantity) tok_s, l_suppkey = 9 failed from lineitem group by 1)
 select coalesce(max(batch), 1)::bigint batch from r where not failed and batch < 9 and tok_s >= 1.15 * (select tok_s from r where batch = 1)""")
 def useful_batch(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem").filter("l_suppkey BETWEEN 1 AND 12").groupBy(F.col("l_suppkey").alias("batch")).agg(F.sum("l_quantity").alias("tok_s"))
+    li = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("batch")).agg(F.sum("l_quantity").alias("tok_s"))
     return summaries.largest_useful_batch(li.withColumn("failed", F.col("batch") == 9))
 
 
@@ -632,13 +638,14 @@ def hourly_windows(spark, sf_dir):
 def _systems(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = _t(spark, sf_dir, "documents")
     one = d.select(F.col("doc_id").alias("id"), (F.col("n_chars") % 100).cast("double").alias("m"), F.lit("one").alias("hyp"))
-    two = d.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 90).cast("double").alias("m"), F.lit("two").alias("hyp"))
+    known = d.join(_t(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    two = known.select(F.col("doc_id").alias("id"), (F.col("n_chars") % 90).cast("double").alias("m"), F.lit("two").alias("hyp"))
     return one, two
 
 
 @query("""
 select 'm' measure, count(*) n, avg(b - a) mean, count(*) filter (b > a) up, count(*) filter (b < a) down, count(*) filter (b = a) equal
-from (select n_chars % 100 a, n_chars % 90 b from documents where doc_id % 3 <> 0)""")
+from (select n_chars % 100 a, n_chars % 90 b from documents where doc_id in (select doc_id from labels))""")
 def paired_deltas(spark, sf_dir):
     a, b = _systems(spark, sf_dir)
     return compare.bootstrap_at_scale(compare.deltas(a, b, ("m",)), 20).drop("low", "high")
@@ -648,11 +655,11 @@ def paired_deltas(spark, sf_dir):
 def paired_bootstrap(spark, sf_dir):
     labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality", "toxic")
     a, b = labels.select("id", F.col("toxic").alias("m")), labels.select("id", F.col("quality").alias("m"))
-    return compare.paired_bootstrap(compare.deltas(a, b, ("m",)), 200)
+    return compare.paired_bootstrap(compare.deltas(a, b, ("m",)))
 
 
 @query("""
-with k as (select doc_id id, ('0x' || substr(sha1('11:' || doc_id), 1, 1))::int % 2 = 1 flip from labels join documents using (doc_id) where doc_id % 3 <> 0),
+with k as (select doc_id id, ('0x' || substr(sha1('11:' || doc_id), 1, 1))::int % 2 = 1 flip from labels join documents using (doc_id)),
 v as (select id, flip, case when id % 5 = 0 then 'tie' when id % 2 = 0 then 'A' else 'B' end w from k)
 select count(*) n_judged, count(*) filter ((w = 'A' and not flip) or (w = 'B' and flip)) sys1, count(*) filter ((w = 'A' and flip) or (w = 'B' and not flip)) sys2, count(*) filter (w = 'tie') tie from v""")
 def blind_tally(spark, sf_dir):
@@ -829,12 +836,8 @@ def adapter_choice(spark, sf_dir):
 @query("select event_type, round(avg(value), 9) mean, avg(value) < 50 and min(event_id) >= 1 run from events group by 1")
 def next_stages(spark, sf_dir):
     """Whether the mean of each kind of event is short of 50 and its least id pays for a stage of cost 1."""
-    e = _t(spark, sf_dir, "events")
-    out = None
-    for kind in [r[0] for r in e.select("event_type").distinct().limit(100).collect()]:
-        one = summaries.may_run(e.filter(F.col("event_type") == kind), F.col("event_id"), 1, "value", 50.0).select(F.lit(kind).alias("event_type"), F.round("mean", 9).alias("mean"), "run")
-        out = one if out is None else out.unionByName(one)
-    return out
+    out = summaries.may_run(_t(spark, sf_dir, "events"), F.col("event_id"), 1, "value", 50.0, ("event_type",))
+    return out.withColumn("mean", F.round("mean", 9))
 
 
 @query("select doc_id, floor(length(text) / 2.8 + 48) > 640 deferred from documents")
@@ -890,11 +893,10 @@ def best_rows(spark, sf_dir):
     return logs.best_so_far(_t(spark, sf_dir, "events").withColumnRenamed("event_id", "step"), "user_id", "value").select("user_id", "step", "value")
 
 
-@query("select doc_id % 11 = 0 known, count(*) n from documents group by 1")
+@query("select doc_id in (select doc_id from labels) known, count(*) n from documents group by 1")
 def held_out_check(spark, sf_dir):
-    """Keys of two sets: those in both, and those in one only."""
-    d = _t(spark, sf_dir, "documents").select("doc_id")
-    marked = d.select("doc_id", (F.col("doc_id") % 11 == 0).alias("known"))
-    a, b = marked.filter("known"), marked.filter("NOT known")
+    """Documents with a label and those without, found to have no key in common."""
+    d, labels = _t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels").select("doc_id").distinct()
+    a, b = d.join(labels, "doc_id", "left_semi").withColumn("known", F.lit(True)), d.join(labels, "doc_id", "left_anti").withColumn("known", F.lit(False))
     corpus.assert_disjoint(a, b, "doc_id")
     return a.unionByName(b).groupBy("known").agg(F.count(F.lit(1)).alias("n"))
