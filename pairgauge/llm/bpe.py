@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries a worker keeps of each of its stores before it starts anew.
-STORE = 600_000
+STORE = 160_000
 
 
 class Vocabulary:
@@ -99,7 +99,7 @@ class Vocabulary:
             else:
                 cap, y = y + 1, parts[0]
         if below == 1 << 60:
-            if len(self._side) > 4 * STORE:
+            if len(self._side) > 8 * STORE:
                 self._side.clear()
             self._side[key] = ok
         return ok
@@ -182,7 +182,8 @@ _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 class Encoder:
     """Encodes texts: no match crosses from other characters into white space, so chunks of one
-    run of white space and what follows are encoded once and kept, packed, up to STORE of them."""
+    run of white space and what follows are encoded once and kept, packed. Of chunks and of matches the
+    last STORE are kept, and those that were asked for again since."""
 
     def __init__(self, v: Vocabulary, pattern: str):
         import regex
@@ -190,6 +191,8 @@ class Encoder:
         self.v, self.split = v, regex.compile(pattern).findall
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.table = [v.tokens.get(i, b"") for i in range(max(v.tokens) + 1)]
 
     def _chunk(self, chunk: str) -> bytes:
@@ -198,8 +201,10 @@ class Encoder:
             ids = self.pieces.get(p)
             if ids is None:
                 if len(self.pieces) >= STORE:
-                    self.pieces.clear()
-                ids = np.array(encode_piece(self.v, p.encode()), "<u4").tobytes()
+                    self.old_pieces, self.pieces = self.pieces, {}
+                ids = self.old_pieces.get(p)
+                if ids is None:
+                    ids = np.array(encode_piece(self.v, p.encode()), "<u4").tobytes()
                 if len(p) <= 64:
                     self.pieces[p] = ids
             out.append(ids)
@@ -210,10 +215,12 @@ class Encoder:
         store = self.chunks
         new = set(parts).difference(store)
         if len(store) + len(new) > STORE:
-            store.clear()
+            self.old_chunks = store
+            store = self.chunks = {}
             new = set(parts)
+        old = self.old_chunks.get
         for p in new:
-            store[p] = self._chunk(lead + p)
+            store[p] = old(p) or self._chunk(lead + p)
         out = b"".join(map(store.__getitem__, parts))
         for p in new:
             if len(p) > 64:

@@ -119,12 +119,15 @@ def block_of(n: int, *cols: str) -> Column:
 
 
 def return_memory(least: int = 4 << 20) -> None:
-    """Have this worker give large arrays back when they are dropped: glibc otherwise raises the size
-    from which it does so with every array, and keeps the pieces. No other C library needs it."""
+    """Have this worker give large arrays back when they are dropped, and now what is free: glibc otherwise
+    raises the size from which it does so with every array, and keeps the pieces for workers' later tasks.
+    No other C library needs it."""
     import ctypes
 
     with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").mallopt(-3, least)  # M_MMAP_THRESHOLD
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, least)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
 
 
 # -- vectorised hashing -------------------------------------------------------------------
@@ -185,6 +188,8 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 #: Bytes that one step of vectorised work takes up; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
+#: Whole texts that go to a Python worker at once.
+TEXT_ROWS = 2000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, table
+from .common import TEXT_ROWS, few, table
 
 #: A subtree is a template from so many distinct pages of its host, however many pages the host has.
 MIN_PAGES = 4
@@ -367,7 +367,7 @@ def templates(found: DataFrame, min_pages: int = MIN_PAGES, marked_pages: int =
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, marked_pages: int = MARKED_PAGES) -> DataFrame:
     """page_id, url, text, n_chars, n_templates per row of ``pages``."""
-    rows = table(parsed(pages))
+    rows = table(parsed(pages), TEXT_ROWS)
     recurring = table(templates(rows, min_pages, marked_pages))
     own = rows.select(F.col("page_id").alias("gid"), F.col("x").alias("gx"), "host", F.inline("cands"))
     gone = own.join(F.broadcast(recurring) if few(recurring, 200_000) else recurring, ["host", "hash"])

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, mix, shingle_sets, steps, table
+from .common import TEXT_ROWS, few, mix, shingle_sets, steps, table
 
 T, ROWS = 192, 6
 BANDS = T // ROWS
@@ -273,7 +273,7 @@ def _finely(left: DataFrame, links: DataFrame, sets: DataFrame, percent: int) ->
 
 def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, x, n, node, label): rows of equal label are one component; n = 0 has no label."""
-    d, classes = _classes(table(_describe(docs, k)))
+    d, classes = _classes(table(_describe(docs, k), TEXT_ROWS))
     rows = _buckets(table(classes.select("node", F.explode("bands").alias("key"))))
     needed = table(rows.select("node").distinct())
 
@@ -281,7 +281,7 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     asked = classes.select("node", "source").join(F.broadcast(needed) if few(needed) else needed, "node")
     asked = table(asked.select("node", F.col("source.doc_id").alias("id2"), F.col("source.x").alias("x2")))
     near = F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("x") == F.col("x2"))
-    sets = table(_sets_of(_rows(docs).join(F.broadcast(asked) if few(asked) else asked, near), k).dropDuplicates(["node"]))
+    sets = table(_sets_of(_rows(docs).join(F.broadcast(asked) if few(asked) else asked, near), k).dropDuplicates(["node"]), TEXT_ROWS)
 
     links = table(_verified(rows.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "c"), sets, percent))
     for r in range(HUB_ROUNDS + 1):

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, STEP_BYTES, drop_table, prefix_hash, return_memory, span_hash, steps, table, word_spans
+from .common import LOWER, STEP_BYTES, TEXT_ROWS, drop_table, prefix_hash, return_memory, span_hash, steps, table, word_spans
 
 ORDER = 5
 #: Text bytes of a block.
@@ -207,9 +207,12 @@ def _blocks(block_bytes: int):
                 if block.size >= block_bytes:
                     yield from block.facts()
                     number, block = number + 1, None
+                    return_memory()
                 lo = hi
         if block:
             yield from block.facts()
+            del block
+        return_memory()
 
     return run
 
@@ -299,7 +302,7 @@ def _shorter(pair: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.coalesce("text", F.lit("")).alias("text"))
-    facts = table(d.mapInArrow(_blocks(block_bytes), _FACT), batch_rows=2000)
+    facts = table(d.mapInArrow(_blocks(block_bytes), _FACT), batch_rows=TEXT_ROWS)
 
     is_pair = F.col("key") >= 0
     pairs = table(facts.filter(is_pair).groupBy("key").agg(F.sum("n").alias("n")))
@@ -338,6 +341,10 @@ def score(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> Dat
     for used in (pairs, two, words):
         drop_table(docs.sparkSession, used._pairgauge_path)
     packed = facts.filter("texts is not null").select("block", "texts")
+    # few blocks are dealt to more partitions than there are, so that hardly a task gets several of them
+    blocks, usual = packed.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = max(usual, min(8 * blocks, 4000))
+    packed, own = packed.repartition(dealt, "block"), own.repartition(dealt, "block")
 
     def block_scores(packed: pa.Table, t: pa.Table) -> pa.Table:
         return_memory()
@@ -353,6 +360,7 @@ def score(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> Dat
             found[order] = v[np.searchsorted(known, distinct[order])]
             return found[part.indices.to_numpy()]
 
+        del t, sort
         rows = pa.ipc.open_stream(packed.column("texts")[0].as_buffer())
         ids, learn, scores, tokens, seen, sums = [], [], [], [], [], []
         end = v[np.searchsorted(known, END_KEY)]

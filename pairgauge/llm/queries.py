@@ -50,7 +50,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = packing.write(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return packing.read(common.table(files))
+    return packing.read(common.table(files, common.TEXT_ROWS))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

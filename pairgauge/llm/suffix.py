@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, drop_table, few, mix, prefix_hash, span_hash, table
+from .common import BROADCAST_ROWS, TEXT_ROWS, drop_table, few, mix, prefix_hash, span_hash, table
 
 LENGTH = 200
 #: Different surroundings of one anchor that one suffix array takes in.
@@ -277,7 +277,7 @@ def _joined_windows(length: int):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(rk, lo, hi): byte spans that lie in repeated strings, for rows (rk, text)."""
     alike = ["fp", "around"]  # equal surroundings are of one length and have their anchor at one place
-    rows = table(docs.filter(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), _ROW))
+    rows = table(docs.filter(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), _ROW), TEXT_ROWS)
     # counted before they are dealt, so that a passage of many copies is one row a task
     classes = table(rows.groupBy(*alike).agg(F.count(F.lit(1)).alias("n"), F.min("rk").alias("rk"), F.min_by("s", "rk").alias("s"), F.min("m").alias("m")))
     again = classes.filter("n > 1").select(*alike)
@@ -295,7 +295,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     if n_edges <= BROADCAST_ROWS // 4 and few(edge):
         some = F.broadcast(some)
     cuts = docs.join(some, F.col("rk") == F.col("rk2")).dropDuplicates(["rk"]).select("rk", "text", "asked")
-    cuts = table(cuts.mapInArrow(_surroundings(length), _CUT))
+    cuts = table(cuts.mapInArrow(_surroundings(length), _CUT), TEXT_ROWS)
     bundle = F.pmod(F.xxhash64("fp"), F.lit(max(1, -(-n_edges // BUNDLE_ROWS)))).alias("bundle")
     spans = cuts.filter("not hot").groupBy(bundle).applyInArrow(_bundle_spans(length), "rk long, lo long, hi long")
     windows = cuts.filter("hot").select("rk", "s", "cut").mapInArrow(_window_hashes(length), "h long, g long, rk long, c long, s long")
