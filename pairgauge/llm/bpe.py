@@ -278,7 +278,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
 
 
 def add_token_ids(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """The rows with a column ``token_ids``; decoding the ids must give the text again."""
+    """The rows with a column ``token_ids``, which takes the place of one that is there; null texts have no ids.
+
+    Decoding the ids must give the text again, or the job fails."""
+    docs = docs.drop("token_ids")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
 
@@ -288,10 +291,10 @@ def add_token_ids(docs: DataFrame, path: str, pattern: str, text: str = "text")
             for lo in range(0, b.num_rows, 256):
                 sub, out = b.slice(lo, 256), []
                 for t in sub.column(names.index(text)).to_pylist():
-                    ids = e.encode(t or "")
-                    if e.decode(ids) != (t or "").encode():
+                    ids = np.frombuffer(e.packed(t or ""), "<u4")
+                    if e.decode(ids.tolist()) != (t or "").encode():
                         raise ValueError("the ids do not decode to the text")
-                    out.append(np.array(ids, np.int32))
+                    out.append(ids.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*sub.columns, pa.array(out, pa.list_(pa.int32()))], names=[*names, "token_ids"])
 
     return docs.mapInArrow(run, schema)

@@ -96,6 +96,12 @@ def table(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     return out
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case."""
+    longest = max(map(len, df.columns), default=0)
+    return [f"{n}{'_' * (longest + 1)}" for n in names]
+
+
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a written table has so few rows that it may be broadcast."""
     return df.count() <= rows

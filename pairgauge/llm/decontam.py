@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, few, let, table
+from .common import BROADCAST_ROWS, few, free_names, let, table
 
 K = 5
 #: Containment in percent from which an item counts as found.
@@ -105,6 +105,8 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no item is found, with their own columns only; of rows that share an id, or have none, the others stay."""
-    bad = table(_found(docs, items, "doc_id", "text", K, PERCENT).select(F.col("doc_id").alias("_bad"), F.col("x").alias("_x")).distinct())
+    bad = table(_found(docs, items, "doc_id", "text", K, PERCENT).select("doc_id", "x").distinct())
+    i, x = free_names(docs, "id", "x")
+    bad = bad.toDF(i, x)
     bad = F.broadcast(bad) if few(bad) else bad
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_x")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[i]) & (F.xxhash64(docs["text"]) == bad[x]), "left_anti")

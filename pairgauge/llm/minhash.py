@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, few, mix, shingle_sets, steps, table
+from .common import TEXT_ROWS, few, free_names, mix, shingle_sets, steps, table
 
 T, ROWS = 192, 6
 BANDS = T // ROWS
@@ -316,11 +316,9 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = table(grouped(docs, k, percent).filter("n > 0").select("doc_id", "x", "label", F.struct(F.col("doc_id").isNull(), "doc_id", "x").alias("o")))
     each = table(rows.groupBy("doc_id", "x", "label", "o").agg(F.count(F.lit(1)).alias("c")))
     first = table(each.groupBy("label").agg(F.min("o").alias("first")))
-    told = table(each.join(F.broadcast(first) if few(first) else first, "label").select(F.col("doc_id").alias("_id"), F.col("x").alias("_x"), (F.col("o") != F.col("first")).alias("gone"), "c").filter("gone or c > 1"))
-    names = set(docs.columns)
-    if names & {"_id", "_x"}:
-        told = told.toDF(*(c if c not in ("_id", "_x") else f"{c}{max(map(len, names)) * '_'}" for c in told.columns))
-    i, x = told.columns[:2]
+    told = table(each.join(F.broadcast(first) if few(first) else first, "label").select("doc_id", "x", (F.col("o") != F.col("first")).alias("gone"), "c").filter("gone or c > 1"))
+    i, x = free_names(docs, "id", "x")
+    told = told.toDF(i, x, "gone", "c")
 
     def among(rows: DataFrame, how: str) -> DataFrame:
         return docs.join(F.broadcast(rows) if few(rows) else rows, docs["doc_id"].cast("long").eqNullSafe(rows[i]) & (F.xxhash64(docs["text"]) == rows[x]), how)

@@ -9,10 +9,11 @@ so far are taken for toxic, from round to round. A text's score is a logistic of
 window, fitted on the training texts; window scores are linear in the bags, so each distinct word
 is hashed once a worker and texts of any length are read whole.
 
-``fit`` takes a bounded sample of labelled rows, ``max_rows`` a class, in the order of a hash of
-the id. Null and empty texts score as a text without any sign. Repeated rows are scored each;
+``fit`` takes a bounded sample of labelled rows, ``max_rows`` a class and ``max_bytes`` in all, in
+the order of a hash of the id. Null and empty texts score as a text without any sign. Repeated rows are scored each;
 labels for one id that differ count each; without labels of both classes every score is the share
-of toxic labels (0 without any). Only id, text and the label are read.
+of toxic labels (0 without any). Texts of any length are scored whole, an empty table gives an empty
+result, and only id, text and the label are read, so extra columns and their names do not matter.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ROWS = 1500
+#: Characters of the sample that the driver holds.
+MAX_BYTES = 32 << 20
 BUCKETS = 1 << 17
 DIM = 8
 WINDOW = 4
@@ -211,14 +214,18 @@ def held_out(fold: int = 5, rest: int = 0):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == rest, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, label: str = "toxic") -> Model:
-    """Train on the labelled texts outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, label: str = "toxic", max_bytes: int = MAX_BYTES) -> Model:
+    """Train on the labelled texts outside the held-out fold: at most ``max_rows`` of a class, in the order of
+    a hash of the id, and as many of these as have ``max_bytes`` together, in that order too."""
     rows = labels.filter(F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     kept = rows.filter("y = 0").orderBy(*order).limit(max_rows).unionByName(rows.filter("y = 1").orderBy(*order).limit(max_rows))
-    sample = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").orderBy("doc_id", "y", F.xxhash64("text"))
-    texts, ys = [], []
+    sample = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("text"))
+    texts, ys, size = [], [], 0
     for r in sample.toLocalIterator():
+        size += len(r.text or "")
+        if size > max_bytes and texts:
+            break
         texts.append(r.text or "")
         ys.append(r.y)
     return train(texts, ys)

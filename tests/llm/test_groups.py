@@ -317,18 +317,3 @@ def test_html_templates_recur():
     assert len({p for _, _, p in found}) == 3
     shared = set.intersection(*({h for h, *_ in c} for _, c, _ in found))
     assert len(shared) == 1 and html_extract.main_text(page.format(i=9), shared) == ("The text number 9 of many pages", 1)
-
-
-def test_pipeline(spark, tmp_path, docs):
-    import corpus_pipeline
-
-    good = "the cat and the dog went to a house in the town of the hill and it is on the way for all of us "
-    rnd = random.Random(9)
-    prose = lambda: " ".join(f"{w}{rnd.randrange(1000)}" if rnd.random() < 0.6 else w for w in (good * 5).split())
-    a, item = prose(), "this is the secret item of the benchmark with some more words"
-    texts = [a, a + " end", prose() + " " + item, prose(), "too short", None]
-    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert set(out) == {0, 3} and out[0].text == a and len(out[3].token_ids) > 50
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "byte_bpe"]

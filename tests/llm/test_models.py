@@ -102,6 +102,53 @@ def test_toxicity_learns_stems(spark, nothing):
     assert none.scorer()("x") < 0.01
 
 
+def test_toxicity_against_plain_python(spark, nothing):
+    """Scores of whole texts are a logistic of the best window, worked out word by word; what else is in the table does not count."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgé") for _ in range(rnd.randrange(2, 7)))
+    texts = [" ".join(("grumph" + rnd.choice(["", "el", "ing"]) if i % 3 == 0 and rnd.random() < 0.2 else word()) for _ in range(rnd.randrange(1, 60))) for i in range(120)]
+    texts += [None, "", " \n ", "!!! ...", "Grumph!", " ".join(word() for _ in range(30_000)), texts[0], texts[0]]
+    rows = [(i if i != 7 else None, t, 0.5, 9, "de") for i, t in enumerate(texts)] + [(5, texts[5], 0.1, 1, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, toxic int, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] + [(4, 1), (9, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+
+    def logit(text):
+        ws = [w for w in (x.strip(toxicity._STRIP) for x in (text or "").lower().encode().split()) if w]
+        if not ws:
+            return model.bias
+        k, best = min(model.window, len(ws)), -math.inf
+        for i in range(len(ws) - k + 1):
+            buckets = []
+            for w in ws[i : i + k]:
+                w = f"<{w.decode()}>"
+                buckets += [zlib.crc32(g.encode()) % len(model.weight) for g in {w, *(w[a:b] for a in range(len(w)) for b in range(a + 3, min(a + 6, len(w)) + 1))}]
+            best = max(best, sum(model.weight[b] for b in buckets) / len(buckets))
+        return best + model.bias
+
+    want = []
+    for d, t, *_ in rows:
+        s = 1 / (1 + math.exp(-min(40, max(-40, model.slope * logit(t) + model.shift))))
+        want.append((d, d is not None and zlib.crc32(str(d).encode()) % 5 == 0, s, int(s >= 0.5)))
+    got = sorted(map(tuple, toxicity.score(docs, model).collect()), key=repr)
+    want.sort(key=repr)
+    assert [(a, b) for a, b, *_ in got] == [(a, b) for a, b, *_ in want]
+    assert np.allclose(sorted(g[2] for g in got), sorted(w[2] for w in want), atol=1e-9) and sum(g[3] for g in got) == sum(w[3] for w in want)
+    assert toxicity.fit(docs, labels.filter("false")).scorer()("any text") < 1e-5
+    assert toxicity.fit(nothing, labels).scorer()("any text") < 1e-5
+    few = toxicity.fit(docs, labels, max_bytes=200)  # a bounded sample is still a model
+    assert 0 <= few.scorer()(texts[0]) <= 1
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """On the test tables: labels of a fold that the model has not seen."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels)).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id")
+    rows = [(r.toxic, r.predicted) for r in scored.collect()]
+    clean, toxic = [p for t, p in rows if t == 0], [p for t, p in rows if t == 1]
+    assert len(rows) > 50 and sum(clean) / len(clean) < 0.1 and sum(toxic) >= 0.7 * len(toxic)
+
+
 @pytest.fixture(scope="module")
 def library():
     import tiktoken

@@ -1,5 +1,6 @@
 """Quality rules, line dedup and decontamination against plain Python."""
 
+import collections
 import re
 
 from pyspark.sql import functions as F
@@ -16,9 +17,10 @@ def test_quality(docs, nothing, rows):
         t = t or ""
         ws = [w for w in SPACE.split(t) if w]
         wins = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
-        covered = {i + k for i, w in enumerate(wins) if wins.count(w) > 1 for k in range(3)} if len(wins) < 1000 else None
+        times = collections.Counter(wins)
+        covered = {i + k for i, w in enumerate(wins) if times[w] > 1 for k in range(3)}
         ls = [x for x in t.split("\n") if SPACE.sub("", x)]
-        n = len(covered) if covered is not None else next(g[5] for g in got if g[0] == d)
+        n = len(covered)
         want.append((-1 if d is None else d, len(ws), len(SPACE.sub("", t)), len(re.findall(r"[#*$%&|<>]", t)), len(ls) - len(set(ls)), n, len(ws) < 50 or 100 * n > 50 * len(ws)))
     assert got == sorted(want)
     assert quality.verdicts(quality.measures(nothing)).count() == 0
@@ -32,7 +34,7 @@ def test_rules_judge_junk(spark):
     lines = "\n".join(["the cat is on the mat of this big house today"] * 3 + [f"line {i} of the text is here and unlike {i * 7} others" for i in range(4)])
     df = spark.createDataFrame([(1, good), (2, junk), (3, lines)], "doc_id long, text string")
     got = {r.doc_id: r.failed_rules for r in quality.verdicts(quality.measures(df)).collect()}
-    assert got[1] == [] and "symbols" in got[2] and "repetitive" in got[3] or "duplicate_lines" in got[3]
+    assert got[1] == [] and "symbols" in got[2] and ("repetitive" in got[3] or "duplicate_lines" in got[3])
 
 
 def _near(a, b):
