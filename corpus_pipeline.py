@@ -3,6 +3,13 @@
 Quality rules drop documents; line dedup takes repeated lines out of texts; near-dedup leaves one
 document of each group; decontamination drops documents that hold benchmark items; the last stage
 adds the token ids of the byte-level BPE.
+
+Documents without a text, or with an empty one, have no words and go with the first stage. Rows
+are told apart by id and text: rows that share an id, or have none, are documents of their own, and of
+repeated rows one stays. Ties are broken by the smallest id, rows without one last, and then by hashes
+of the text and of the row, never by the order of partitions. Other columns are carried along as they
+are (n_chars is made to fit the text), whatever their names; a column token_ids is replaced by the
+last stage. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -49,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The last stage's token ids are beyond SQL; the pipeline is tested against brute force.
+#: The last stage's token ids are beyond SQL; tests/llm/test_pipeline.py has a plain Python version of all stages.
 ORACLE_SQL = None
