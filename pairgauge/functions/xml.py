@@ -128,6 +128,17 @@ def _segments(xml: str | None) -> list[dict]:
 segments = arrow_function("array<struct<tag:string,xml:string,text:string>>", _segments, "xml_segments")
 
 
+def _topic(xml: str | None) -> dict:
+    root = trees.parse_body(xml)
+    if root is None:
+        return {"ok": False}
+    return {"ok": True, "root": root.tag, "prose": trees.prose(root, False), "reuse": trees.has_reuse(root), "texts": [s["text"] for s in trees.segments(root)]}
+
+
+#: What decides whether a document can be held out whole, in one parse.
+topic = arrow_function("struct<ok:boolean,root:string,prose:string,reuse:boolean,texts:array<string>>", _topic, "xml_topic")
+
+
 def _block_texts(xml: str | None) -> list[str]:
     root = trees.parse_body(xml)
     return [] if root is None else [trees.norm(trees.prose(e, False)) for e in root.iter() if e.tag in trees.SEGMENT_TAGS]
@@ -255,4 +266,4 @@ def register(spark: SparkSession, prefix: str = "xml_") -> list[str]:
     return [prefix + name for name in SQL_FUNCTIONS]
 
 
-__all__ = ["arrow_function", "block_texts", "chrf", "closed", "decode_mapped", "diff", "facts", "fix_aligned", "fix_simple", "flows", "gated_scalar", "nodes", "oracle_facts", "register", "report_facts", "segments", "validator", "visible_text"]
+__all__ = ["arrow_function", "block_texts", "chrf", "closed", "decode_mapped", "diff", "facts", "fix_aligned", "fix_simple", "flows", "gated_scalar", "nodes", "oracle_facts", "register", "report_facts", "segments", "topic", "validator", "visible_text"]

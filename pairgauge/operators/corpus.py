@@ -62,10 +62,9 @@ def segments(files: DataFrame) -> DataFrame:
 def topics(files: DataFrame) -> DataFrame:
     """(id, src, n_bytes, root, prose_chars): topics that can be held out whole."""
     sized = files.filter(F.octet_length("raw").between(700, 3500) & _head("raw", 400).contains("<!DOCTYPE") & ~_head("raw", 600).contains("LIGHTWEIGHT"))
-    f = sized.select("path", "raw", xml.facts(F.col("raw")).alias("f"), xml.segments(F.col("raw")).alias("s"))
-    f = f.withColumn("prose_chars", F.length(X.norm(F.col("f.prose"))))
-    ok = F.filter("s", lambda s: F.length(s["text"]).between(25, 500) & (F.size(F.split(s["text"], r"\s+")) >= 4))
-    f = f.filter(F.col("f.ok") & (F.col("prose_chars") >= 250) & ~F.col("f.reuse") & (F.size(ok) >= 2))
+    f = sized.select("path", "raw", xml.topic(F.col("raw")).alias("f")).withColumn("prose_chars", F.length(X.norm(F.col("f.prose"))))
+    ok = F.filter("f.texts", lambda t: F.length(t).between(25, 500) & (F.size(F.split(t, r"\s+")) >= 4))
+    f = f.filter(F.col("f.ok") & ~F.col("f.reuse") & (F.col("prose_chars") >= 250) & (F.size(ok) >= 2))
     return f.select(F.col("path").alias("id"), F.col("raw").alias("src"), F.octet_length("raw").cast("long").alias("n_bytes"), F.col("f.root").alias("root"), F.col("prose_chars").cast("long").alias("prose_chars"))
 
 
