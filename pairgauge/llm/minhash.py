@@ -45,9 +45,9 @@ HUB_ROUNDS = 1
 #: Members of a bucket that one task verifies against its hub, about.
 SPLIT = 256
 #: Shingles of one side of a block; a larger set is a block of its own.
-BLOCK = 100_000
+BLOCK = 40_000
 #: Pairs of blocks up to which a bucket's members are compared directly.
-DIRECT = 16
+DIRECT = 64
 _FREE = np.uint64(2**64 - 1)
 _SEEDS = mix(np.arange(1, 2 * 4096 + 1, dtype=np.uint64))
 
