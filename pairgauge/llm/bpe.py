@@ -17,7 +17,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -174,12 +176,47 @@ def encode_piece(v: Vocabulary, data: bytes) -> tuple[int, ...]:
     return tuple(out[::-1])
 
 
+def encode_sorted(v: Vocabulary, pieces: list[str], store: dict[str, bytes]) -> None:
+    """Add the packed ids of matches to a store. In order of their bytes, each goes on from the last tokens
+    of the prefix that it shares with the one before."""
+    last, before = [-1], b""
+    for data, piece in sorted((p.encode(), p) for p in pieces):
+        whole = v.live.get(data)
+        if whole is not None:
+            store[piece] = _pack((whole,))
+            continue
+        k, most = 0, min(len(data), len(before))
+        while k < most and data[k] == before[k]:
+            k += 1
+        del last[k + 1 :]
+        _extend(v, data, last, len(data))
+        before, at, out = data, len(data), []
+        while at:
+            out.append(last[at])
+            at -= len(v.tokens[last[at]])
+        store[piece] = _pack(tuple(out[::-1]))
+
+
+def _pack(ids: tuple[int, ...]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 #: White space in front of a space: there a cut at the space would part a run.
 _RUN = re.compile(r"\s ")
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
+# the one pattern that is also read by Python's own engine (fixed value), for texts below U+0180: letters, numbers, white space
+KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u017f", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+_MATCH = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_BEYOND = re.compile("[\u0180-\U0010ffff]")
+#: Matches of a text that are held at once, and characters of short texts.
+MATCHES = 200_000
+HELD = 1 << 19
+
+
 class Encoder:
     """Encodes texts: no match crosses from other characters into white space, so chunks of one
     run of white space and what follows are encoded once and kept, packed. Of chunks and of matches the
@@ -193,6 +230,7 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.old_chunks: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
+        self.known = pattern == KNOWN_PATTERN
         self.table = [v.tokens.get(i, b"") for i in range(max(v.tokens) + 1)]
 
     def _chunk(self, chunk: str) -> bytes:
@@ -204,12 +242,34 @@ class Encoder:
                     self.old_pieces, self.pieces = self.pieces, {}
                 ids = self.old_pieces.get(p)
                 if ids is None:
-                    ids = np.array(encode_piece(self.v, p.encode()), "<u4").tobytes()
+                    ids = _pack(encode_piece(self.v, p.encode()))
                 if len(p) <= 64:
                     self.pieces[p] = ids
             out.append(ids)
         return b"".join(out)
 
+    def _matches(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of lists of matches of the pattern."""
+        store = self.pieces
+        new = set().union(*lists).difference(store)
+        if len(store) + len(new) > STORE:
+            self.old_pieces = store
+            store = self.pieces = {}
+            new = set().union(*lists)
+        old, unknown = self.old_pieces.get, []
+        for p in new:
+            ids = old(p)
+            if ids is None:
+                unknown.append(p)
+            else:
+                store[p] = ids
+        encode_sorted(self.v, unknown, store)
+        out = [b"".join(map(store.__getitem__, parts)) for parts in lists]
+        for p in unknown:
+            if len(p) > 64:
+                del store[p]
+        return out
+
     def _all(self, parts: list[str], lead: str) -> bytes:
         """The ids of parts that each follow ``lead``; kept by the part itself if that is a space."""
         store = self.chunks
@@ -229,11 +289,33 @@ class Encoder:
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if self.known and not _BEYOND.search(text):
+            if len(text) <= MATCHES:
+                return self._matches([_MATCH.findall(text)])[0]
+            found = (m[0] for m in _MATCH.finditer(text))
+            return b"".join(self._matches([list(part)])[0] for part in batched(found, MATCHES))
         if _RUN.search(text):
             return b"".join(map(self._chunk, _CHUNK.findall(text)))
         first, *rest = text.split(" ")
         return self._chunk(first) + self._all(rest, " ")
 
+    def packed_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The packed ids of each text. Short texts are taken up together, so that more of what is new to them shares prefixes."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            if self.known and len(text) <= MATCHES and not _BEYOND.search(text):
+                held.append(_MATCH.findall(text))
+                size += len(text)
+                if size < HELD:
+                    continue
+                text = None
+            yield from self._matches(held)
+            held, size = [], 0
+            if text is not None:
+                yield self.packed(text)
+        yield from self._matches(held)
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
 
@@ -261,8 +343,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
         e = encoder(path, pattern)
         for b in batches:
             n, a, d, kept = [], [], [], []
-            for text in b.column(1):
-                packed = e.packed(text.as_py() or "")
+            for packed in e.packed_all(text.as_py() or "" for text in b.column(1)):
                 ids = np.frombuffer(packed, "<u4")
                 n.append(len(ids))
                 a.append(hashlib.sha256(packed).hexdigest())
@@ -290,8 +371,9 @@ def add_token_ids(docs: DataFrame, path: str, pattern: str, text: str = "text")
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 sub, out = b.slice(lo, 256), []
-                for t in sub.column(names.index(text)).to_pylist():
-                    ids = np.frombuffer(e.packed(t or ""), "<u4")
+                whole = sub.column(names.index(text)).to_pylist()
+                for t, packed in zip(whole, e.packed_all(t or "" for t in whole), strict=True):
+                    ids = np.frombuffer(packed, "<u4")
                     if e.decode(ids.tolist()) != (t or "").encode():
                         raise ValueError("the ids do not decode to the text")
                     out.append(ids.astype(np.int32))
