@@ -31,6 +31,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that is dear a row: a table of fewer partitions than there are cores is dealt to them."""
+    d, cores = _t(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return d.repartition(cores, "doc_id") if d.rdd.getNumPartitions() < cores else d
+
+
 # -- text functions over documents -----------------------------------------------------------
 
 _BARE = "translate(text, '!?;:«»\"“”', '')"
@@ -124,7 +130,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         paragraphs = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), x, F.lit(f"{gap}:</p>"))), "")
         return F.concat(F.lit(f'{head}\n<topic id="{ident}'), F.col("id"), F.lit('"><title>'), title, F.lit("</title><body><p>"), intro, F.lit("</p>"), paragraphs, F.lit(f"<p><codeph>{code}</codeph></p></body></topic>"))
 
-    d = _t(spark, sf_dir, "documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % 10).alias("k"), F.filter(bare, lambda x: x != "").alias("en"))
+    d = _documents(spark, sf_dir).select("doc_id", "source", F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % 10).alias("k"), F.filter(bare, lambda x: x != "").alias("en"))
     d = d.withColumn("fr", F.transform("en", french)).withColumn("short", F.when(F.size("fr") > 0, F.slice("fr", 1, F.size("fr") - 1)).otherwise(F.col("fr")))
     lit = F.lit
     source = doc(lit("The page"), F.when(k == 7, '"W3C"').otherwise("Intro"), F.col("en"), "")
@@ -386,7 +392,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = F.translate("text", "<>&", "")
     body = F.replace(clean, F.lit("\n"), F.lit("</p><p>"))
     raw = F.concat(F.lit("<!DOCTYPE topic><topic><title>T</title><body><p>"), body, F.lit("</p></body></topic>"))
-    return _t(spark, sf_dir, "documents").select(F.format_string("d%08d", "doc_id").alias("path"), raw.alias("raw"))
+    return _documents(spark, sf_dir).select(F.format_string("d%08d", "doc_id").alias("path"), raw.alias("raw"))
 
 
 _LINES = """
