@@ -706,7 +706,7 @@ from n where length(t) >= 3 and strpos(left(t, 3), chr(10)) = 0""")
 def xml_heads(spark, sf_dir):
     """Heads, bodies, lengths without the document type, no-break references as characters, and texts without
     tags, for documents whose first line has three characters."""
-    m = _marked(spark, sf_dir).filter(F.regexp_extract("raw", r"<p>([^\n<]{3})", 1) != "")
+    m = _marked(spark, sf_dir).filter(F.regexp_extract("raw", r"<t><p>([^\n<]{3})", 1) != "")
     count = lambda x, c: (F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))).cast("long")
     wide, narrow = X.expand_nbsp(F.col("raw")), X.expand_nbsp(F.col("raw"), narrow=True)
     return m.select(

@@ -44,6 +44,25 @@ def test_query(spark, duck, name):
     assert len(a) == len(b) and all(_same(x, y) for r, s in zip(a, b, strict=True) for x, y in zip(r, s, strict=True))
 
 
+def _against_sql(spark, tmp_path, name, **tables):
+    """Rows of a query and of its SQL over made-up tables."""
+    c = duckdb.connect()
+    for t, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    return _rows(plans.QUERIES[name](spark, str(tmp_path)).toPandas()), _rows(c.execute(plans.ORACLE_SQL[name]).df())
+
+
+_DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_xml_heads_first_lines(spark, tmp_path):
+    texts = ["A.\nAll rights reserved.", "\nabc", "ab", "abc", "<a&bc\nd", "é😀x y\n\n", "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], _DOCUMENT)
+    got, want = _against_sql(spark, tmp_path, "xml_heads", documents=docs)
+    assert got == want and {r[4] for r in got} == {3, 4, 5}
+
+
 def test_py_round(spark):
     rnd = random.Random(1)
     values = [2.675, 0.125, -0.125, 1.005, 0.0, -1.0, 0.5, 1.5, 2.5, *[rnd.uniform(-100, 100) for _ in range(300)], *[round(rnd.uniform(0, 1), 3) + 0.0005 for _ in range(100)]]
