@@ -102,6 +102,27 @@ def epochs(df: DataFrame, key: str, n: int, seed: int, digits: int = 3) -> DataF
     return each.join(F.broadcast(counts), ["epoch", "_b"]).withColumn("place", place.cast("long")).drop("_o", "_b", "_base")
 
 
+def ranges(df: DataFrame, col: str, parts: int = 256, per: int = 16) -> Column:
+    """The number of a row's range of ``col``, which rises with it, for rows that are put in order range by range.
+
+    The bounds come from ``parts * per`` rows of df at most, those with the least hashes, so that they are the same in
+    every run; a table of fewer rows is one range. All rows have a range, also those that were not looked at."""
+    seen = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).orderBy(F.xxhash64(col)).limit(parts * per).collect()]
+    bounds = sorted(set(sorted(seen)[per::per])) if len(seen) == parts * per else []
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col(col))) if bounds else F.lit(0)
+
+
+def places(df: DataFrame, *order: str, parts: int = 256, per: int = 16) -> DataFrame:
+    """Rows with ``place``, from 0 in ascending order: one in its range after the rows of the ranges before,
+    whose counts (``parts`` at most) are broadcast. No task has all rows."""
+    each = df.withColumn("_b", ranges(df, order[0], parts, per))
+    counts = each.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # of the few ranges
+    counts = counts.select("_b", F.coalesce(before, F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1 + F.col("_base")
+    return each.join(F.broadcast(counts), "_b").withColumn("place", place.cast("long")).drop("_b", "_base")
+
+
 def merge_spans(spans: Column) -> Column:
     """Sorted, overlapping or touching structs (s, e) joined."""
     def step(acc: Column, x: Column) -> Column:

@@ -87,6 +87,26 @@ def test_decoded_places(spark):
     assert sizes == [2, 2, 2]
 
 
+def test_places(spark):
+    rnd = random.Random(3)
+    ids = [rnd.choice([None, "b", "é", f"k{i}"]) for i in range(500)]
+    df = spark.createDataFrame(list(enumerate(ids)), "i int, id string").repartition(5)
+    for parts, per in ((256, 16), (8, 4), (100, 1)):
+        got = sorted((r.place, r.id, r.i) for r in windows.places(df, "id", "i", parts=parts, per=per).collect())
+        assert [g[0] for g in got] == list(range(500))
+        assert [g[1:] for g in got] == sorted(((x, i) for i, x in enumerate(ids)), key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert df.select(windows.ranges(df, "id", 8, 4).alias("b")).distinct().count() > 1
+
+
+def test_blind_tally_of_many(spark, tmp_path):
+    """More pairs than one task numbered, and documents and labels that occur twice."""
+    ids = spark.range(100_100).union(spark.range(5))
+    docs = ids.select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.col("id").alias("n_chars"))
+    labels = ids.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    got, want = _against_sql(spark, tmp_path, "blind_tally", documents=docs, labels=labels)
+    assert got == want and got[0][0] == 100_095 + 5 * 4
+
+
 def test_py_round(spark):
     rnd = random.Random(1)
     values = [2.675, 0.125, -0.125, 1.005, 0.0, -1.0, 0.5, 1.5, 2.5, *[rnd.uniform(-100, 100) for _ in range(300)], *[round(rnd.uniform(0, 1), 3) + 0.0005 for _ in range(100)]]
