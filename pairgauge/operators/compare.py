@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .windows import places
+from .windows import places, ranges
 
 
 def deltas(a: DataFrame, b: DataFrame, measures: tuple[str, ...]) -> DataFrame:
@@ -20,26 +22,102 @@ def deltas(a: DataFrame, b: DataFrame, measures: tuple[str, ...]) -> DataFrame:
     return both.select("id", each.alias("e")).select("id", "e.measure", "e.delta").filter("delta IS NOT NULL")
 
 
-#: Topics that one call resamples.
-TOPICS = 100_000
-
-RESULT = "measure string, n long, mean double, low double, high double, up long, down long, equal long"
+#: Topics that one task draws, about, and words of Python's generator taken at once.
+DRAWS, WORDS = 1 << 24, 1 << 16
+
+
+class _Draws:
+    """What ``random.randrange(n)`` of Python's generator gives, by arrays; it can go on from where another one stood."""
+
+    def __init__(self, n: int, key: np.ndarray, pos: int, skip: int = 0) -> None:
+        self.n, self.shift, self.skip = n, np.uint32(32 - n.bit_length()), skip
+        self.limit = np.uint32(n << (32 - n.bit_length()))
+        self.bits = np.random.MT19937()
+        self.bits.state = {"bit_generator": "MT19937", "state": {"key": key, "pos": pos}}
+        self.words = np.random.Generator(self.bits)
+
+    def raw(self) -> np.ndarray:
+        return self.words.integers(0, 1 << 32, WORDS, np.uint32)
+
+    def next(self) -> np.ndarray:
+        """Some more numbers: the highest bits of a word, unless they are too large."""
+        raw = self.raw()
+        out = (raw[raw < self.limit] >> self.shift)[self.skip :]
+        self.skip = 0
+        return out
+
+    def stands(self, size: int, parts: int) -> Iterator[tuple[bytes, int, int]]:
+        """(key, pos, skip) before each of ``parts`` times ``size`` numbers."""
+        done = part = 0
+        while True:
+            at = self.bits.state["state"]
+            more = done + np.count_nonzero(self.raw() < self.limit)
+            while part * size < more:
+                yield at["key"].astype(np.uint32).tobytes(), at["pos"], part * size - done
+                part += 1
+                if part == parts:
+                    return
+            done = more
+
+
+_STANDS = "measure string, resamples long, key binary, pos long, skip long, n long, mean double, up long, down long, equal long"
+
+
+def _stands(resamples: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, state, _ = random.Random(seed).getstate()
+        for measure, x in ((m, v.values.to_numpy()) for b in batches for m, v in zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+            n, each = len(x), max(1, min(resamples, DRAWS // len(x)))
+            facts = [n, sum(x.tolist()) / n, int((x > 0).sum()), int((x < 0).sum()), int((x == 0).sum())]
+            parts = -(-resamples // each)
+            draws = _Draws(n, np.array(state[:624], np.uint32), state[624])
+            rows = [[measure, min(each, resamples - k * each), *at, *facts] for k, at in enumerate(draws.stands(each * n, parts))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in _STANDS.split(", ")])
+
+    return run
+
+
+def _sums(x: np.ndarray, draws: _Draws, resamples: int) -> np.ndarray:
+    """The sum of each of so many resamples of all of x. Whole numbers add up exactly, others in extended precision."""
+    n = len(x)
+    if not (np.all(x == np.rint(x)) and np.abs(x).sum() < 1 << 53):
+        x = x.astype(np.longdouble)
+    out, done = np.zeros(resamples, x.dtype), 0
+    while done < resamples * n:
+        v = x[draws.next()[: resamples * n - done]]
+        if len(v):
+            starts = np.arange(-done % n, len(v), n)
+            if done % n:
+                starts = np.concatenate([[0], starts])
+            out[done // n : done // n + len(starts)] += np.add.reduceat(v, starts)
+            done += len(v)
+    return out
+
+
+def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for measure, resamples, key, pos, skip, x in zip(*(b.column(i) for i in range(6)), strict=True):
+            x = x.values.to_numpy()
+            draws = _Draws(len(x), np.frombuffer(key.as_py(), np.uint32), pos.as_py(), skip.as_py())
+            means = (_sums(x, draws, resamples.as_py()) / len(x)).astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array([measure.as_py()]), pa.array([means.tolist()], pa.list_(pa.float64()))], names=["measure", "m"])
 
 
 def paired_bootstrap(d: DataFrame, resamples: int = 10_000, seed: int = 0) -> DataFrame:
-    """Mean difference, its 95 % interval and counts per measure, with Python's generator: for the
-    few hundred topics of an evaluation. ``bootstrap_at_scale`` is for many; more than TOPICS are an error."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        if len(p) > TOPICS:
-            raise ValueError(f"{len(p)} topics: bootstrap_at_scale is for so many")
-        x = p.sort_values("id")["delta"].tolist()
-        rng, n = random.Random(seed), len(p)
-        means = sorted(sum(x[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
-        low, high = means[int(0.025 * resamples)], means[int(0.975 * resamples)]
-        return pd.DataFrame([(p["measure"].iloc[0], n, sum(x) / n, low, high, sum(v > 0 for v in x), sum(v < 0 for v in x), sum(v == 0 for v in x))], columns=[c.split()[0] for c in RESULT.split(", ")])
-
-    return d.groupBy("measure").applyInPandas(run, RESULT)
+    """Mean difference, its 95 % interval and counts per measure, with Python's generator, topics in the order of ids.
+
+    One task a measure runs through the generator's words and notes where each part of the resamples begins, then the
+    parts are drawn and added up by as many tasks. A measure's deltas are one array of up to 2**28; ``bootstrap_at_scale``
+    has no such array and needs no generator's order."""
+    deltas = d.groupBy("measure", ranges(d, "id").alias("b")).agg(F.array_sort(F.collect_list(F.struct("id", "delta"))).getField("delta").alias("x"))
+    x = deltas.groupBy("measure").agg(F.flatten(F.array_sort(F.collect_list(F.struct("b", "x"))).getField("x")).alias("x"))
+    tasks = 4 * d.sparkSession.sparkContext.defaultParallelism
+    parts = x.mapInArrow(_stands(resamples, seed), _STANDS).repartition(tasks, "measure", "key", "pos", "skip")
+    means = parts.join(F.broadcast(x), "measure").select("measure", "resamples", "key", "pos", "skip", "x").mapInArrow(_means, "measure string, m array<double>")
+    found = means.groupBy("measure").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
+    facts = parts.groupBy("measure").agg(*[F.first(c).alias(c) for c in ("n", "mean", "up", "down", "equal")])
+    low, high = F.get("m", F.lit(int(0.025 * resamples))), F.get("m", F.lit(int(0.975 * resamples)))
+    return facts.join(found, "measure").select("measure", "n", "mean", low.alias("low"), high.alias("high"), "up", "down", "equal")
 
 
 def bootstrap_at_scale(d: DataFrame, resamples: int = 200, seed: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -180,6 +181,34 @@ def test_compare(spark):
     assert round(compare.sign_test(22, 17), 2) == 0.52 and compare.sign_test(0, 0) == 1.0
 
 
+def test_python_draws():
+    """Python's randrange by arrays, also from where a part of the resamples begins."""
+    for n in (1, 2, 3, 40, 64, 65, 100_003):
+        _, state, _ = random.Random(7).getstate()
+        key, pos, size = np.array(state[:624], np.uint32), state[624], 3 * n
+        rng = random.Random(7)
+        want = [rng.randrange(n) for _ in range(5 * size)]
+        for k, (at, p, skip) in enumerate(compare._Draws(n, key, pos).stands(size, 5)):
+            draws, got = compare._Draws(n, np.frombuffer(at, np.uint32), p, skip), []
+            while len(got) < size:
+                got += draws.next().tolist()
+            assert got[:size] == want[k * size : (k + 1) * size]
+
+
+def test_bootstrap_of_many(spark, monkeypatch):
+    """More topics than were taken before, in several parts, and two measures."""
+    monkeypatch.setattr(compare, "DRAWS", 1 << 18)
+    one = spark.range(100_001).select(F.format_string("t%06d", "id").alias("id"), F.lit("m").alias("measure"), (F.col("id") * 7919 % 5 - 2).cast("double").alias("delta"))
+    two = spark.range(30).select(F.format_string("t%06d", "id").alias("id"), F.lit("k").alias("measure"), (F.col("id") / 7 - 2).alias("delta"))
+    got = {r.measure: r for r in compare.paired_bootstrap(one.union(two).repartition(3), 12).collect()}
+    for m, x in (("m", [float(i * 7919 % 5 - 2) for i in range(100_001)]), ("k", [i / 7 - 2 for i in range(30)])):
+        rng, n = random.Random(0), len(x)
+        means = sorted(sum(x[rng.randrange(n)] for _ in range(n)) / n for _ in range(12))
+        r = got[m]
+        assert (r.n, r.mean, r.up, r.down, r.equal) == (n, sum(x) / n, sum(v > 0 for v in x), sum(v < 0 for v in x), sum(v == 0 for v in x))
+        assert math.isclose(r.low, means[0], rel_tol=1e-15) and math.isclose(r.high, means[11], rel_tol=1e-15)
+
+
 def test_corpus_edges(spark):
     topic = '<!DOCTYPE t><topic><title>A title here</title><body><p conref="x">This paragraph is reused from elsewhere here.</p><p>This one is long enough to be kept as it is.</p></body></topic>'
     files = spark.createDataFrame([("a", topic), ("b", "<broken"), ("c", topic), ("d", None)], "path string, raw string")
