@@ -61,6 +61,7 @@ class _Draws:
 
 
 _STANDS = "measure string, resamples long, key binary, pos long, skip long, n long, mean double, up long, down long, equal long"
+_FACTS = ("n", "mean", "up", "down", "equal")
 
 
 def _stands(resamples: int, seed: int):
@@ -96,11 +97,11 @@ def _sums(x: np.ndarray, draws: _Draws, resamples: int) -> np.ndarray:
 
 def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for measure, resamples, key, pos, skip, x in zip(*(b.column(i) for i in range(6)), strict=True):
+        for i, (measure, resamples, key, pos, skip, x) in enumerate(zip(*b.columns[:6], strict=True)):
             x = x.values.to_numpy()
             draws = _Draws(len(x), np.frombuffer(key.as_py(), np.uint32), pos.as_py(), skip.as_py())
             means = (_sums(x, draws, resamples.as_py()) / len(x)).astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array([measure.as_py()]), pa.array([means.tolist()], pa.list_(pa.float64()))], names=["measure", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array([measure.as_py()]), *(c.slice(i, 1) for c in b.columns[6:]), pa.array([means.tolist()], pa.list_(pa.float64()))], names=["measure", *_FACTS, "m"])
 
 
 def paired_bootstrap(d: DataFrame, resamples: int = 10_000, seed: int = 0) -> DataFrame:
@@ -113,11 +114,11 @@ def paired_bootstrap(d: DataFrame, resamples: int = 10_000, seed: int = 0) -> Da
     x = deltas.groupBy("measure").agg(F.flatten(F.array_sort(F.collect_list(F.struct("b", "x"))).getField("x")).alias("x"))
     tasks = 4 * d.sparkSession.sparkContext.defaultParallelism
     parts = x.mapInArrow(_stands(resamples, seed), _STANDS).repartition(tasks, "measure", "key", "pos", "skip")
-    means = parts.join(F.broadcast(x), "measure").select("measure", "resamples", "key", "pos", "skip", "x").mapInArrow(_means, "measure string, m array<double>")
-    found = means.groupBy("measure").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
-    facts = parts.groupBy("measure").agg(*[F.first(c).alias(c) for c in ("n", "mean", "up", "down", "equal")])
+    means = parts.join(F.broadcast(x), "measure").select("measure", "resamples", "key", "pos", "skip", "x", *_FACTS)
+    means = means.mapInArrow(_means, "measure string, n long, mean double, up long, down long, equal long, m array<double>")
+    found = means.groupBy("measure").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"), *[F.first(c).alias(c) for c in _FACTS])  # equal in all parts
     low, high = F.get("m", F.lit(int(0.025 * resamples))), F.get("m", F.lit(int(0.975 * resamples)))
-    return facts.join(found, "measure").select("measure", "n", "mean", low.alias("low"), high.alias("high"), "up", "down", "equal")
+    return found.select("measure", "n", "mean", low.alias("low"), high.alias("high"), "up", "down", "equal")
 
 
 def bootstrap_at_scale(d: DataFrame, resamples: int = 200, seed: int = 0) -> DataFrame:
