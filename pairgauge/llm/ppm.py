@@ -37,7 +37,7 @@ from .common import LOWER, STEP_BYTES, TEXT_ROWS, drop_table, prefix_hash, retur
 ORDER = 5
 #: Text bytes of a block.
 BLOCK_BYTES = 24 << 20
-#: Keys that pile up in a block before they are added up.
+#: Keys, and twice the words, that pile up in a block before they are added up.
 MERGE_PAIRS = 300_000
 #: Pairs that one task codes, about; a three-byte context (at most 2**24 pairs) stays whole.
 BUNDLE_PAIRS = 400_000
@@ -52,18 +52,17 @@ def _keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(context, symbol) of every byte and end: the nearest byte is the highest of the context."""
     n, sizes = len(offsets) - 1, np.diff(offsets)
     pad = ORDER + 1
-    buf = np.full(len(data) + pad * n, END, np.uint8)
+    buf = np.full(len(data) + pad * n + 8, END, np.uint8)
     where = np.repeat(np.arange(n) * pad + ORDER, sizes) + np.arange(len(data))
     buf[where] = data
-    ends = offsets[1:] + np.arange(n) * pad + ORDER
-    spot = np.ones(len(buf), bool)
-    for j in range(ORDER):
-        spot[offsets[:-1] + np.arange(n) * pad + j] = False
-    at = np.flatnonzero(spot)
-    key = buf.astype(np.int64)
-    for j in range(1, ORDER + 1):
-        key[j:] |= buf[:-j].astype(np.int64) << (8 * (ORDER + 1 - j))
-    return key[at], np.concatenate([[0], np.searchsorted(at, ends) + 1])
+    at = np.concatenate([[0], np.cumsum(sizes + 1)])
+    # the eight bytes from the farthest of each context on: the context, the symbol, two more
+    word = np.ndarray(len(buf) - 7, "<i8", buf, 0, (1,))[np.arange(at[-1]) + np.repeat(np.arange(n) * ORDER, sizes + 1)]
+    key = (word & ((1 << (8 * ORDER)) - 1)) << 8
+    word >>= 8 * ORDER
+    word &= 255
+    key |= word
+    return key, at
 
 
 class _Pairs:
@@ -73,12 +72,14 @@ class _Pairs:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def add(self, key: np.ndarray, weight: int) -> None:
-        both = pc.value_counts(pa.array(key))
-        key, n = both.field("values").to_numpy(), both.field("counts").to_numpy()
-        order = np.argsort(key)
-        key = key[order]
-        self.parts.append((key, (n[order] * weight).astype(np.int32)))
+    def add(self, key: np.ndarray, learn: np.ndarray) -> None:
+        # a sort of bare numbers is several times faster than hashing them; the lowest bit is the count
+        both = np.sort((key << 1) | learn)
+        key = both >> 1
+        first, _ = _runs(key)
+        both &= 1
+        key, n = key[first], np.add.reduceat(both, first)
+        self.parts.append((key, n.astype(np.int32)))
         self.held += len(key)
         if self.held > len(self.parts[0][0]) + MERGE_PAIRS:
             self.merge()
@@ -160,10 +161,8 @@ class _Block:
             self.size += len(data)
             learn = train[lo : lo + len(offsets) - 1]
             key, at = _keys(data, offsets)
-            for weight in (1, 0):
-                mine = np.repeat(learn == bool(weight), np.diff(at))
-                if mine.any():
-                    self.pairs.add(key[mine], weight)
+            if len(key):
+                self.pairs.add(key, np.repeat(learn, np.diff(at)))
             del key
             low = LOWER[data]
             starts, ends, row = word_spans(low, offsets)

@@ -62,6 +62,27 @@ def test_ppm_is_exact(docs, nothing, rows):
     assert np.allclose(list(blank.values()), [-(n + 1) * math.log10(256) for _, n in blank])
 
 
+def test_ppm_pairs_of_a_block(monkeypatch):
+    """Every byte and end with its context; pairs of training texts count, others are kept with 0."""
+    monkeypatch.setattr(ppm, "MERGE_PAIRS", 50)
+    texts = [b"", b"abcabcabc", "é é é".encode(), b"", b"ab" * 40, b"xabc"]
+    want, pairs = collections.Counter(), ppm._Pairs()
+    for learn in ([True, False, True, True, True, False], [False, True, False, False, False, False]):
+        key, at = ppm._keys(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        assert at.tolist() == np.cumsum([0, *(len(t) + 1 for t in texts)]).tolist()
+        each = []
+        for t, train in zip(texts, learn, strict=True):
+            padded = bytes([ppm.END] * ppm.ORDER) + t + bytes([ppm.END])
+            each += [int.from_bytes(padded[i - 1 : i - 1 - ppm.ORDER : -1] if i > ppm.ORDER else padded[ppm.ORDER - 1 :: -1], "big") << 8 | padded[i] for i in range(ppm.ORDER, len(padded))]
+            want.update(dict.fromkeys(each[-len(t) - 1 :], 0))
+            for k in each[-len(t) - 1 :]:
+                want[k] += train
+        assert key.tolist() == each
+        pairs.add(key, np.repeat(learn, np.diff(at)))
+    key, n = pairs.merge()
+    assert list(zip(key.tolist(), n.tolist(), strict=True)) == sorted(want.items())
+
+
 def test_ppm_is_a_distribution():
     key = np.array([(65 << 40) + (66 << 32) + (67 << 24) + (68 << 16) + (69 << 8) + a for a in range(256)], np.int64)
     n = np.zeros(256, np.int64)
